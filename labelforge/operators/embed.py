@@ -22,16 +22,18 @@ IDF_CLIP_MAX = 15.0
 VOCAB_PREFIX_CHARS = 2
 
 
-def tokenize(df: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(id, pos, token) for every non-blank lower-cased word, ``pos`` = word index in the text."""
-    return (df.select(id_col, F.posexplode(F.split(F.lower(F.col(text)), WORD_SPLIT))
+def tokenize(df: DataFrame, id_col, text: str) -> DataFrame:
+    """(id..., pos, token) for every non-blank lower-cased word, ``pos`` = word index in the text."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    return (df.select(*ids, F.posexplode(F.split(F.lower(F.col(text)), WORD_SPLIT))
                       .alias("pos", "token"))
             .filter(F.col("token") != ""))
 
 
-def token_counts(tokens: DataFrame, id_col: str) -> DataFrame:
-    """(id, token, cnt): occurrences folded per document before any join."""
-    return tokens.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("cnt"))
+def token_counts(tokens: DataFrame, id_col) -> DataFrame:
+    """(id..., token, cnt): occurrences folded per document before any join."""
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+    return tokens.groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def build_vocab(tokens: DataFrame) -> DataFrame:

@@ -74,11 +74,11 @@ def upsample_classes(df: DataFrame, label: str, id_col: str, seed=42) -> DataFra
     # Draw k (1..rem) is emitted by the class row at position k-1 (rem < cnt), so the draws are
     # produced where the data is, then joined to the drawn row on (class, position).
     draws = (p.filter(F.col("_cpos") < rem)
-             .select(F.col(label), (F.col("_cpos") + 1).alias("draw"), F.col("_cnt"))
-             .withColumn("_target", draw_index(seed, F.col(label), F.col("draw"), F.col("_cnt")))
-             .drop("_cnt"))
-    drawn = (draws.join(p.drop("_max"), (draws[label] == p[label]) & (draws["_target"] == p["_cpos"]))
-             .select(p["*"], draws["draw"]).withColumn("copy", F.lit(0).cast("long")))
+             .select(F.col(label).alias("_dl"), (F.col("_cpos") + 1).alias("draw"), F.col("_cnt").alias("_dcnt"))
+             .withColumn("_target", draw_index(seed, F.col("_dl"), F.col("draw"), F.col("_dcnt"))))
+    target = p.drop("_max")
+    drawn = (draws.join(target, (F.col("_dl") == F.col(label)) & (F.col("_target") == F.col("_cpos")))
+             .withColumn("copy", F.lit(0).cast("long")))
     cols = [*df.columns, "copy", "draw"]
     return whole.select(*cols).unionByName(drawn.select(*cols))
 
