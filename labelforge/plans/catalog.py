@@ -410,5 +410,5 @@ def d3_carve_validation(spark, d):
 
 def all_queries() -> dict[str, tuple[QueryFn, str | None]]:
     """Every registered query (importing the other catalog parts registers theirs)."""
-    from labelforge.plans import catalog_vectors  # noqa: F401
+    from labelforge.plans import catalog_jobs, catalog_vectors  # noqa: F401
     return dict(REGISTRY)
