@@ -47,7 +47,7 @@ def replicate(df: DataFrame, times: Column | str, name: str = "copy",
     over the cluster by a shuffle, and each block then emits at most ``block`` copies. A single
     row asked to repeat a billion times therefore never lands in one task."""
     t = F.col(times) if isinstance(times, str) else times
-    blocks = (df.withColumn("_t", t.cast("long"))
+    blocks = (df.withColumn("_t", t.cast("long")).filter(F.col("_t") > 0)
               .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"),
                                                        F.ceil(F.col("_t") / block).cast("long") - 1))))
     spread = blocks.repartition("_blk", *[c for c in df.columns[:1]])
