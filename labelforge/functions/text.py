@@ -17,6 +17,9 @@ PY_SPACE_CLASS = (
     r"[\t\n\x0B\f\r \x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
+# The same characters as a plain string, for btrim (which only looks at the two ends).
+PY_SPACE_CHARS = "".join(chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
+                                           *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 # ASCII whitespace used to split text into words.
 WORD_SPLIT = r"[\t\n\x0B\f\r ]+"
 
@@ -31,13 +34,15 @@ def remove_question_marks(q) -> Column:
 
 
 def py_strip(t) -> Column:
-    """Python str.strip(): all outer whitespace, Unicode included."""
-    return F.regexp_replace(_c(t), f"^{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+\\z", "")
+    """Python str.strip(): all outer whitespace, Unicode included (``btrim`` reads only the
+    ends of the text, a regex would scan all of it)."""
+    return F.btrim(_c(t), F.lit(PY_SPACE_CHARS))
 
 
 def strip_trailing_qmark(t) -> Column:
     """strip ONE trailing '?', then outer whitespace (so 'ab? ' keeps its '?')."""
-    return py_strip(F.regexp_replace(_c(t), r"\?\z", ""))
+    c = _c(t)
+    return py_strip(F.when(c.endswith("?"), c.substr(F.lit(1), F.length(c) - 1)).otherwise(c))
 
 
 def fill_template(template, value) -> Column:

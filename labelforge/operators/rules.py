@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelforge.functions.text import py_strip, word_count
+from labelforge.functions.text import py_strip
 
 # ---- Fixed values (from the labelling and generation definitions) -------------------------
 TAB_PHRASES = ["my tabs", "these tabs", "open tabs", "selected tabs", "this tab", "my tab"]
@@ -83,44 +83,109 @@ def _word_re(words) -> str:
 TAB_RE = "(" + "|".join(p.replace(" ", f"{_SP}+") for p in TAB_PHRASES) + f")($|{_NW})"
 MENTION_RE = f"(^|{_SP})@[a-z0-9_]"
 URL_RE = (r"(https?://|www\.|(^|" + _NW + r")site:|localhost:[0-9]+|"
-          r"[a-z0-9-]+\." + _alt(URL_TLDS) + "($|[/?#:]|" + _SP + "))")
+          r"(^|[^a-z0-9-])[a-z0-9-]+\." + _alt(URL_TLDS) + "($|[/?#:]|" + _SP + "))")
 TIME_RE = _word_re(TIME_KEYWORDS)
 IMPERATIVE_RE = f"^{_alt(IMPERATIVE_VERBS)}($|{_NW})"
 COMPARE_RE = _word_re(COMPARE_WORDS)
 QUESTION_RE = f"^{_alt(QUESTION_WORDS)}($|{_NW})"
 
 
+_NSP = r"[^\t\n\x0B\f\r ]"
+AT_LEAST_WORDS_RE = f"^{_NSP}+({_SP}+{_NSP}+){{{MIN_QUERY_WORDS - 1}}}"
+CHAT_RULES = (1, 4, 7)
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def rule_columns(q) -> dict[str, Column]:
-    """The individual predicates of the chain, on lower-cased, stripped text."""
-    t = F.lower(py_strip(F.coalesce(_c(q), F.lit(""))))
+def normalized(q) -> Column:
+    """The text every rule looks at: lower-cased, outer whitespace stripped, null → ''."""
+    return F.lower(py_strip(F.coalesce(_c(q), F.lit(""))))
+
+
+# Java-side forms of the URL rule (same matches as URL_RE, which the SQL oracle uses): literal
+# searches for the fixed markers, and for a domain one [a-z0-9-] character before ".tld"
+# (a run of them exists exactly when its last character does).
+URL_LITERALS = ["http://", "https://", "www."]
+SITE_RE = f"(^|{_NW})site:"
+LOCALHOST_RE = "localhost:[0-9]"
+DOMAIN_RE = r"[a-z0-9-]\." + _alt(URL_TLDS) + "($|[/?#:]|" + _SP + ")"
+
+
+def _has(t: Column, s: str) -> Column:
+    return F.instr(t, s) > 0
+
+
+def url_rule(t) -> Column:
+    t = _c(t)
+    lit = None
+    for s in URL_LITERALS:
+        lit = _has(t, s) if lit is None else lit | _has(t, s)
+    return (lit | (_has(t, "site:") & t.rlike(SITE_RE)) | (_has(t, "localhost:") & t.rlike(LOCALHOST_RE))
+            | t.rlike(DOMAIN_RE))
+
+
+def tab_rule(t) -> Column:
+    t = _c(t)
+    return (_has(t, "tab") & t.rlike(TAB_RE)) | (_has(t, "@") & t.rlike(MENTION_RE))
+
+
+def word_runs(t) -> Column:
+    """Maximal runs of [a-z0-9_] in a normalised text: a keyword occurs as a whole word exactly
+    when it is one of these runs (what ``(^|[^a-z0-9_])kw($|[^a-z0-9_])`` tests)."""
+    return F.split(_c(t), "[^a-z0-9_]+")
+
+
+def _kw(words) -> Column:
+    return F.array(*[F.lit(w) for w in words])
+
+
+def rule_columns(t, runs=None) -> dict[str, Column]:
+    """The individual predicates of the chain, on the ``normalized`` text ``t``. Keyword rules
+    look the text's word runs up in the keyword list (one split instead of an alternation tried
+    at every character); the word rule only reads the first words (an anchored regex)."""
+    t = _c(t)
+    w = word_runs(t) if runs is None else _c(runs)
     return {
-        "tab_ref": t.rlike(TAB_RE) | t.rlike(MENTION_RE),
-        "url": t.rlike(URL_RE),
-        "time": t.rlike(TIME_RE),
+        "tab_ref": tab_rule(t),
+        "url": url_rule(t),
+        "time": F.arrays_overlap(w, _kw(TIME_KEYWORDS)),
         "imperative": t.rlike(IMPERATIVE_RE),
-        "compare": t.rlike(COMPARE_RE),
-        "short": word_count(t) < MIN_QUERY_WORDS,
+        "compare": F.arrays_overlap(w, _kw(COMPARE_WORDS)),
+        "short": ~t.rlike(AT_LEAST_WORDS_RE),
         "question": t.rlike(QUESTION_RE),
     }
 
 
-def weak_label(q) -> Column:
-    """P9: 'Chat' or 'Search' by the ordered rule chain."""
-    r = rule_columns(q)
-    return (F.when(r["tab_ref"], "Chat").when(r["url"], "Search").when(r["time"], "Search")
-            .when(r["imperative"], "Chat").when(r["compare"], "Search").when(r["short"], "Search")
-            .when(r["question"], "Chat").otherwise("Search"))
+def rule_id_of(t, runs=None) -> Column:
+    """Which rule of the chain fires first (1..8) for a ``normalized`` text."""
+    r = rule_columns(t, runs)
+    return (F.when(r["tab_ref"], 1).when(r["url"], 2).when(r["time"], 3).when(r["imperative"], 4)
+            .when(r["compare"], 5).when(r["short"], 6).when(r["question"], 7).otherwise(8))
+
+
+def label_of_rule(rule) -> Column:
+    return F.when(_c(rule).isin(*CHAT_RULES), F.lit("Chat")).otherwise(F.lit("Search"))
 
 
 def weak_rule_id(q) -> Column:
     """Which rule fired (1..8), for audits."""
-    r = rule_columns(q)
-    return (F.when(r["tab_ref"], 1).when(r["url"], 2).when(r["time"], 3).when(r["imperative"], 4)
-            .when(r["compare"], 5).when(r["short"], 6).when(r["question"], 7).otherwise(8))
+    return rule_id_of(normalized(q))
+
+
+def weak_label(q) -> Column:
+    """P9: 'Chat' or 'Search' by the ordered rule chain (single Column form, e.g. in lambdas)."""
+    return label_of_rule(weak_rule_id(q))
+
+
+def apply_rules(df: DataFrame, query: str = "query", label: str = "label", rule: str = "rule") -> DataFrame:
+    """P9 over a table: the normalised text is computed once per row (a column of its own, which
+    Catalyst does not inline into the seven predicates), the chain runs once, the label follows
+    from the rule that fired."""
+    return (df.withColumn("_t", normalized(query)).withColumn("_w", word_runs("_t"))
+            .withColumn(rule, rule_id_of("_t", "_w"))
+            .withColumn(label, label_of_rule(rule)).drop("_t", "_w"))
 
 
 def policy_table(spark) -> DataFrame:
@@ -137,20 +202,26 @@ def route_labels(df: DataFrame, subset: str = "subset", query: str = "query",
     Unknown subsets are labelled by the labeler."""
     pol = F.broadcast(policy_table(df.sparkSession).select(F.col("subset").alias("_s"), "policy"))
     j = df.join(pol, df[subset] == pol["_s"], "left")
-    return (j.withColumn(name, F.when(F.col("policy") == "search", F.lit("Search"))
-                         .otherwise(labeler(F.col(query))))
-            .drop("_s", "policy"))
+    if labeler is weak_label:
+        j = apply_rules(j, query, "_lab", "_rule")
+        lab = F.col("_lab")
+    else:
+        lab = labeler(F.col(query))
+    return (j.withColumn(name, F.when(F.col("policy") == "search", F.lit("Search")).otherwise(lab))
+            .drop("_s", "policy", "_lab", "_rule"))
 
 
 def rule_flags(df: DataFrame, subset: str = "subset", query: str = "query") -> DataFrame:
     """P10: flags for rows that break their subset's generation rules, as one text column."""
-    q = F.lower(py_strip(F.coalesce(F.col(query), F.lit(""))))
-    r = rule_columns(F.col(query))
+    d = df.withColumn("_t", normalized(query))
+    q = F.col("_t")
+    r = rule_columns(q)
     s = F.col(subset)
     flags = F.array_compact(F.array(
-        F.when((s == "short") & (word_count(q) >= MIN_QUERY_WORDS), F.lit("short_too_long")),
+        F.when((s == "short") & ~r["short"], F.lit("short_too_long")),
         F.when((s == "chat") & r["url"], F.lit("chat_has_url")),
         F.when(q.contains(FILLER_PHRASES[0]), F.lit("generic_filler")),
         F.when(s.isin("url", "short") & r["tab_ref"], F.lit("tab_ref_in_search")),
     ))
-    return df.withColumn("flags", F.concat_ws(",", flags)).withColumn("n_flags", F.size(flags))
+    return (d.withColumn("_f", flags).withColumn("flags", F.concat_ws(",", "_f"))
+            .withColumn("n_flags", F.size("_f")).drop("_t", "_f"))

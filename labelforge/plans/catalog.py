@@ -103,8 +103,7 @@ def f2_strip_trailing_qmark(spark, d):
 @register("p9_weak_labels", q(f"SELECT subset, rid, {weak_label_sql('query')} AS label, "
                               f"{weak_rule_sql('query')} AS rule FROM queries"))
 def p9_weak_labels(spark, d):
-    return V.queries(spark, d).select("subset", "rid", R.weak_label("query").alias("label"),
-                                      R.weak_rule_id("query").alias("rule"))
+    return R.apply_rules(V.queries(spark, d)).select("subset", "rid", "label", "rule")
 
 
 @register("p3_route_labels", q(f"SELECT subset, rid, CASE WHEN subset IN ('url', 'short') THEN 'Search' "
