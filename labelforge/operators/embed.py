@@ -39,10 +39,15 @@ def token_counts(tokens: DataFrame, id_col) -> DataFrame:
 def build_vocab(tokens: DataFrame) -> DataFrame:
     """A16 + L3: token, n, p = n/Σn, logp = ln p, token_id = rank by (n desc, token) from 0.
 
+    ``tokens`` is either one row per occurrence or the per-document counts (a ``cnt`` column):
+    building from the counts lets a query share one tokenisation between the vocabulary and the
+    per-document side.
+
     The total is a scalar subquery. Ranks use the bucketed position helper with buckets
     (n, first characters of the token), which follow the same order, so even the long tail
     of tokens seen once is numbered by many tasks."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum("cnt") if "cnt" in tokens.columns else F.count(F.lit(1))
+    counts = tokens.groupBy("token").agg(n.alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     v = counts.withColumn("p", F.col("n") / total).withColumn("logp", F.log(F.col("p")))
     return global_position(

@@ -132,9 +132,8 @@ nrm AS (SELECT doc_id, sqrt(sum(m * m)) AS nr FROM s GROUP BY doc_id)""")
 
 
 def _pooled(spark, d, sif: bool, l2: bool):
-    toks = V.doc_tokens(spark, d)
     emb = table(spark, d, "embeddings")
-    counts = E.token_counts(toks, "doc_id")
+    counts = V.doc_token_counts(spark, d)
     nvec = emb.select(F.count(F.lit(1))).scalar()
     ids = E.attach_token_ids(counts, V.vocab(spark, d), n_vectors=nvec)
     w = E.sif_weight("logp") if sif else None

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.operators.embed import build_vocab, tokenize
+from labelforge.operators.embed import build_vocab, token_counts, tokenize
 from labelforge.operators.split import exact_split
 from labelforge.sources.tables import table
 
@@ -67,5 +67,12 @@ def doc_tokens(spark: SparkSession, d: str) -> DataFrame:
     return tokenize(table(spark, d, "documents"), "doc_id", "text")
 
 
+def doc_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, token, cnt) over documents: the one pre-aggregate both sides start from."""
+    return token_counts(doc_tokens(spark, d), "doc_id")
+
+
 def vocab(spark: SparkSession, d: str) -> DataFrame:
+    """Counted straight from the occurrences: the map-side partial count folds a hot token
+    before the shuffle (cheaper than going through the wider (doc, token) pre-aggregate)."""
     return build_vocab(doc_tokens(spark, d))

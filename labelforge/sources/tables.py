@@ -1,14 +1,28 @@
 """Driver tables: one parquet file per table; Catalyst prunes columns and pushes filters into
-the scan, so callers select what they need and nothing else is read."""
+the scan (through the optional spread below), so callers select what they need and nothing
+else is read."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+# Text tables whose per-row work (splitting, regexes, tokenising) dominates, with their keys.
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a scan on its key when it yields fewer splits than the cluster has cores
+    (one large row group reads as one task, and every per-row step after it would run there).
+    Large inputs already have enough splits and are left as they are."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= par:
+        return df
+    return df.repartition(par, key)
