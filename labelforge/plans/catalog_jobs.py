@@ -358,3 +358,85 @@ def m7_grid_select(spark, d):
     valid = data.filter(F.col("grp").isin("fr_val", "en_eval"))
     fits, best = M.grid_search(train, valid, [0.0, 0.01, 0.1])
     return best
+
+
+# ---------------------------------------------------------------- remaining inventory items
+@register("p2_constant_label", q("SELECT subset, rid, 'Search' AS label FROM queries WHERE subset IN ('url', 'short')"))
+def p2_constant_label(spark, d):
+    """The subsets whose policy is the constant label get 'Search' without any labeller."""
+    pol = R.policy_table(spark).filter(F.col("policy") == "search").select("subset")
+    qv = V.queries(spark, d).join(F.broadcast(pol), "subset", "left_semi")
+    return qv.select("subset", "rid", F.lit("Search").alias("label"))
+
+
+@register("j7_token_vectors", q(f"""
+SELECT dv.doc_id, sum(dv.cnt)::BIGINT AS n_gathered, {r4('sum(dv.cnt * e.embedding[1])')} AS dim0_sum
+FROM dv JOIN embeddings e ON e.vec_id = dv.vid GROUP BY dv.doc_id""", """
+dt AS (SELECT doc_id, token, count(*) AS cnt FROM tokens GROUP BY doc_id, token),
+dv AS (SELECT dt.doc_id, dt.cnt, CASE WHEN v.token_id < (SELECT count(*) FROM embeddings) THEN v.token_id ELSE 0 END AS vid
+       FROM dt JOIN vocab v USING (token))"""))
+def j7_token_vectors(spark, d):
+    """Every token occurrence gathers its vector (by token id; ids past the table → 0)."""
+    emb = table(spark, d, "embeddings")
+    nvec = emb.select(F.count(F.lit(1))).scalar()
+    ids = E.attach_token_ids(V.doc_token_counts(spark, d), V.vocab(spark, d), n_vectors=nvec)
+    j = ids.join(emb.select(F.col("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v")), "vid")
+    return j.groupBy("doc_id").agg(F.sum("cnt").alias("n_gathered"),
+                                   round4(F.sum(F.col("cnt") * F.col("v")[0])).alias("dim0_sum"))
+
+
+GEN_BATCH = 16
+GEN_TEMPLATE = "Generate distinct queries for the {} subset."
+
+
+@register("j10_generation_requests", q(
+    f"SELECT source AS subset, r.round, replace('{GEN_TEMPLATE}', '{{}}', source) AS prompt FROM "
+    "(SELECT source, count(DISTINCT text) AS n FROM documents GROUP BY source) s, "
+    f"LATERAL (SELECT unnest(range(1, (n + {GEN_BATCH - 1}) // {GEN_BATCH} + 1)) AS round) r"))
+def j10_generation_requests(spark, d):
+    """One generation request per subset × round, as many rounds as the subset needs
+    batches of GEN_BATCH (expanded with the two-level replicate, not a cartesian product)."""
+    from labelforge.operators.split import replicate
+    per = table(spark, d, "documents").groupBy("source").agg(F.countDistinct("text").alias("n"))
+    rounds = F.floor((F.col("n") + GEN_BATCH - 1) / GEN_BATCH)
+    r = replicate(per, rounds, name="round")
+    return r.select(F.col("source").alias("subset"), "round", T.fill_template(GEN_TEMPLATE, "source").alias("prompt"))
+
+
+@register("s8_corpus_jsonl", q("SELECT id, query AS text, grp FROM corpus"))
+def s8_corpus_jsonl(spark, d):
+    """The ordered corpus written as JSON lines {id, text} (with its group) and read back;
+    the order is the ``id`` column, not the file."""
+    out = scratch_path(spark, "s8-corpus")
+    c = G.corpus_ids(V.groups(spark, d), V.GROUP_ORDER, key="doc_id").select("id", F.col("query").alias("text"), "grp")
+    IO.write_jsonl(c, out)
+    return IO.read_jsonl(spark, out, "id long, text string, grp string")
+
+
+@register("s10_vector_table", q(f"SELECT vec_id, x.dim, {r4('x.v')} AS value FROM embeddings, "
+                                "LATERAL (SELECT unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) - 1 AS dim) x"))
+def s10_vector_table(spark, d):
+    """The vector table read with its vectors cast to double, one row per (id, dim)."""
+    from labelforge.functions.vectors import as_double
+    e = table(spark, d, "embeddings").select("vec_id", as_double("embedding").alias("v"))
+    return e.select("vec_id", F.posexplode("v").alias("dim", "value")).select(
+        "vec_id", F.col("dim").cast("long").alias("dim"), round4("value").alias("value"))
+
+
+@register("a22_progress_counts", q("""
+SELECT round, rows, new, (sum(new) OVER (ORDER BY round))::BIGINT AS collected FROM
+(SELECT r.round, r.rows, coalesce(f.new, 0) AS new FROM
+  (SELECT CAST(substr(source, 4) AS BIGINT) AS round, count(*) AS rows FROM documents GROUP BY 1) r
+  LEFT JOIN (SELECT round, count(*) AS new FROM (SELECT text, min(CAST(substr(source, 4) AS BIGINT)) AS round
+             FROM documents GROUP BY text) GROUP BY round) f USING (round))"""))
+def a22_progress_counts(spark, d):
+    """Per collection round, rows gathered, texts seen for the first time, and the running
+    number of distinct texts collected."""
+    from pyspark.sql import Window
+    docs = table(spark, d, "documents").withColumn("round", F.substring("source", 4, 10).cast("long"))
+    rows = docs.groupBy("round").agg(F.count(F.lit(1)).alias("rows"))
+    new = (docs.groupBy("text").agg(F.min("round").alias("round"))
+           .groupBy("round").agg(F.count(F.lit(1)).alias("new")))
+    w = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (rows.join(new, "round", "left").fillna(0, ["new"])
+            .withColumn("collected", F.sum("new").over(w)).select("round", "rows", "new", "collected"))
