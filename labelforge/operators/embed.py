@@ -74,9 +74,15 @@ def sif_weight(logp) -> Column:
     return F.coalesce(F.lit(SIF_A) / (F.lit(SIF_A) + F.exp(lp)), F.lit(1.0))
 
 
+_DIMS: dict[tuple, int] = {}
+
+
 def vector_dim(vectors: DataFrame, vec: str = "embedding") -> int:
-    """Dimension of the vector table (metadata read of one row)."""
-    return int(vectors.select(F.size(vec)).first()[0])
+    """Dimension of the vector table (one row read, remembered per input files)."""
+    k = (vectors.sparkSession.sparkContext.applicationId, tuple(sorted(vectors.inputFiles())), vec)
+    if not k[1] or k not in _DIMS:
+        _DIMS[k] = int(vectors.select(F.size(vec)).first()[0])
+    return _DIMS[k]
 
 
 def pool(doc_tokens: DataFrame, vectors: DataFrame, id_col: str, dim: int,

@@ -75,10 +75,10 @@ def key_position(df: DataFrame, key: str, partition_by: Sequence[str] = (),
 
     The range width comes from a scalar subquery over min/max, so there are at most
     KEY_BUCKETS buckets whatever the table size."""
-    stats = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    lo = stats.select("lo").scalar()
-    width = stats.select(F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / KEY_BUCKETS))).scalar()
-    bucket = F.floor((F.col(key) - lo) / width)
+    lo, hi = F.min(key), F.max(key)
+    stats = df.agg(F.struct(lo.alias("lo"), F.greatest(F.lit(1), F.ceil((hi - lo + 1) / KEY_BUCKETS))
+                            .alias("w")).alias("s")).scalar()
+    bucket = F.floor((F.col(key) - stats.getField("lo")) / stats.getField("w"))
     return global_position(df, order=[key], buckets={"_kb": bucket}, bucket_order=["_kb"],
                            partition_by=partition_by, name=name, total=total)
 

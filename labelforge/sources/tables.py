@@ -18,11 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
+_SPLITS: dict[tuple[str, str], int] = {}
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition a scan on its key when it yields fewer splits than the cluster has cores
     (one large row group reads as one task, and every per-row step after it would run there).
-    Large inputs already have enough splits and are left as they are."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= par:
+    Large inputs already have enough splits and are left as they are. The split count of a
+    path is looked up once per application (planning only, no job)."""
+    sc = df.sparkSession.sparkContext
+    par = sc.defaultParallelism
+    files = ",".join(sorted(df.inputFiles()))
+    k = (sc.applicationId, files)
+    if k not in _SPLITS:
+        _SPLITS[k] = df.rdd.getNumPartitions()
+    if _SPLITS[k] >= par:
         return df
     return df.repartition(par, key)
