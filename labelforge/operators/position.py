@@ -14,11 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKET_CHARS = 3  # 16^3 = 4096 buckets of md5 order
 KEY_BUCKETS = 4096
+QUANTILE_ERROR = 1e-4
 
 
 def _cols(xs) -> list[Column]:
@@ -33,16 +35,18 @@ def hash_key(seed, id_col) -> Column:
 
 def global_position(df: DataFrame, order: Sequence, buckets: dict[str, Column],
                     bucket_order: Sequence, partition_by: Sequence[str] = (),
-                    name: str = "pos", total: str | None = None) -> DataFrame:
+                    name: str = "pos", total: str | None = None,
+                    bucket_cols: Sequence[str] = ()) -> DataFrame:
     """Number rows 0..n-1 (per ``partition_by``) in ``order``.
 
     ``buckets`` maps helper column names to expressions that are monotone in ``order``;
     ``bucket_order`` sorts the bucket columns the same way ``order`` sorts rows.
     ``total`` optionally names a column holding the row count of the row's partition.
+    ``bucket_cols`` names bucket columns already present in ``df``.
     """
     parts = list(partition_by)
-    bnames = list(buckets)
-    b = df.withColumns(buckets)
+    bnames = [*bucket_cols, *buckets]
+    b = df.withColumns(buckets) if buckets else df
     counts = b.groupBy(*parts, *bnames).agg(F.count(F.lit(1)).alias("_bn"))
     wo = Window.orderBy(*_cols(bucket_order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if parts:
@@ -56,7 +60,7 @@ def global_position(df: DataFrame, order: Sequence, buckets: dict[str, Column],
     w = Window.partitionBy(*parts, *bnames).orderBy(*_cols(order))
     return (b.join(offsets, on=[*parts, *bnames], how="inner")
             .withColumn(name, F.col("_boff") + F.row_number().over(w) - F.lit(1))
-            .drop(*bnames, "_boff"))
+            .drop(*buckets, "_boff"))
 
 
 def shuffle_position(df: DataFrame, id_col: str, seed, partition_by: Sequence[str] = (),
@@ -69,18 +73,32 @@ def shuffle_position(df: DataFrame, id_col: str, seed, partition_by: Sequence[st
         partition_by=partition_by, name=name, total=total).drop("_h")
 
 
+def quantile_bucket(df: DataFrame, col: str, name: str, n: int = KEY_BUCKETS) -> DataFrame:
+    """Add ``name``: a bucket number monotone in ``col`` from approximate quantiles, so buckets
+    hold about the same number of rows however the values are spread (a cluster of ids with a
+    far outlier, scores packed in a narrow band). The ≤ n+1 split points come back from one
+    pass (approxQuantile); rows are then placed by binary search on the JVM (Bucketizer).
+    Nulls get bucket -1 (they sort first)."""
+    tmp = f"_{name}_x"
+    d = df.withColumn(tmp, F.col(col).cast("double"))
+    try:
+        model = QuantileDiscretizer(numBuckets=n, inputCol=tmp, outputCol=f"_{name}_b",
+                                    relativeError=QUANTILE_ERROR, handleInvalid="keep").fit(d)
+    except Exception:  # noqa: BLE001 - empty input: no quantiles, a single bucket
+        return df.withColumn(name, F.lit(0).cast("long"))
+    out = model.transform(d)
+    return (out.withColumn(name, F.when(F.col(col).isNull(), F.lit(-1).cast("long"))
+                           .otherwise(F.col(f"_{name}_b").cast("long")))
+            .drop(tmp, f"_{name}_b"))
+
+
 def key_position(df: DataFrame, key: str, partition_by: Sequence[str] = (),
                  name: str = "pos", total: str | None = None) -> DataFrame:
-    """Dense rank of a unique numeric key (row id 0..n-1), via equal-width key ranges.
-
-    The range width comes from a scalar subquery over min/max, so there are at most
-    KEY_BUCKETS buckets whatever the table size."""
-    lo, hi = F.min(key), F.max(key)
-    stats = df.agg(F.struct(lo.alias("lo"), F.greatest(F.lit(1), F.ceil((hi - lo + 1) / KEY_BUCKETS))
-                            .alias("w")).alias("s")).scalar()
-    bucket = F.floor((F.col(key) - stats.getField("lo")) / stats.getField("w"))
-    return global_position(df, order=[key], buckets={"_kb": bucket}, bucket_order=["_kb"],
-                           partition_by=partition_by, name=name, total=total)
+    """Dense rank of a unique key (row id 0..n-1) over quantile buckets of the key."""
+    b = quantile_bucket(df, key, "_kb")
+    return global_position(b, order=[key], buckets={}, bucket_order=["_kb"],
+                           partition_by=partition_by, name=name, total=total,
+                           bucket_cols=["_kb"]).drop("_kb")
 
 
 def batch_id(pos: str, size: int) -> Column:
