@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import WORD_SPLIT
-from labelforge.functions.vectors import cosine, dot, l2_norm, normalize
+from labelforge.functions.vectors import cosine, normalize
 from labelforge.operators.position import global_position
 
 SIF_A = 1e-3           # fixed value: SIF smoothing constant
@@ -79,8 +79,12 @@ _DIMS: dict[tuple, int] = {}
 
 def vector_dim(vectors: DataFrame, vec: str = "embedding") -> int:
     """Dimension of the vector table (one row read, remembered per input files)."""
-    k = (vectors.sparkSession.sparkContext.applicationId, tuple(sorted(vectors.inputFiles())), vec)
-    if not k[1] or k not in _DIMS:
+    try:
+        app = vectors.sparkSession.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - remote session: no memo
+        app = None
+    k = (app, tuple(sorted(vectors.inputFiles())), vec)
+    if app is None or not k[1] or k not in _DIMS:
         _DIMS[k] = int(vectors.select(F.size(vec)).first()[0])
     return _DIMS[k]
 
@@ -169,4 +173,4 @@ def attention_mask(pad_mask) -> Column:
 
 __all__ = ["tokenize", "token_counts", "build_vocab", "attach_token_ids", "sif_weight", "pool",
            "idf_weights", "weight_summary", "centroid_cosine", "probe_pairs", "pad_ids",
-           "attention_mask", "vector_dim", "dot", "l2_norm"]
+           "attention_mask", "vector_dim"]

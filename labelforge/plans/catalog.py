@@ -11,18 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.functions import labels as LB
 from labelforge.functions import text as T
-from labelforge.functions.vectors import argmax, argmax2, l2_norm, round4, sigmoid, sigmoid_two_logits
-from labelforge.operators import checks as CK
+from labelforge.functions.vectors import round4
 from labelforge.operators import corpus as C
-from labelforge.operators import embed as E
 from labelforge.operators import evaluate as EV
 from labelforge.operators import groups as G
 from labelforge.operators import rules as R
 from labelforge.operators import split as S
-from labelforge.operators import translation as TR
-from labelforge.operators.position import key_position, shuffle_position
+from labelforge.operators.position import shuffle_position
 from labelforge.plans import views as V
 from labelforge.plans.oracle_sql import f2 as f2_sql
 from labelforge.plans.oracle_sql import py_strip as strip_sql

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelforge.functions.vectors import (argmax, argmax2, as_double, cosine, dot, l2_norm, round4,
-                                          sigmoid, sigmoid_two_logits)
+from labelforge.functions.vectors import (argmax, argmax2, as_double, dot, l2_norm, round4, sigmoid,
+                                          sigmoid_two_logits)
 from labelforge.operators import embed as E
 from labelforge.operators import evaluate as EV
 from labelforge.operators import split as S

@@ -1,7 +1,6 @@
 """Session defaults and the shared scratch folder."""
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -52,8 +51,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for files a job writes and reads back."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/labelforge/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_scratch(name: str) -> str:
-    """Machine-local folder, for unit tests only."""
-    return os.path.join(tempfile.mkdtemp(prefix=f"labelforge-{name}-"))

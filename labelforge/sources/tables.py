@@ -26,12 +26,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     (one large row group reads as one task, and every per-row step after it would run there).
     Large inputs already have enough splits and are left as they are. The split count of a
     path is looked up once per application (planning only, no job)."""
-    sc = df.sparkSession.sparkContext
-    par = sc.defaultParallelism
-    files = ",".join(sorted(df.inputFiles()))
-    k = (sc.applicationId, files)
-    if k not in _SPLITS:
-        _SPLITS[k] = df.rdd.getNumPartitions()
+    try:
+        sc = df.sparkSession.sparkContext
+        par = sc.defaultParallelism
+        k = (sc.applicationId, ",".join(sorted(df.inputFiles())))
+        if k not in _SPLITS:
+            _SPLITS[k] = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view of the plan (e.g. a remote session): leave as is
+        return df
     if _SPLITS[k] >= par:
         return df
     return df.repartition(par, key)
