@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.operators.position import quantile_bucket
+from labelforge.operators.position import range_buckets
 
 AUC_BUCKETS = 4096
 LABELS = ("Chat", "Search")  # class 0, 1
@@ -76,19 +76,20 @@ def auc(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "prob") ->
     AUC = Σ_s pos(s) · (neg(< s) + neg(s)/2) / (P · N). Rows are first reduced to one row per
     distinct (group, score) by a partial aggregate, so tied scores never make a hot key. The
     running count of negatives below each score is the bucketed running sum: the distinct
-    scores go to 4,096 quantile buckets (balanced however the scores are spread), bucket totals
+    scores go to two-level range buckets (balanced however the scores are spread), bucket totals
     (a small table) give each bucket's offset, and a window partitioned by (group, bucket) sums
     inside it. A group with one class only gives null."""
     parts = list(by)
     per = df.groupBy(*parts, score).agg(
         F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
-    per = quantile_bucket(per, score, "_b", AUC_BUCKETS)
-    bt = per.groupBy(*parts, "_b").agg(F.sum("_neg").alias("_bneg"))
-    wb = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    per = range_buckets(per, score, "_b", AUC_BUCKETS)
+    bk = ["_b1", "_b2"]
+    bt = per.groupBy(*parts, *bk).agg(F.sum("_neg").alias("_bneg"))
+    wb = Window.partitionBy(*parts).orderBy(*bk).rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("_boff", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
-    wi = (Window.partitionBy(*parts, "_b").orderBy(score)
+    wi = (Window.partitionBy(*parts, *bk).orderBy(score)
           .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (per.join(bt.drop("_bneg"), [*parts, "_b"])
+    ranked = (per.join(bt.drop("_bneg"), [*parts, *bk])
               .withColumn("_below", F.col("_boff") + F.coalesce(F.sum("_neg").over(wi), F.lit(0))))
     agg = ranked.groupBy(*parts).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_u"),

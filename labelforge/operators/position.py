@@ -14,13 +14,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKET_CHARS = 3  # 16^3 = 4096 buckets of md5 order
 KEY_BUCKETS = 4096
-QUANTILE_ERROR = 1e-4
 
 
 def _cols(xs) -> list[Column]:
@@ -58,9 +56,10 @@ def global_position(df: DataFrame, order: Sequence, buckets: dict[str, Column],
         extra = [F.sum("_bn").over(wt).alias(total)]
     offsets = counts.select(*parts, *bnames, (F.sum("_bn").over(wo) - F.col("_bn")).alias("_boff"), *extra)
     w = Window.partitionBy(*parts, *bnames).orderBy(*_cols(order))
+    keep = [c for c in b.columns if c not in buckets and c not in parts and c not in bnames]
+    out = [*parts, *[c for c in bnames if c not in buckets], *keep, *([total] if total else [])]
     return (b.join(offsets, on=[*parts, *bnames], how="inner")
-            .withColumn(name, F.col("_boff") + F.row_number().over(w) - F.lit(1))
-            .drop(*buckets, "_boff"))
+            .select(*out, (F.col("_boff") + F.row_number().over(w) - F.lit(1)).alias(name)))
 
 
 def shuffle_position(df: DataFrame, id_col: str, seed, partition_by: Sequence[str] = (),
@@ -73,32 +72,36 @@ def shuffle_position(df: DataFrame, id_col: str, seed, partition_by: Sequence[st
         partition_by=partition_by, name=name, total=total).drop("_h")
 
 
-def quantile_bucket(df: DataFrame, col: str, name: str, n: int = KEY_BUCKETS) -> DataFrame:
-    """Add ``name``: a bucket number monotone in ``col`` from approximate quantiles, so buckets
-    hold about the same number of rows however the values are spread (a cluster of ids with a
-    far outlier, scores packed in a narrow band). The ≤ n+1 split points come back from one
-    pass (approxQuantile); rows are then placed by binary search on the JVM (Bucketizer).
-    Nulls get bucket -1 (they sort first)."""
-    tmp = f"_{name}_x"
-    d = df.withColumn(tmp, F.col(col).cast("double"))
-    try:
-        model = QuantileDiscretizer(numBuckets=n, inputCol=tmp, outputCol=f"_{name}_b",
-                                    relativeError=QUANTILE_ERROR, handleInvalid="keep").fit(d)
-    except Exception:  # noqa: BLE001 - empty input: no quantiles, a single bucket
-        return df.withColumn(name, F.lit(0).cast("long"))
-    out = model.transform(d)
-    return (out.withColumn(name, F.when(F.col(col).isNull(), F.lit(-1).cast("long"))
-                           .otherwise(F.col(f"_{name}_b").cast("long")))
-            .drop(tmp, f"_{name}_b"))
+def range_buckets(df: DataFrame, col: str, name: str, n: int = KEY_BUCKETS) -> DataFrame:
+    """Add ``<name>1`` and ``<name>2``: a two-level bucket pair, lexicographically monotone in
+    ``col``, holding about count/n rows each however the values are spread.
+
+    Level 1 cuts [min, max] (a scalar subquery) into n equal ranges. Level 2 cuts each range
+    again from its own min, max and count (a table of at most n rows, joined back without a
+    hint: AQE broadcasts it after measuring it) into ceil(count / (total/n)) equal pieces, so a
+    dense cluster beside a far outlier, or scores packed into a narrow band, are still spread
+    over many buckets. Everything stays lazy: no job runs before the query does."""
+    c = F.col(col).cast("double")
+    st = df.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n")).alias("s")).scalar()
+    w = (st.getField("hi") - st.getField("lo")) / F.lit(n)
+    b1 = F.when(w > 0, F.least(F.floor((c - st.getField("lo")) / w), F.lit(n - 1))).otherwise(F.lit(0))
+    n1, n2 = f"{name}1", f"{name}2"
+    d = df.withColumn(n1, b1.cast("long"))
+    target = F.greatest(F.lit(1.0), st.getField("n") / F.lit(n))
+    pieces = F.ceil(F.count(F.lit(1)) / target)
+    per = d.groupBy(n1).agg(F.min(c).alias("_blo"), ((F.max(c) - F.min(c)) / pieces).alias("_bw"),
+                            pieces.alias("_bs"))
+    b2 = F.when(F.col("_bw") > 0, F.least(F.floor((c - F.col("_blo")) / F.col("_bw")), F.col("_bs") - 1)).otherwise(F.lit(0))
+    return d.join(per, n1, "left").select(*df.columns, n1, b2.cast("long").alias(n2))
 
 
 def key_position(df: DataFrame, key: str, partition_by: Sequence[str] = (),
                  name: str = "pos", total: str | None = None) -> DataFrame:
-    """Dense rank of a unique key (row id 0..n-1) over quantile buckets of the key."""
-    b = quantile_bucket(df, key, "_kb")
-    return global_position(b, order=[key], buckets={}, bucket_order=["_kb"],
+    """Dense rank of a unique key (row id 0..n-1) over two-level range buckets."""
+    b = range_buckets(df, key, "_kb")
+    return global_position(b, order=[key], buckets={}, bucket_order=["_kb1", "_kb2"],
                            partition_by=partition_by, name=name, total=total,
-                           bucket_cols=["_kb"]).drop("_kb")
+                           bucket_cols=["_kb1", "_kb2"]).drop("_kb1", "_kb2")
 
 
 def batch_id(pos: str, size: int) -> Column:

@@ -14,14 +14,15 @@ TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "pages": "page_i
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return spread(df, TEXT_KEYS[name], path) if name in TEXT_KEYS else df
 
 
 _SPLITS: dict[tuple[str, str], int] = {}
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str, path: str | None = None) -> DataFrame:
     """Hash-partition a scan on its key when it yields fewer splits than the cluster has cores
     (one large row group reads as one task, and every per-row step after it would run there).
     Large inputs already have enough splits and are left as they are. The split count of a
@@ -29,7 +30,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     try:
         sc = df.sparkSession.sparkContext
         par = sc.defaultParallelism
-        k = (sc.applicationId, ",".join(sorted(df.inputFiles())))
+        k = (sc.applicationId, path or ",".join(sorted(df.inputFiles())))
         if k not in _SPLITS:
             _SPLITS[k] = df.rdd.getNumPartitions()
     except Exception:  # noqa: BLE001 - no RDD view of the plan (e.g. a remote session): leave as is
