@@ -188,8 +188,26 @@ def apply_rules(df: DataFrame, query: str = "query", label: str = "label", rule:
             .withColumn(label, label_of_rule(rule)).drop("_t", "_w"))
 
 
+def policies() -> dict[str, str]:
+    """subset → 'label' | 'search', for the registry subsets and the view's subset names."""
+    out = {k: p for k, (_f, p) in SUBSET_REGISTRY.items()}
+    out.update({v: SUBSET_REGISTRY[r][1] for v, r in VIEW_SUBSETS.items()})
+    return out
+
+
+def constant_label_subsets() -> list[str]:
+    """Subsets whose rows all get the constant label."""
+    return sorted(k for k, p in policies().items() if p == "search")
+
+
+def policy_of(subset) -> Column:
+    """The subset's policy as a literal map lookup (the table is a code constant: no join)."""
+    m = F.create_map(*[x for k, p in sorted(policies().items()) for x in (F.lit(k), F.lit(p))])
+    return m[_c(subset)]
+
+
 def policy_table(spark) -> DataFrame:
-    """The fixed subset → policy table (a few dozen rows: safe to broadcast)."""
+    """The fixed subset → file, policy table, for reports."""
     rows = [(k, f, p) for k, (f, p) in SUBSET_REGISTRY.items()]
     rows += [(v, SUBSET_REGISTRY[r][0], SUBSET_REGISTRY[r][1]) for v, r in VIEW_SUBSETS.items()
              if v not in SUBSET_REGISTRY]
@@ -198,17 +216,16 @@ def policy_table(spark) -> DataFrame:
 
 def route_labels(df: DataFrame, subset: str = "subset", query: str = "query",
                  labeler=weak_label, name: str = "label") -> DataFrame:
-    """Labeler for subsets whose policy is 'label', constant 'Search' otherwise.
+    """Labeler for subsets whose policy is 'label', constant 'Search' otherwise.
     Unknown subsets are labelled by the labeler."""
-    pol = F.broadcast(policy_table(df.sparkSession).select(F.col("subset").alias("_s"), "policy"))
-    j = df.join(pol, df[subset] == pol["_s"], "left")
+    j = df.withColumn("_policy", policy_of(subset))
     if labeler is weak_label:
         j = apply_rules(j, query, "_lab", "_rule")
         lab = F.col("_lab")
     else:
         lab = labeler(F.col(query))
-    return (j.withColumn(name, F.when(F.col("policy") == "search", F.lit("Search")).otherwise(lab))
-            .drop("_s", "policy", "_lab", "_rule"))
+    return (j.withColumn(name, F.when(F.col("_policy") == "search", F.lit("Search")).otherwise(lab))
+            .drop("_policy", "_lab", "_rule"))
 
 
 def rule_flags(df: DataFrame, subset: str = "subset", query: str = "query") -> DataFrame:

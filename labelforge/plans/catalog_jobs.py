@@ -364,8 +364,7 @@ def m7_grid_select(spark, d):
 @register("p2_constant_label", q("SELECT subset, rid, 'Search' AS label FROM queries WHERE subset IN ('url', 'short')"))
 def p2_constant_label(spark, d):
     """The subsets whose policy is the constant label get 'Search' without any labeller."""
-    pol = R.policy_table(spark).filter(F.col("policy") == "search").select("subset")
-    qv = V.queries(spark, d).join(F.broadcast(pol), "subset", "left_semi")
+    qv = V.queries(spark, d).filter(F.col("subset").isin(*R.constant_label_subsets()))
     return qv.select("subset", "rid", F.lit("Search").alias("label"))
 
 

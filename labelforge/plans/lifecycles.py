@@ -41,11 +41,10 @@ def build_dataset(labeled: DataFrame, avoid: DataFrame | None = None, seed=666,
     deduplicated keeping the first row by (source, row_id) (A2); '?' is removed (F1); the
     reference dedupes before cleaning (Q4), ``dedupe_after_clean`` dedupes once more after it;
     then the exact split (D2). With ``out`` the result is written as CSV partitioned by split."""
-    pol = F.broadcast(R.policy_table(labeled.sparkSession).select(F.col("subset").alias("source"), "policy"))
-    routed = F.when(F.col("policy") == "search", F.lit("Search")).otherwise(R.weak_label(F.col("Query")))
+    routed = F.when(R.policy_of("source") == "search", F.lit("Search")).otherwise(R.weak_label(F.col("Query")))
     given = F.col("Label") if "Label" in labeled.columns else F.lit(None).cast("string")
     # coalesce evaluates the rule chain only for rows that arrive without a label
-    df = labeled.join(pol, "source", "left").withColumn("Label", F.coalesce(given, routed)).drop("policy")
+    df = labeled.withColumn("Label", F.coalesce(given, routed))
     if avoid is not None:
         df = C.remove_avoided(df, avoid, query="Query")
     df = C.dedupe_first(df, ["Query", "Label"], ["source", id_col])
