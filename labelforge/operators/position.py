@@ -72,25 +72,29 @@ def shuffle_position(df: DataFrame, id_col: str, seed, partition_by: Sequence[st
         partition_by=partition_by, name=name, total=total).drop("_h")
 
 
+LOG_SPAN = 45.0  # sign(x)·log1p(|x|) covers every bigint within ±45
+
+
 def range_buckets(df: DataFrame, col: str, name: str, n: int = KEY_BUCKETS) -> DataFrame:
     """Add ``<name>1`` and ``<name>2``: a two-level bucket pair, lexicographically monotone in
     ``col``, holding about count/n rows each however the values are spread.
 
-    Level 1 cuts [min, max] (a scalar subquery) into n equal ranges. Level 2 cuts each range
-    again from its own min, max and count (a table of at most n rows, joined back without a
-    hint: AQE broadcasts it after measuring it) into ceil(count / (total/n)) equal pieces, so a
-    dense cluster beside a far outlier, or scores packed into a narrow band, are still spread
-    over many buckets. Everything stays lazy: no job runs before the query does."""
+    Level 1 is a fixed monotone map (no statistics needed): sign(x)·log1p(|x|) cut into n equal
+    slices of [-45, 45], so each slice spans a few percent of relative range. Level 2 cuts each
+    slice again from its own min, max and count (a table of at most n rows, whose running total
+    comes from a window over that small table, joined back without a hint so AQE broadcasts it
+    after measuring it) into ceil(count / (total/n)) equal pieces. Dense clusters next to far
+    outliers, or scores packed into a narrow band, still spread over many buckets."""
     c = F.col(col).cast("double")
-    st = df.agg(F.struct(F.min(c).alias("lo"), F.max(c).alias("hi"), F.count(c).alias("n")).alias("s")).scalar()
-    w = (st.getField("hi") - st.getField("lo")) / F.lit(n)
-    b1 = F.when(w > 0, F.least(F.floor((c - st.getField("lo")) / w), F.lit(n - 1))).otherwise(F.lit(0))
+    v = F.signum(c) * F.log1p(F.abs(c))
+    v = F.least(F.greatest(v, F.lit(-LOG_SPAN)), F.lit(LOG_SPAN))
+    b1 = F.least(F.floor((v + LOG_SPAN) / (2 * LOG_SPAN) * n), F.lit(n - 1))
     n1, n2 = f"{name}1", f"{name}2"
     d = df.withColumn(n1, b1.cast("long"))
-    target = F.greatest(F.lit(1.0), st.getField("n") / F.lit(n))
-    pieces = F.ceil(F.count(F.lit(1)) / target)
-    per = d.groupBy(n1).agg(F.min(c).alias("_blo"), ((F.max(c) - F.min(c)) / pieces).alias("_bw"),
-                            pieces.alias("_bs"))
+    stats = d.groupBy(n1).agg(F.min(c).alias("_blo"), F.max(c).alias("_bhi"), F.count(F.lit(1)).alias("_bn"))
+    target = F.greatest(F.lit(1.0), F.sum("_bn").over(Window.partitionBy()) / F.lit(n))
+    pieces = F.ceil(F.col("_bn") / target)
+    per = stats.select(n1, "_blo", ((F.col("_bhi") - F.col("_blo")) / pieces).alias("_bw"), pieces.alias("_bs"))
     b2 = F.when(F.col("_bw") > 0, F.least(F.floor((c - F.col("_blo")) / F.col("_bw")), F.col("_bs") - 1)).otherwise(F.lit(0))
     return d.join(per, n1, "left").select(*df.columns, n1, b2.cast("long").alias(n2))
 
