@@ -7,12 +7,12 @@ from labelforge.plans import lifecycles as L
 def _labeled(spark):
     rows = [("What is a cat?", "Chat", "chat", 0), ("What is a cat", "Chat", "chat", 1),
             ("weather paris", None, "short", 2), ("help", None, "general", 3),
-            ("What is a cat?", "Chat", "chat", 4), ("write a haiku about Firefox", "Chat", "imperative_chat", 5)]
+            ("What is a cat?", "Chat", "chat", 4), ("write a haiku about autumn leaves", "Chat", "imperative_chat", 5)]
     return spark.createDataFrame(rows, "Query string, Label string, source string, row_id long")
 
 
 def test_build_dataset_routes_dedupes_and_splits(spark, tmp_dir):
-    avoid = spark.createDataFrame([("write a haiku about Firefox",)], "query string")
+    avoid = spark.createDataFrame([("write a haiku about autumn leaves",)], "query string")
     out = L.build_dataset(_labeled(spark), avoid=avoid, out=tmp_dir + "/ds")
     rows = {r.row_id: (r.Query, r.Label) for r in out.collect()}
     # row 4 duplicates row 0 (dedupe happens before '?' removal); row 5 is held out
