@@ -267,23 +267,39 @@ def _identity_translator(q: str, lang: str) -> str:
     return q
 
 
+def _translate_batch(todo):
+    res = U.translate_with(todo, _identity_translator, "fr", sleep=0.0)
+    return res.join(todo.select("row_id", "batch_id"), "row_id").select("row_id", "translation", "error", "batch_id")
+
+
 @register("t1_restartable_translation", q(f"SELECT row_id, {f2_sql('query')} AS translation, row_id // {BATCH_SIZE} AS batch_id FROM rowids"))
 def t1_restartable_translation(spark, d):
     """T1 + M2: the translation job run twice over the same folder; the second run finds every
     batch done and sends no row to the translator. The stand-in translator returns its input."""
     out = scratch_path(spark, "t1-job")
     work = TR.with_batches(_rowids(spark, d), BATCH_SIZE).select("row_id", "query", "batch_id")
+    J.run_batches(work, _translate_batch, out, TR.RESULT_SCHEMA)
+    again = J.run_batches(work, _translate_batch, out, TR.RESULT_SCHEMA)
+    if again:
+        raise RuntimeError(f"restart redid {again} rows")
+    return J.read_results(spark, out, TR.RESULT_SCHEMA).select("row_id", "translation", "batch_id")
 
-    def process(todo):
-        res = U.translate_with(todo, _identity_translator, "fr", sleep=0.0)
-        return res.join(todo.select("row_id", "batch_id"), "row_id").select(
-            "row_id", "translation", "error", "batch_id")
 
-    J.run_batches(work, process, out, TR.RESULT_SCHEMA)
-    again = J.run_batches(work, process, out, TR.RESULT_SCHEMA)
+@register("t1_stream_translation", REGISTRY["t1_restartable_translation"][1])
+def t1_stream_translation(spark, d):
+    """T1, streaming form: the work rows arrive as files; a file-source stream with an
+    availableNow trigger translates them batch by batch from foreachBatch; a second run finds
+    every file recorded in the checkpoint and does nothing."""
+    base = scratch_path(spark, "t1-stream")
+    work = TR.with_batches(_rowids(spark, d), BATCH_SIZE).select("row_id", "query", "batch_id")
+    work.write.parquet(f"{base}/inbox/arrival-0")
+    args = (f"{base}/inbox/*", "row_id long, query string, batch_id long", _translate_batch,
+            f"{base}/out", f"{base}/ckpt")
+    J.stream_batches(spark, *args)
+    again = J.stream_batches(spark, *args)
     if again:
         raise RuntimeError(f"restart redid {again} rows")
-    return J.read_results(spark, out, TR.RESULT_SCHEMA).select("row_id", "translation", "batch_id")
+    return J.read_results(spark, f"{base}/out", TR.RESULT_SCHEMA).select("row_id", "translation", "batch_id")
 
 
 @register("t2_stream_distinct", q("SELECT DISTINCT text AS query FROM documents d "

@@ -124,3 +124,23 @@ def test_t2_stream_equals_batch(spark, tmp_dir):
     avoid = spark.createDataFrame([("x",)], "query string")
     out = J.stream_distinct(spark, src + "/*", "text string", "text", avoid, tmp_dir + "/sink", tmp_dir + "/ck")
     assert sorted(r.query for r in out.collect()) == ["a", "b", "c"]
+
+
+def test_t1_streaming_form_processes_each_arrival_once(spark, tmp_dir):
+    def process(todo):
+        res = U.translate_with(todo, lambda q, lang: q + "!", "fr", sleep=0)
+        return res.join(todo.select("row_id", "batch_id"), "row_id").select("row_id", "translation", "error", "batch_id")
+
+    def arrive(lo, hi, name):
+        spark.range(lo, hi).select(F.col("id").alias("row_id"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("query"),
+                                   (F.col("id") / 8).cast("long").alias("batch_id")).write.parquet(f"{tmp_dir}/inbox/{name}")
+
+    schema = "row_id long, query string, batch_id long"
+    arrive(0, 16, "a")
+    args = (f"{tmp_dir}/inbox/*", schema, process, tmp_dir + "/out", tmp_dir + "/ck")
+    assert J.stream_batches(spark, *args) == 16
+    arrive(16, 24, "b")
+    assert J.stream_batches(spark, *args) == 8
+    assert J.stream_batches(spark, *args) == 0
+    res = J.read_results(spark, tmp_dir + "/out", TR.RESULT_SCHEMA)
+    assert res.count() == 24 and res.filter("translation = concat('q', row_id, '!')").count() == 24
