@@ -79,9 +79,18 @@ def auc(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "prob") ->
     scores go to two-level range buckets (balanced however the scores are spread), bucket totals
     (a small table) give each bucket's offset, and a window partitioned by (group, bucket) sums
     inside it. A group with one class only gives null."""
+    return auc_from_scores(score_counts(df, by, y, score), by, score)
+
+
+def score_counts(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "prob") -> DataFrame:
+    """(group, score, _pos, _neg): the partial aggregate every ranking metric starts from."""
+    return df.groupBy(*by, score).agg(F.count_if(F.col(y) == 1).alias("_pos"),
+                                      F.count_if(F.col(y) == 0).alias("_neg"))
+
+
+def auc_from_scores(per: DataFrame, by: Sequence[str], score: str = "prob") -> DataFrame:
+    """A10 on the (group, score, _pos, _neg) table of ``score_counts``."""
     parts = list(by)
-    per = df.groupBy(*parts, score).agg(
-        F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
     per = range_buckets(per, score, "_b", AUC_BUCKETS)
     bk = ["_b1", "_b2"]
     bt = per.groupBy(*parts, *bk).agg(F.sum("_neg").alias("_bneg"))
@@ -107,10 +116,16 @@ def expand_memberships(df: DataFrame, membership: DataFrame, grp: str = "grp",
 
 def group_report(df: DataFrame, by: Sequence[str], y: str = "y", prob: str = "prob",
                  thr: float = 0.5) -> DataFrame:
-    """Wide report per group: n, AUC, accuracy and the confusion cells (A8 + A9 + A10)."""
-    p = df.withColumn("pred", threshold(prob, thr))
-    cm = binary_metrics(confusion(p, by, y, "pred"))
-    return cm.join(auc(p, by, y, prob), list(by), "left")
+    """Wide report per group: n, AUC, accuracy and the confusion cells (A8 + A9 + A10).
+    Cells and AUC both come from one (group, score) pre-aggregate, so the predictions are read
+    once (the two branches share that exchange)."""
+    per = score_counts(df, by, y, prob)
+    hi = F.col(prob) >= F.lit(thr)
+    cells = per.groupBy(*by).agg(
+        F.sum(F.col("_pos") + F.col("_neg")).alias("n"),
+        F.sum(F.when(~hi, F.col("_neg")).otherwise(0)).alias("tn"), F.sum(F.when(hi, F.col("_neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hi, F.col("_pos")).otherwise(0)).alias("fn"), F.sum(F.when(hi, F.col("_pos")).otherwise(0)).alias("tp"))
+    return binary_metrics(cells).join(auc_from_scores(per, by, prob), list(by), "left")
 
 
 def positive_rate(df: DataFrame, by: Sequence[str], y: str = "y") -> DataFrame:
