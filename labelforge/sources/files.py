@@ -37,13 +37,26 @@ def read_labeled_dir(spark: SparkSession, path: str, schema: str | StructType =
     """Every ``*.csv`` in a folder as one table; ``source`` is the file stem
     (``timebound.csv`` → ``timebound``). A folder written partitioned by ``source``
     (``source=<x>/part-*.csv``) gets the value from partition discovery instead."""
+    if _has_partition_dirs(spark, path, source):
+        # partition values stay text (no type inference: a subset named "007" is not 7)
+        sch = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+        return (spark.read.schema(sch.add(source, "string")).options(**_CSV_OPTS)
+                .option("pathGlobFilter", "*.csv").csv(path))
     df = (spark.read.schema(schema).options(**_CSV_OPTS)
           .option("pathGlobFilter", "*.csv").csv(path))
-    if source in df.columns:
-        return df
     return df.withColumn(source, F.regexp_replace(F.col("_metadata.file_name"), r"\.csv$", ""))
 
 
+def _has_partition_dirs(spark: SparkSession, path: str, column: str) -> bool:
+    """Whether ``path`` holds ``<column>=<value>`` folders (a listing, no job)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return False
+    return any(st.isDirectory() and st.getPath().getName().startswith(f"{column}=") for st in fs.listStatus(p))
+
+
 def write_unquoted_lines(df: DataFrame, line_col: str, path: str, header: str | None = None,
                          mode: str = "overwrite") -> None:
     """S6 sink: pre-built unquoted CSV lines written as text (one part file per task; the

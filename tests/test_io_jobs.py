@@ -144,3 +144,10 @@ def test_t1_streaming_form_processes_each_arrival_once(spark, tmp_dir):
     assert J.stream_batches(spark, *args) == 0
     res = J.read_results(spark, tmp_dir + "/out", TR.RESULT_SCHEMA)
     assert res.count() == 24 and res.filter("translation = concat('q', row_id, '!')").count() == 24
+
+
+def test_s2_partitioned_folder_keeps_text_values(spark, tmp_dir):
+    df = spark.createDataFrame([("q1", "Chat", "007"), ("q2", "Search", "timebound")], "Query string, Label string, source string")
+    IO.write_csv(df, tmp_dir + "/p", partition_by=["source"])
+    got = sorted(tuple(r) for r in IO.read_labeled_dir(spark, tmp_dir + "/p").collect())
+    assert got == [("q1", "Chat", "007"), ("q2", "Search", "timebound")]
