@@ -68,6 +68,33 @@ def attach_token_ids(df: DataFrame, vocab: DataFrame, n_vectors: Column | int |
     return j.withColumn("vid", tid.cast("long"))
 
 
+TOP_RANK_LIMIT = 1_000_000  # largest vector table whose ids are ranked by a bounded top-k
+
+
+def token_logp(tokens: DataFrame) -> DataFrame:
+    """(token, n, logp) without ranks: what the SIF weights need."""
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    return counts.withColumn("logp", F.log(F.col("n") / total))
+
+
+def vector_token_ids(counts: DataFrame, n_vectors: int) -> DataFrame:
+    """(token, vid) for the tokens whose vocabulary rank (n desc, token) is below ``n_vectors``;
+    every other token maps to vector 0. When the vector table is at most TOP_RANK_LIMIT rows
+    this is a bounded top-k (each task keeps n_vectors rows, then one ordered merge) instead of
+    ranking the whole vocabulary; larger tables use the bucketed full rank."""
+    from pyspark.sql import Window
+    if n_vectors <= TOP_RANK_LIMIT:
+        top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(n_vectors).select("token", "n")
+        w = Window.orderBy(F.col("n").desc(), F.col("token"))
+        return top.select("token", (F.row_number().over(w) - 1).alias("vid"))
+    ranked = global_position(
+        counts, order=[F.col("n").desc(), F.col("token")],
+        buckets={"_vn": F.col("n"), "_vt": F.substring("token", 1, VOCAB_PREFIX_CHARS)},
+        bucket_order=[F.col("_vn").desc(), F.col("_vt")], name="vid")
+    return ranked.filter(F.col("vid") < n_vectors).select("token", "vid")
+
+
 def sif_weight(logp) -> Column:
     """a / (a + exp(logp)); an unknown token (null logp) weighs 1."""
     lp = F.col(logp) if isinstance(logp, str) else logp

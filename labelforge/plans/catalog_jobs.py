@@ -341,10 +341,9 @@ def m3_generate_with(spark, d):
 
 # ---------------------------------------------------------------- models (rows only)
 def _pooled_groups(spark, d):
+    from labelforge.plans.catalog_vectors import _pooled_ids
     emb = table(spark, d, "embeddings")
-    nvec = emb.select(F.count(F.lit(1))).scalar()
-    ids = E.attach_token_ids(V.doc_token_counts(spark, d), V.vocab(spark, d), n_vectors=nvec)
-    pooled = E.pool(ids, emb, "doc_id", E.vector_dim(emb), weight=E.sif_weight("logp"))
+    pooled = E.pool(_pooled_ids(spark, d), emb, "doc_id", E.vector_dim(emb), weight=E.sif_weight("logp"))
     # Model fitting passes over its input many times: cut the lineage once with a reliable
     # checkpoint in the shared checkpoint folder (survives executor loss, unlike a local one).
     return V.groups(spark, d).select("doc_id", "grp", "y").join(pooled, "doc_id").checkpoint(eager=True)
@@ -392,9 +391,9 @@ dv AS (SELECT dt.doc_id, dt.cnt, CASE WHEN v.token_id < (SELECT count(*) FROM em
        FROM dt JOIN vocab v USING (token))"""))
 def j7_token_vectors(spark, d):
     """Every token occurrence gathers its vector (by token id; ids past the table → 0)."""
+    from labelforge.plans.catalog_vectors import _pooled_ids
     emb = table(spark, d, "embeddings")
-    nvec = emb.select(F.count(F.lit(1))).scalar()
-    ids = E.attach_token_ids(V.doc_token_counts(spark, d), V.vocab(spark, d), n_vectors=nvec)
+    ids = _pooled_ids(spark, d)
     j = ids.join(emb.select(F.col("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v")), "vid")
     return j.groupBy("doc_id").agg(F.sum("cnt").alias("n_gathered"),
                                    round4(F.sum(F.col("cnt") * F.col("v")[0])).alias("dim0_sum"))
