@@ -151,3 +151,14 @@ def test_s2_partitioned_folder_keeps_text_values(spark, tmp_dir):
     IO.write_csv(df, tmp_dir + "/p", partition_by=["source"])
     got = sorted(tuple(r) for r in IO.read_labeled_dir(spark, tmp_dir + "/p").collect())
     assert got == [("q1", "Chat", "007"), ("q2", "Search", "timebound")]
+
+
+def test_m1_batched_labeller_checks_reply_length(spark):
+    b = spark.createDataFrame([(0, ["a", "b"]), (1, ["c", "d", "e"])], "batch_id long, items array<string>")
+
+    def fn(qs):
+        return ["Chat"] * len(qs) if len(qs) == 2 else ["Chat"]
+
+    r = {x.batch_id: x for x in U.label_batches_with(b, fn, max_retries=2).collect()}
+    assert r[0].replies == ["Chat", "Chat"] and r[0].error is None and r[0].attempts == 1
+    assert r[1].replies is None and "1 labels for 3 queries" in r[1].error and r[1].attempts == 2
