@@ -162,3 +162,13 @@ def test_m1_batched_labeller_checks_reply_length(spark):
     r = {x.batch_id: x for x in U.label_batches_with(b, fn, max_retries=2).collect()}
     assert r[0].replies == ["Chat", "Chat"] and r[0].error is None and r[0].attempts == 1
     assert r[1].replies is None and "1 labels for 3 queries" in r[1].error and r[1].attempts == 2
+
+
+def test_s6_sink_writes_header_then_lines(spark, tmp_dir):
+    df = spark.createDataFrame([("a,b", "Chat", "x"), ("c", "Search", "y")], "q string, l string, s string")
+    lines = df.select(TR.unquoted_csv_line(["q", "l", "s"]).alias("line"))
+    IO.write_unquoted_lines(lines, "line", tmp_dir + "/s6", header="Query,Label,source")
+    import glob
+    parts = sorted(p for p in glob.glob(tmp_dir + "/s6/part-*"))
+    text = "".join(open(p).read() for p in parts).splitlines()
+    assert text[0] == "Query,Label,source" and sorted(text[1:]) == ["a\\,b,Chat,x", "c,Search,y"]
