@@ -1,6 +1,7 @@
 """Session defaults and the shared scratch folder."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,15 +33,17 @@ def get_session(master: str | None = None, app: str = "labelforge",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    checkpoint_root(spark)
     return spark
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a private one only when unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where it is unset, a private one in local
+    mode (tests), else an error: executors of a cluster can't see the driver's folders."""
     sc = spark.sparkContext
     root = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="labelforge-ckpt-")
         sc.setCheckpointDir(root)
         root = sc.getCheckpointDir() or root
