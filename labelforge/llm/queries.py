@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import bloom_cascade, licenses, quality_cascade, secrets
+from labelforge.llm import bloom_cascade, decontaminate, licenses, packing, quality_cascade, secrets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -87,3 +87,24 @@ def op7_quality_cascade(spark, d):
 @register("op10_license_templates")
 def op10_license_templates(spark, d):
     return licenses.scan(read(spark, d, "documents")).drop("spans")
+
+
+# ------------------------------------------------------------------ 8 packing
+def ranks_path(spark: SparkSession) -> str:
+    """The vocabulary of byte_bpe_50k.json as ranks; labelforge.bpe_ranks names another place."""
+    import public_tokenizers
+
+    return spark.conf.get("labelforge.bpe_ranks", None) or str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@register("op8_shortest_pack_first")
+def op8_shortest_pack_first(spark, d):
+    pieces = packing.tokenize(read(spark, d, "documents"), ranks_path(spark))
+    slim = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(slim)
+
+
+# ------------------------------------------------------------------ 2 decontamination
+@register("op2_spaced_seed_leaks")
+def op2_spaced_seed_leaks(spark, d):
+    return decontaminate.overlaps(read(spark, d, "documents"), read(spark, d, "benchmark"))
