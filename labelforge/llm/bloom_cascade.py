@@ -41,8 +41,9 @@ def _positions(key: Column, level: int, n_words: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(level), F.lit(i)), F.lit(n_words * 64).cast("long")) for i in range(HASHES)]
 
 
-def _encode(keys: DataFrame, level: int, n: int) -> Level:
-    n_words = max(1, -(-n * BITS_PER_KEY // 64))
+def encode(keys: DataFrame, n: int, level: int = 1, max_bits: int = MAX_BITS) -> Level:
+    """A Bloom filter of the ``n`` keys in the column ``key``, of at most ``max_bits`` bits."""
+    n_words = max(1, -(-min(n * BITS_PER_KEY, max_bits) // 64))
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, n_words))).alias("at"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
     words = at.groupBy((F.col("at") / 64).cast("long").alias("w")).agg(F.bit_or(one).alias("bits"))
@@ -52,7 +53,7 @@ def _encode(keys: DataFrame, level: int, n: int) -> Level:
     return Level(materialize(full, f"cascade-level{level}"), n_words, level)
 
 
-def _accepts(level: Level, key: Column, bits: Column) -> Column:
+def accepts(level: Level, key: Column, bits: Column) -> Column:
     """All bits of the key are set in ``bits``, the level's words."""
     ok = F.lit(True)
     for at in _positions(key, level.number, level.n_words):
@@ -79,7 +80,7 @@ class Cascade:
         """Exact for every key of the universe the cascade was built over."""
         out = F.lit(len(self.levels) % 2 == 1)
         for lv in reversed(self.levels):
-            out = F.when(~_accepts(lv, key, F.col(f"__{self.name}_{lv.number}")), F.lit(lv.number % 2 == 0)).otherwise(out)
+            out = F.when(~accepts(lv, key, F.col(f"__{self.name}_{lv.number}")), F.lit(lv.number % 2 == 0)).otherwise(out)
         return F.coalesce(F.when(key.isNotNull(), out), F.lit(False))
 
 
@@ -96,8 +97,8 @@ def build(listed: DataFrame, universe: DataFrame, name: str = "cascade", max_bit
     while n:
         if len(levels) == MAX_LEVELS or n * BITS_PER_KEY > max_bits:
             raise ValueError(f"{n} keys at level {len(levels) + 1}: over the bound of what is sent to executors; use member_by_join")
-        levels.append(_encode(inside, len(levels) + 1, n))
-        wrong = materialize(outside.where(_accepts(levels[-1], F.col("key"), levels[-1].bits.scalar())), f"cascade-wrong{len(levels)}")
+        levels.append(encode(inside, n, len(levels) + 1))
+        wrong = materialize(outside.where(accepts(levels[-1], F.col("key"), levels[-1].bits.scalar())), f"cascade-wrong{len(levels)}")
         inside, outside = wrong, inside
         n = inside.count()
     return Cascade(levels, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import bloom_cascade, decontaminate, licenses, packing, quality_cascade, secrets
+from labelforge.llm import bloom_cascade, chosen_path, decontaminate, licenses, packing, quality_cascade, secrets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -108,3 +108,9 @@ def op8_shortest_pack_first(spark, d):
 @register("op2_spaced_seed_leaks")
 def op2_spaced_seed_leaks(spark, d):
     return decontaminate.overlaps(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
+# ------------------------------------------------------------------ 6 near duplicates
+@register("op6_chosen_path")
+def op6_chosen_path(spark, d):
+    return chosen_path.near_duplicates(read(spark, d, "documents"))
