@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import bloom_cascade, chosen_path, decontaminate, licenses, packing, quality_cascade, secrets
+from labelforge.llm import bloom_cascade, chosen_path, decontaminate, lattice, licenses, packing, quality_cascade, secrets
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -114,3 +114,16 @@ def op2_spaced_seed_leaks(spark, d):
 @register("op6_chosen_path")
 def op6_chosen_path(spark, d):
     return chosen_path.near_duplicates(read(spark, d, "documents"))
+
+
+# ------------------------------------------------------------------ 9 language-model scores
+def pieces_path(spark: SparkSession) -> str:
+    """The subword vocabulary; labelforge.pieces names another place."""
+    import public_tokenizers
+
+    return spark.conf.get("labelforge.pieces", None) or str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@register("op9_subword_lattice")
+def op9_subword_lattice(spark, d):
+    return lattice.score(read(spark, d, "documents"), pieces_path(spark))
