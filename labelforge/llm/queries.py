@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import bloom_cascade, chosen_path, decontaminate, lattice, licenses, packing, quality_cascade, secrets
+from labelforge.llm import bloom_cascade, chosen_path, decontaminate, html_template, lattice, licenses, packing, quality_cascade, secrets, sentence_spans
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -127,3 +127,15 @@ def pieces_path(spark: SparkSession) -> str:
 @register("op9_subword_lattice")
 def op9_subword_lattice(spark, d):
     return lattice.score(read(spark, d, "documents"), pieces_path(spark))
+
+
+# ------------------------------------------------------------------ 4 sentence spans
+@register("op4_sentence_spans")
+def op4_sentence_spans(spark, d):
+    return sentence_spans.repeated_spans(read(spark, d, "documents"))
+
+
+# ------------------------------------------------------------------ 1 HTML extraction
+@register("op1_template_removal")
+def op1_template_removal(spark, d):
+    return html_template.extract(read(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
