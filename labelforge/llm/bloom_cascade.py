@@ -46,10 +46,9 @@ def encode(keys: DataFrame, n: int, level: int = 1, max_bits: int = MAX_BITS) ->
     n_words = max(1, -(-min(n * BITS_PER_KEY, max_bits) // 64))
     at = keys.select(F.explode(F.array(*_positions(F.col("key"), level, n_words))).alias("at"))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
-    words = at.groupBy((F.col("at") / 64).cast("long").alias("w")).agg(F.bit_or(one).alias("bits"))
-    held = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("m"))
-    full = held.select(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n_words - 1).cast("long")),
-                                   lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("long"))).alias("bits"))
+    empty = keys.sparkSession.range(n_words).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("bits"))
+    words = at.select((F.col("at") / 64).cast("long").alias("w"), one.alias("bits")).union(empty).groupBy("w").agg(F.bit_or("bits").alias("bits"))
+    full = words.agg(F.sort_array(F.collect_list(F.struct("w", "bits")))["bits"].alias("bits"))
     return Level(materialize(full, f"cascade-level{level}"), n_words, level)
 
 

@@ -13,9 +13,10 @@ are one class, and only one document of a class takes part in what follows.
   further level lowers that (0.50 at 8 levels: 2e-4; pairs of 0.9 and more: under 1e-6).
 - Star round: each class is compared with the smallest id it shares a node with. That links almost
   all copies with one comparison each, and what is linked need not be compared again.
-- Nodes whose documents still lie in different components: those of at most ``LIMIT`` documents are
-  compared exhaustively, larger ones branch further, and what stays large ``MAX_DEPTH`` levels down
+- Nodes whose documents still lie in different components: small ones (``WORK``) are compared
+  exhaustively, larger ones branch further, and what stays large ``MAX_DEPTH`` levels down
   is compared block by block, so no task holds an unbounded group and no pair of a node is left out.
+  A node's task has the full sets and emits links only, one per pair of components it joins.
 - The sketches rule out pairs that lie more than four standard errors below the threshold; every
   other pair is confirmed on the full sets: 100·|A∩B| ≥ 85·|A∪B|.
 
@@ -46,7 +47,8 @@ TREES = 12
 START_DEPTH = 4
 STEP = 2
 MAX_DEPTH = 24
-LIMIT = 200
+WORK = 1 << 28  # a node is compared in one task if its documents times its shingles stay below
+BLOCK_ROWS = 200
 # four standard errors under the threshold, of COORDS minwise values and of BINS bins
 MIN_COORDS = int(COORDS * (NUM / DEN - 4 * (NUM / DEN * (1 - NUM / DEN) / COORDS) ** 0.5))
 MIN_BINS = NUM / DEN - 4 * (NUM / DEN * (1 - NUM / DEN) / BINS) ** 0.5
@@ -123,9 +125,9 @@ def children(nodes: np.ndarray, mins: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _branch(batches: Iterator[pa.RecordBatch], levels: int, root: bool) -> Iterator[pa.RecordBatch]:
-    """(node, id) ``levels`` further down; from the roots of all trees, or from the column node."""
+    """(node, id, size) ``levels`` further down; from the roots of all trees, or from the column node."""
     for batch in batches:
-        ids = batch.column(batch.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+        ids, size = (batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("id", "size"))
         if not len(ids):
             continue
         raw = batch.column(batch.schema.get_field_index("mins"))
@@ -139,7 +141,7 @@ def _branch(batches: Iterator[pa.RecordBatch], levels: int, root: bool) -> Itera
         for _ in range(levels):
             at, node = children(node, mins[row])
             row = row[at]
-        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row])], names=["node", "id"])
+        yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(ids[row]), pa.array(size[row])], names=["node", "id", "size"])
 
 
 def similar(mins: np.ndarray, bins: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -153,23 +155,68 @@ def similar(mins: np.ndarray, bins: np.ndarray, i: np.ndarray, j: np.ndarray) ->
     return out
 
 
-def _node_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one node that lie in different components and may be similar."""
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    small, large = (a, b) if len(a) < len(b) else (b, a)
+    if DEN * len(small) < NUM * len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int(np.count_nonzero(large[at] == small))
+    return DEN * both >= NUM * (len(a) + len(b) - both)
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """|A∩B| of all pairs: the sets as rows of a 0/1 matrix, multiplied slice by slice."""
+    sizes = [len(x) for x in sets]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    words, col = np.unique(np.concatenate(sets), return_inverse=True)
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(col, kind="stable")
+    col, owner = col[order], owner[order]
+    width = max(1024, (4 << 20) // len(sets))
+    for x in range(0, len(words), width):
+        lo, hi = np.searchsorted(col, (x, x + width))
+        m = np.zeros((len(sets), min(width, len(words) - x)), np.float32)
+        m[owner[lo:hi], col[lo:hi] - x] = 1
+        out += m @ m.T
+    return np.rint(out).astype(np.int64)
+
+
+def _links_of(docs: list[dict]) -> list[tuple[int, int]]:
+    ids = [d["id"] for d in docs]
+    comp = np.array([d["component"] for d in docs])
+    mins = np.frombuffer(b"".join(d["mins"] for d in docs), np.uint32).reshape(-1, COORDS)
+    bins = np.frombuffer(b"".join(d["bins"] for d in docs), np.uint8).reshape(-1, BINS)
+    near = []
+    for k in range(len(ids) - 1):
+        j = np.flatnonzero(comp[k + 1:] != comp[k]) + k + 1
+        j = j[similar(mins, bins, np.full(len(j), k), j)] if len(j) else j
+        near += [(k, x) for x in j.tolist()]
+    if not near:
+        return []
+    used = np.unique(np.array(near))
+    sets = {k: np.frombuffer(docs[k]["shingles"], np.uint64) for k in used.tolist()}
+    if len(near) > 2 * len(used):
+        place = {k: i for i, k in enumerate(used.tolist())}
+        both = shared(list(sets.values()))
+        near = [(i, j) for i, j in near if DEN * (n := both[place[i], place[j]]) >= NUM * (len(sets[i]) + len(sets[j]) - n)]
+    else:
+        near = [(i, j) for i, j in near if linked(sets[i], sets[j])]
+    out = []
+    for i, j in near:
+        if comp[i] != comp[j]:
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+            comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _node_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a node between different components; components that a link joins are one from then on."""
     for batch in batches:
-        a_out, b_out = [], []
-        for docs in batch.column(0).to_pylist():
-            ids = np.array([d["id"] for d in docs])
-            comp = np.array([d["component"] for d in docs])
-            mins = np.frombuffer(b"".join(d["mins"] for d in docs), np.uint32).reshape(-1, COORDS)
-            bins = np.frombuffer(b"".join(d["bins"] for d in docs), np.uint8).reshape(-1, BINS)
-            for k in range(len(ids) - 1):
-                j = np.flatnonzero(comp[k + 1:] != comp[k]) + k + 1
-                if len(j):
-                    j = j[similar(mins, bins, np.full(len(j), k), j)]
-                    a_out.append(np.minimum(ids[k], ids[j]))
-                    b_out.append(np.maximum(ids[k], ids[j]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_out, b_out))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        out = [ab for node in batch.column(0) for ab in _links_of(node.as_py())]
+        cols = list(zip(*out)) or [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b"])
 
 
 def _sketch_check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,15 +234,8 @@ def _sketch_check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs whose full sets reach the threshold."""
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            small, large = (a, b) if len(a) < len(b) else (b, a)
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int(np.count_nonzero(large[at] == small))
-            keep.append(DEN * both >= NUM * (len(a) + len(b) - both))
-        ok = pa.array(keep, pa.bool_())
+        ok = pa.array([linked(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64))
+                       for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
 
 
@@ -204,71 +244,84 @@ class _Join:
     def __init__(self, slim: DataFrame, reps: DataFrame):
         self.slim, self.reps = slim, reps
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose full sets are linked. Only documents of a pair are read again: a Bloom
-        filter of bounded size drops most others at the scan, the join the rest."""
-        ids = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), "pair-ids")
-        n = ids.count()
+    def sets(self, ids: DataFrame, n: int) -> DataFrame:
+        """(id, shingles) of the ids in the column ``key`` (at most ``n`` different ones). Their
+        texts are read again: a Bloom filter of bounded size drops most others at the scan, the
+        join the rest."""
         bloom = encode(ids, n)
         docs = self.slim.where(accepts(bloom, F.col("doc_id"), bloom.bits.scalar()))
-        docs = docs.join(ids, docs["doc_id"] == ids["key"], "left_semi")
-        sets = materialize(docs.mapInArrow(_full_sets, "id bigint, shingles binary"), "shingle-sets")
-        a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
-        b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
-        both = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-        return materialize(both.mapInArrow(_linked, "a bigint, b bigint").distinct(), "links")
+        docs = docs.join(ids.distinct(), F.col("doc_id") == F.col("key"), "left_semi")
+        return materialize(docs.mapInArrow(_full_sets, "id bigint, shingles binary"), "shingle-sets")
+
+    def busy(self, nodes: DataFrame) -> DataFrame:
+        """The rows of nodes that hold two ids or more, with the node's size and smallest id."""
+        size = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub"), F.sum("size").alias("total")).where("n > 1"), "nodes")
+        return materialize(nodes.join(size, "node"), "members")
 
     def stars(self, members: DataFrame) -> DataFrame:
-        """Each id with the smallest other id of its nodes, if the sketches allow a link."""
+        """Links (a, b) of each id b with the smallest other id of its nodes."""
         pairs = members.where("id <> hub").groupBy(F.col("id").alias("b")).agg(F.min("hub").alias("a"))
-        pairs = materialize(pairs, "star-pairs")
         left = self.reps.select(F.col("id").alias("a"), "mins", "bins")
         right = self.reps.select(F.col("id").alias("b"), F.col("mins").alias("mins_b"), F.col("bins").alias("bins_b"))
         both = pairs.join(left, "a").join(right, "b").select("a", "b", "mins", "mins_b", "bins", "bins_b")
-        return materialize(both.mapInArrow(_sketch_check, "a bigint, b bigint"), "star-candidates")
-
-    def busy(self, nodes: DataFrame) -> DataFrame:
-        """The rows of nodes that hold two ids or more, with the node's size and smallest id."""
-        size = materialize(nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("hub")).where("n > 1"), "nodes")
-        return materialize(nodes.join(size, "node"), "members")
-
-    def exhaustive(self, groups: DataFrame, keys: list[str]) -> DataFrame:
-        """Pairs of each group of at most about LIMIT rows (id, component)."""
-        rows = groups.join(self.reps.select("id", "mins", "bins"), "id")
-        held = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "component", "mins", "bins")).alias("docs"))
-        return held.select("docs").mapInArrow(_node_pairs, "a bigint, b bigint")
-
-    def rest(self, members: DataFrame, label: DataFrame) -> DataFrame | None:
-        """Candidate pairs between different components, from all nodes that hold several."""
-        found: list[DataFrame] = []
+        pairs = materialize(both.mapInArrow(_sketch_check, "a bigint, b bigint"), "star-pairs")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("key")), 2 * pairs.count())
+        a = sets.select(F.col("id").alias("a"), F.col("shingles").alias("set_a"))
+        b = sets.select(F.col("id").alias("b"), F.col("shingles").alias("set_b"))
+        full = pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
+        return materialize(full.mapInArrow(_linked, "a bigint, b bigint").distinct(), "star-links")
+
+    def exhaustive(self, groups: DataFrame, keys: list[str], sets: DataFrame) -> DataFrame:
+        """Links within each group of a bounded number of rows (id, component)."""
+        rows = groups.join(self.reps.select("id", "mins", "bins").join(sets, "id"), "id")
+        held = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "component", "mins", "bins", "shingles")).alias("docs"))
+        return materialize(held.select("docs").mapInArrow(_node_links, "a bigint, b bigint").distinct(), "node-links")
+
+    def mixed(self, members: DataFrame, label: DataFrame) -> DataFrame:
+        """The members (node, id, n, total) of nodes that hold several components, with their component."""
+        rows = members.select("node", "id", "n", "total").join(label, "id", "left").select("node", "id", "n", "total", F.coalesce("component", "id").alias("component"))
+        rows = materialize(rows, "labelled")
+        several = rows.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node")
+        return materialize(rows.join(materialize(several, "mixed"), "node"), "mixed-rows")
+
+    def rest(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """(id, component) after all nodes that hold several components are compared; ``links``: the
+        star round's. What a level links is known when the next one is looked at."""
+        rows = self.mixed(members, _star_labels(links))
+        n = rows.count()
+        if not n:
+            return components(links)
+        sets = self.sets(rows.select(F.col("id").alias("key")), n)  # the nodes further down hold no other ids
         depth = START_DEPTH
         while True:
-            rows = members.select("node", "id").join(label, "id", "left").select("node", "id", F.coalesce("component", "id").alias("component"))
-            rows = materialize(rows, "labelled")
-            mixed = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("node", "n")
-            rows = materialize(rows.join(materialize(mixed, "mixed"), "node"), "mixed-rows")
-            found.append(materialize(self.exhaustive(rows.where(F.col("n") <= LIMIT), ["node"]).distinct(), "pairs"))
-            large = rows.where(F.col("n") > LIMIT)
+            links = links.union(self.exhaustive(rows.where(F.col("n") * F.col("total") <= WORK), ["node"], sets))
+            large = rows.where(F.col("n") * F.col("total") > WORK)
+            if not large.limit(1).count():
+                return components(links)
+            label = components(links)
+            large = self.mixed(large, label)
             if not large.limit(1).count():
-                break
+                return label
             if depth >= MAX_DEPTH:
-                found.append(materialize(self.blocks(large).distinct(), "pairs"))
-                break
+                return components(links.union(self.blocks(large, sets)))
             depth += STEP
-            below = large.select("node", "id").join(self.reps.select("id", "mins"), "id")
-            members = self.busy(materialize(below.mapInArrow(lambda bs: _branch(bs, STEP, False), "node bigint, id bigint").distinct(), "paths"))
-        out = found[0]
-        for f in found[1:]:
-            out = out.union(f)
-        return out.distinct()
-
-    def blocks(self, large: DataFrame) -> DataFrame:
+            below = large.select("node", "id").join(self.reps.select("id", "mins", "size"), "id")
+            below = materialize(below.mapInArrow(lambda bs: _branch(bs, STEP, False), "node bigint, id bigint, size bigint").distinct(), "paths")
+            rows = self.mixed(self.busy(below), label)
+
+    def blocks(self, large: DataFrame, sets: DataFrame) -> DataFrame:
         """All pairs of nodes that don't get smaller: every row goes to each pair of blocks it is in."""
-        n_blocks = F.ceil(F.col("n") / (LIMIT // 2)).cast("int")
+        n_blocks = F.ceil(F.col("n") / (BLOCK_ROWS // 2)).cast("int")
         mine = F.pmod(F.xxhash64("id"), n_blocks).cast("int")
-        other = F.explode(F.sequence(F.lit(0), n_blocks - 1))
-        rows = large.withColumn("mine", mine).withColumn("other", other)
-        return self.exhaustive(rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}), ["node", "lo", "hi"])
+        rows = large.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        return self.exhaustive(rows.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")}), ["node", "lo", "hi"], sets)
+
+
+def _star_labels(links: DataFrame) -> DataFrame:
+    """(id, component) of star links, two steps up from each id: ids with equal labels are connected
+    (others may be too, which costs a comparison and no link)."""
+    up = links.select(F.col("b").alias("a"), F.col("a").alias("up"))
+    return materialize(links.join(up, "a", "left").select(F.col("b").alias("id"), F.coalesce("up", "a").alias("component")), "star-labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -279,14 +332,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     sig = ["sig1", "sig2", "n_shingles"]
     classes = materialize(named.groupBy(*sig).agg(F.min("doc_id").alias("id")), "classes")
-    reps = named.join(classes.select(F.col("id").alias("doc_id"), *sig), ["doc_id", *sig]).select(F.col("doc_id").alias("id"), "mins", "bins")
+    reps = named.join(classes.select(F.col("id").alias("doc_id"), *sig), ["doc_id", *sig]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "mins", "bins")
     reps = materialize(reps.dropDuplicates(["id"]), "class-sketches")
     join = _Join(slim, reps)
-    members = join.busy(reps.select("id", "mins").mapInArrow(lambda bs: _branch(bs, START_DEPTH, True), "node bigint, id bigint").distinct())
-    links = join.confirm(join.stars(members))
-    label = components(links)
-    more = join.confirm(materialize(join.rest(members, label), "rest-pairs"))
-    label = components(links.union(more))
+    members = join.busy(reps.select("id", "mins", "size").mapInArrow(lambda bs: _branch(bs, START_DEPTH, True), "node bigint, id bigint, size bigint").distinct())
+    label = join.rest(members, join.stars(members))
     of_class = materialize(classes.join(label, "id", "left").select(*sig, F.coalesce("component", "id").alias("component_id")), "class-components")
     told = sketch.select("doc_id", *sig).join(of_class, sig, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
