@@ -184,6 +184,10 @@ def assess(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample_r
 def keep_good(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows that pass every rule, all columns untouched."""
     order = ranked_rules(docs.select(F.col(text).alias("text")), sample_rows)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), words(F.col(text)).alias("__ws"))
-    by_name = {r.name: r for r in text_rules(F.col(f"__row.`{text}`"), F.col("__ws"))}
-    return rows.where(verdict([by_name[n] for n in order]).isNull()).select("__row.*")
+    t = F.col(text)
+
+    def first_rejection(ws: Column) -> Column:
+        by_name = {r.name: r for r in text_rules(t, ws)}
+        return verdict([by_name[n] for n in order])
+    # the words are bound to a lambda: a filter is pushed below a column that would hold them
+    return docs.where(_let(words(t), first_rejection).isNull())
