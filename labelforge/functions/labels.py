@@ -36,5 +36,5 @@ def normalize_label_strict(label) -> Column:
     """P5 fatal form: like normalize_label but raises on a value outside the domain."""
     key = F.lower(py_strip(_c(label).cast("string")))
     return (F.when(key == "chat", F.lit(0)).when(key == "search", F.lit(1))
-            .otherwise(F.raise_error(F.concat(F.lit("Unexpected label value: "),
+            .otherwise(F.raise_error(F.concat(F.lit("label outside the domain: "),
                                               F.coalesce(_c(label).cast("string"), F.lit("null"))))))

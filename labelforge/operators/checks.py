@@ -21,7 +21,7 @@ def require_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fail before any job runs when a column is absent (schema check, no Spark job)."""
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise MissingColumns(f"Columns {missing} not found. Available: {df.columns}")
+        raise MissingColumns(f"no such column: {', '.join(missing)} (the table has {', '.join(df.columns)})")
     return df
 
 

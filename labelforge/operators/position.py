@@ -58,7 +58,10 @@ def global_position(df: DataFrame, order: Sequence, buckets: dict[str, Column],
     w = Window.partitionBy(*parts, *bnames).orderBy(*_cols(order))
     keep = [c for c in b.columns if c not in buckets and c not in parts and c not in bnames]
     out = [*parts, *[c for c in bnames if c not in buckets], *keep, *([total] if total else [])]
-    return (b.join(offsets, on=[*parts, *bnames], how="inner")
+    # null keys and null groups are buckets like any other: the join must not lose them
+    offsets = offsets.withColumnsRenamed({c: f"_o_{c}" for c in (*parts, *bnames)})
+    same = [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in (*parts, *bnames)]
+    return (b.join(offsets, on=same, how="inner")
             .select(*out, (F.col("_boff") + F.row_number().over(w) - F.lit(1)).alias(name)))
 
 

@@ -50,16 +50,16 @@ def replicate(df: DataFrame, times: Column | str, name: str = "copy",
     blocks = (df.withColumn("_t", t.cast("long")).filter(F.col("_t") > 0)
               .withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("long"),
                                                        F.ceil(F.col("_t") / block).cast("long") - 1))))
-    spread = blocks.repartition("_blk", *[c for c in df.columns[:1]])
+    spread = blocks.repartition(F.col("_blk"), F.xxhash64(*df.columns))  # by row: a class uses all partitions
     return (spread.withColumn(name, F.explode(F.sequence(
                 F.col("_blk") * block + 1, F.least(F.col("_t"), (F.col("_blk") + 1) * block))))
             .drop("_t", "_blk"))
 
 
 def draw_index(seed, cls, k, cnt) -> Column:
-    """Deterministic draw in [0, cnt): first 32 bits of md5('seed:class:k') mod cnt."""
+    """Deterministic draw in [0, cnt): first 60 bits of md5('seed:class:k') mod cnt."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), cls.cast("string"), k.cast("string")))
-    return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), cnt)
+    return F.pmod(F.conv(F.substring(h, 1, 15), 16, 10).cast("long"), cnt)
 
 
 def upsample_classes(df: DataFrame, label: str, id_col: str, seed=42) -> DataFrame:

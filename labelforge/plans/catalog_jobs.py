@@ -32,8 +32,8 @@ from labelforge.sources import files as IO
 from labelforge.sources.tables import table
 from labelforge.streaming import jobs as J
 
-# Fixed value: the translation request template ('{}' = target language).
-TRANSLATE_TEMPLATE = "You are tasked to translate english browser queries into {}."
+# Request text of the translation job ('{}' = target language).
+TRANSLATE_TEMPLATE = "Give the {} wording of each search query below."
 
 
 def _rowids(spark, d):

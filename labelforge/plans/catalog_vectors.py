@@ -218,7 +218,7 @@ whole AS (SELECT vec_id, label, c.copy, NULL::BIGINT AS draw FROM cp, mx,
           LATERAL (SELECT unnest(range(1, m // cnt + 1)) AS copy) c),
 dr AS (SELECT label, cpos + 1 AS draw, cnt FROM cp, mx WHERE cpos < m % cnt),
 drawn AS (SELECT cp.vec_id, cp.label, 0::BIGINT AS copy, dr.draw FROM dr JOIN cp ON cp.label = dr.label
-          AND cp.cpos = ((('0x' || substr(md5('42:' || dr.label || ':' || dr.draw), 1, 8))::BIGINT) % dr.cnt))
+          AND cp.cpos = ((('0x' || substr(md5('42:' || dr.label || ':' || dr.draw), 1, 15))::BIGINT) % dr.cnt))
 """
 
 

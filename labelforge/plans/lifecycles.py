@@ -70,8 +70,8 @@ def translate_table(df: DataFrame, fn: Callable[[str, str], str], lang: str, wor
     out = f"{work_dir.rstrip('/')}/results"
 
     def process(todo: DataFrame) -> DataFrame:
-        res = U.translate_with(todo, fn, lang, row_id=key, max_retries=max_retries, sleep=sleep)
-        return res.join(todo.select(key, "batch_id"), key).select(key, "translation", "error", "batch_id")
+        res = U.translate_with(todo, fn, lang, row_id=key, max_retries=max_retries, sleep=sleep, carry=["batch_id"])
+        return res.select(key, "translation", "error", "batch_id")
 
     J.run_batches(work, process, out, TR.RESULT_SCHEMA)
     results = J.read_results(spark, out, TR.RESULT_SCHEMA, key)
@@ -81,10 +81,9 @@ def translate_table(df: DataFrame, fn: Callable[[str, str], str], lang: str, wor
         miss = CK.missing_rows(work, results, key).collect()[0]
         if n_err:
             IO.write_jsonl(errors, f"{work_dir.rstrip('/')}/errors")
-            raise TranslationFailed(f"{n_err} rows failed. See {work_dir}/errors")
+            raise TranslationFailed(f"{n_err} rows have an error; they are listed in {work_dir}/errors")
         if miss.n_missing:
-            raise TranslationFailed(f"Missing translations for {miss.n_missing} rows. "
-                                    f"First missing row_id={miss.first_missing}")
+            raise TranslationFailed(f"{miss.n_missing} rows have no result, from {key} {miss.first_missing} on")
     joined = TR.attach_results(src, results, key)
     keep = [c for c in src.columns if c not in (text,)]
     return joined.select(*keep, F.col("translation").alias(text)), errors

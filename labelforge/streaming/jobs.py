@@ -92,7 +92,9 @@ def stream_distinct(spark: SparkSession, source_dir: str, schema, text: str, avo
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.parquet(source_dir).select(F.col(text).alias("query"))
     a = avoid.select(F.col(avoid_col).alias("query")).distinct()
-    out = stream.join(a, "query", "left_anti").dropDuplicates(["query"])
+    # the state holds a digest per text, not the text
+    out = (stream.join(a, "query", "left_anti").withColumn("_digest", F.sha2("query", 256))
+           .dropDuplicates(["_digest"]).drop("_digest"))
     q = (out.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink))
     q.awaitTermination()

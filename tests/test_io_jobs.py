@@ -172,3 +172,11 @@ def test_s6_sink_writes_header_then_lines(spark, tmp_dir):
     parts = sorted(p for p in glob.glob(tmp_dir + "/s6/part-*"))
     text = "".join(open(p).read() for p in parts).splitlines()
     assert text[0] == "Query,Label,source" and sorted(text[1:]) == ["a\\,b,Chat,x", "c,Search,y"]
+
+
+def test_generate_reports_failed_requests(spark):
+    def broken(p, n):
+        raise RuntimeError("down")
+    reqs = spark.createDataFrame([(1, "x", 2)], "request_id long, prompt string, n int")
+    rows = U.generate_with(reqs, broken).collect()
+    assert [(r.request_id, r.pos, r.query, r.error, r.attempts) for r in rows] == [(1, None, None, "down", 3)]

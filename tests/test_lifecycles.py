@@ -36,7 +36,7 @@ def test_translate_table_restart_and_strict(spark, tmp_dir):
         if q == "q3":
             raise RuntimeError("quota")
         return q
-    with pytest.raises(L.TranslationFailed, match="1 rows failed"):
+    with pytest.raises(L.TranslationFailed, match="1 rows have an error"):
         L.translate_table(df, flaky, "fr", tmp_dir + "/bad", batch_size=8, sleep=0)
     res, err = L.translate_table(df, flaky, "fr", tmp_dir + "/bad", batch_size=8, sleep=0, strict=False)
     assert [tuple(r) for r in err.collect()] == [(3, "quota", "q3")]

@@ -89,3 +89,27 @@ def test_range_buckets_stay_balanced_with_outliers(spark):
 def test_key_position_empty(spark):
     df = spark.range(0).withColumnRenamed("id", "k")
     assert P.key_position(df, "k").count() == 0
+
+
+def test_null_ids_and_groups_keep_their_rows(spark):
+    from labelforge.operators.position import shuffle_position
+    df = spark.createDataFrame([(i if i % 5 else None, "g" if i % 3 else None) for i in range(100)], "id long, grp string")
+    got = shuffle_position(df, "id", 42, partition_by=["grp"]).collect()
+    assert len(got) == 100
+    from labelforge.operators.split import exact_split
+    assert exact_split(df.where("id is not null"), "id", 42, partition_by=["grp"]).count() == 80
+
+
+def test_draws_reach_past_32_bits(spark):
+    from pyspark.sql import functions as F
+    from labelforge.operators.split import draw_index
+    top = spark.range(2000).select(draw_index(42, F.lit("a"), F.col("id"), F.lit(10**11)).alias("d")).agg(F.max("d").alias("m")).first().m
+    assert 2**32 < top < 10**11
+
+
+def test_undeclared_group_stops_the_job(spark):
+    import pytest
+    from labelforge.operators.groups import corpus_ids
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, grp string")
+    with pytest.raises(Exception, match="not in the declared order"):
+        corpus_ids(df, ["a"], "id").collect()
