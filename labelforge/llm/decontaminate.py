@@ -33,13 +33,21 @@ SEEDS = ((0, 1, 2, 3, 4, 5), (0, 1, 2, 3, 5, 6), (0, 1, 3, 4, 7, 8), (0, 2, 4, 5
 SPAN = max(max(s) for s in SEEDS) + 1
 REACH = 128            # words kept on either side of a group of hits, within the document
 MIN_MATCHES = 12
-BITS_PER_SEED = 16
+BITS_PER_SEED = 64
+PROBES = 4
 MAX_FILTER_BITS = 1 << 27   # 16 MB: beyond it the filter lets more through, the join stays exact
 
 
-def _bits(h: np.ndarray, n_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    m = np.uint64(n_bits - 1)
-    return (h & m).astype(np.int64), ((h >> np.uint64(32)) & m).astype(np.int64)
+def _bits(h: np.ndarray, n_bits: int, probe: int) -> np.ndarray:
+    """The probe-th bit of each hash in the filter."""
+    step = (h >> np.uint64(32)) | np.uint64(1)
+    return ((h + np.uint64(probe) * step) & np.uint64(n_bits - 1)).astype(np.int64)
+
+
+def _filter(batches: Iterator[pa.RecordBatch], n_bits: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        h = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_bits(h, n_bits, k) for k in range(PROBES)]))], names=["b"])
 
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,9 +87,9 @@ def _passing(batches: Iterator[pa.RecordBatch], table: np.ndarray) -> Iterator[p
             pos, key = [], []
             for k, s in enumerate(SEEDS):
                 r = T.runs(h, s, k)
-                x, y = _bits(r, n_bits)
-                p = np.flatnonzero(table[x])
-                p = p[table[y[p]]]
+                p = np.arange(len(r))
+                for k2 in range(PROBES):
+                    p = p[table[_bits(r[p], n_bits, k2)]]
                 p = p[owner[p] == owner[p + s[-1]]]
                 pos.append(p)
                 key.append(r[p])
@@ -138,9 +146,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     # the filter: at most MAX_FILTER_BITS bits, whatever the benchmark's size
     n = keys.count()
     n_bits = 1 << min(MAX_FILTER_BITS.bit_length() - 1, max(16, (n * BITS_PER_SEED).bit_length()))
-    m = F.lit(n_bits - 1).cast("long")
-    high = F.call_function("shiftrightunsigned", F.col("hash"), F.lit(32))
-    at = keys.select(F.explode(F.array(F.col("hash").bitwiseAND(m), high.bitwiseAND(m))).alias("b")).distinct()
+    at = keys.select("hash").mapInArrow(lambda bs: _filter(bs, n_bits), "b bigint").distinct()
     table = np.zeros(n_bits, bool)
     for r in at.groupBy(F.expr("b div 4096").alias("w")).agg(F.collect_list("b").alias("bs")).toLocalIterator():
         table[r["bs"]] = True
