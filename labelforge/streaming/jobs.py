@@ -1,9 +1,8 @@
 """Restartable row-wise jobs (T1) and distinct accumulation over arriving rounds.
 
-T1, batch form: rows carry a ``batch_id``; batches whose output partition already exists are
-skipped (left-anti on the finished batch ids), the rest are processed and written with dynamic
-partition overwrite, so each batch is replaced as a unit through Spark's commit protocol — a
-rerun after a crash or a lost executor redoes only the missing batches.
+T1, batch form: rows carry a ``batch_id``; consecutive batches form waves, each written by its own
+Spark job to its own folder (``wave=<first>_<last>``) through the commit protocol. A rerun lists
+the committed folders, skips their batches and redoes only the others.
 
 T2: a Structured Streaming query over a folder of arriving files: stream–static left-anti join
 with the avoid list, then ``dropDuplicates`` on the text, with an ``availableNow`` trigger and a
@@ -13,65 +12,89 @@ spilled to the checkpoint, not in driver memory).
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.operators.translation import consolidate
+from labelforge.session import scratch_path
 
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(p))
+WAVE_BATCHES = 1024     # batches that one job processes and commits together
+FILES_PER_TRIGGER = 64  # arrived files that one micro-batch takes
 
 
-def finished_batches(spark: SparkSession, out: str, schema: str, batch: str = "batch_id") -> DataFrame | None:
-    if not path_exists(spark, out):
-        return None
-    return spark.read.schema(schema).json(out).select(batch).distinct()
+def finished_ranges(spark: SparkSession, out: str) -> list[tuple[int, int]]:
+    """(first, last) batch of the committed waves under ``out``, neighbours merged: a directory
+    listing, no result is read."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(out)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    found = []
+    for st in fs.listStatus(root):
+        m = re.fullmatch(r"wave=(\d+)_(\d+)", st.getPath().getName())
+        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            found.append((int(m[1]), int(m[2])))
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if merged and a <= merged[-1][1] + 1:
+            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def run_batches(work: DataFrame, process: Callable[[DataFrame], DataFrame], out: str,
-                result_schema: str, batch: str = "batch_id") -> int:
-    """Process the batches of ``work`` not yet present under ``out``; returns how many rows
-    were sent to ``process`` (0 on a rerun after completion)."""
-    spark = work.sparkSession
-    done = finished_batches(spark, out, f"{result_schema}, {batch} long", batch)
-    todo = work if done is None else work.join(done, batch, "left_anti")
-    todo = todo.persist()
-    n = todo.count()
-    if n:
-        write_batches(process(todo), out, batch)
-    todo.unpersist()
-    return n
-
+                result_schema: str, batch: str = "batch_id", wave_batches: int = WAVE_BATCHES) -> int:
+    """Process the batches of ``work`` not yet committed under ``out``; returns how many rows
+    were sent to ``process`` (0 on a rerun after completion).
 
-def write_batches(res: DataFrame, out: str, batch: str = "batch_id") -> None:
-    """Replace exactly the batch partitions present in ``res`` (dynamic partition overwrite as a
-    writer option): rewriting a batch after a retry gives the same files, never duplicates."""
-    res.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(batch).json(out)
+    The open rows are written once, ordered by batch, then taken in waves of ``wave_batches``
+    consecutive batches. A wave is one Spark job with its own commit and its own folder, so a
+    failure loses the wave it happens in and no earlier one. Batch ids must be dense (W2)."""
+    spark = work.sparkSession
+    todo = work
+    for first, last in finished_ranges(spark, out):
+        todo = todo.where(~F.col(batch).between(first, last))
+    staged = scratch_path(spark, "t1-work")
+    todo = todo.withColumn("_wave", F.expr(f"`{batch}` div {int(wave_batches)}"))
+    todo.repartitionByRange(F.col(batch)).write.partitionBy("_wave").parquet(staged)
+    todo = spark.read.schema(todo.schema).parquet(staged)
+    waves = todo.groupBy("_wave").agg(F.min(batch).alias("first"), F.max(batch).alias("last"), F.count(F.lit(1)).alias("n"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # calls made at a time; AQE leaves a stated number alone
+    sent = 0
+    for w in waves.orderBy("_wave").collect():  # one row per wave
+        rows = todo.where(F.col("_wave") == w["_wave"]).drop("_wave").repartition(tasks, batch)
+        write_wave(process(rows), out, f"{w['first']}_{w['last']}")
+        sent += w["n"]
+    return sent
+
+
+def write_wave(res: DataFrame, out: str, wave: str) -> None:
+    """One wave's results in a folder of its own; a retry replaces it as a whole."""
+    res.write.mode("overwrite").json(f"{out.rstrip('/')}/wave={wave}")
 
 
 def stream_batches(spark: SparkSession, inbox: str, schema, process: Callable[[DataFrame], DataFrame],
-                   out: str, checkpoint: str, batch: str = "batch_id") -> int:
+                   out: str, checkpoint: str, files_per_trigger: int = FILES_PER_TRIGGER) -> int:
     """T1, streaming form: work rows arrive as files under ``inbox``; each run processes the
-    files not yet recorded in ``checkpoint`` (trigger availableNow) and writes their batches
-    with dynamic partition overwrite from ``foreachBatch``. A micro-batch replayed after a
-    failure rewrites the same batch partitions, so the output stays exactly-once. Returns the
-    number of rows processed by this run."""
+    files not yet recorded in ``checkpoint`` (trigger availableNow), at most
+    ``files_per_trigger`` at a time, and writes each micro-batch to the folder of its number from
+    ``foreachBatch``. One replayed after a failure rewrites that folder, so the output stays
+    exactly-once, and earlier ones are kept. Returns the number of rows processed by this run."""
     seen = []
 
     def each(df: DataFrame, epoch_id: int) -> None:
         n = df.count()
         if n:
-            write_batches(process(df), out, batch)
+            write_wave(process(df), out, f"epoch-{epoch_id}")
         seen.append(n)
 
-    q = (spark.readStream.schema(schema).parquet(inbox).writeStream.foreachBatch(each)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(inbox)
+         .writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return sum(seen)
 
@@ -79,7 +102,7 @@ def stream_batches(spark: SparkSession, inbox: str, schema, process: Callable[[D
 def read_results(spark: SparkSession, out: str, result_schema: str, key: str = "row_id",
                  batch: str = "batch_id") -> DataFrame:
     """All batch outputs as one table, one row per id (the latest batch wins, Q10)."""
-    res = spark.read.schema(f"{result_schema}, {batch} long").json(out)
+    res = spark.read.schema(f"{result_schema}, {batch} long").json(out).drop("wave")
     return consolidate(res, key, (batch,))
 
 

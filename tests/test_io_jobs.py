@@ -117,6 +117,47 @@ def test_t1_restart_does_no_work(spark, tmp_dir):
     assert res.count() == 20 and res.filter("translation = concat('q', row_id, '!')").count() == 20
 
 
+def test_t1_keeps_finished_waves_after_a_crash(spark, tmp_dir):
+    work = spark.range(0, 40).select(F.col("id").alias("row_id"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("query"),
+                                     (F.col("id") / 8).cast("long").alias("batch_id"))
+    out, schema = tmp_dir + "/job", TR.RESULT_SCHEMA
+
+    def ok(todo):
+        return U.translate_with(todo, lambda q, lang: q + "!", "fr", sleep=0, carry=["batch_id"]).select("row_id", "translation", "error", "batch_id")
+
+    def dies(todo):
+        bad = F.when(F.col("batch_id") == 4, F.raise_error(F.lit("lost")).cast("long")).otherwise(F.col("batch_id"))
+        return ok(todo).withColumn("batch_id", bad)
+
+    with pytest.raises(Exception, match="lost"):
+        J.run_batches(work, dies, out, schema, wave_batches=1)
+    assert J.finished_ranges(spark, out) == [(0, 3)] and J.read_results(spark, out, schema).count() == 32
+    assert J.run_batches(work, ok, out, schema, wave_batches=1) == 8
+    assert J.read_results(spark, out, schema).where("translation = concat('q', row_id, '!')").count() == 40
+    assert J.run_batches(work, ok, out, schema) == 0
+
+
+def test_t1_stream_keeps_finished_micro_batches(spark, tmp_dir):
+    for k in range(3):
+        spark.range(8 * k, 8 * k + 8).select(F.col("id").alias("row_id"), F.lit("q").alias("query"), F.lit(k).cast("long").alias("batch_id")).coalesce(1).write.parquet(f"{tmp_dir}/inbox/{k}")
+
+    def ok(todo):
+        return todo.select("row_id", F.col("query").alias("translation"), F.lit(None).cast("string").alias("error"), "batch_id")
+
+    def dies(todo):
+        if todo.where("batch_id = 2").count():
+            raise RuntimeError("lost")
+        return ok(todo)
+
+    args = (tmp_dir + "/out", tmp_dir + "/ck", 1)
+    schema = "row_id long, query string, batch_id long"
+    with pytest.raises(Exception):
+        J.stream_batches(spark, f"{tmp_dir}/inbox/*", schema, dies, *args)
+    kept = J.read_results(spark, tmp_dir + "/out", TR.RESULT_SCHEMA).count()
+    assert J.stream_batches(spark, f"{tmp_dir}/inbox/*", schema, ok, *args) == 24 - kept
+    assert J.read_results(spark, tmp_dir + "/out", TR.RESULT_SCHEMA).count() == 24
+
+
 def test_t2_stream_equals_batch(spark, tmp_dir):
     src = tmp_dir + "/src"
     spark.createDataFrame([("a",), ("b",), ("a",)], "text string").write.parquet(src + "/r0")
