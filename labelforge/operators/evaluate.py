@@ -76,7 +76,7 @@ def auc(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "prob") ->
     AUC = Σ_s pos(s) · (neg(< s) + neg(s)/2) / (P · N). Rows are first reduced to one row per
     distinct (group, score) by a partial aggregate, so tied scores never make a hot key. The
     running count of negatives below each score is the bucketed running sum: the distinct
-    scores go to two-level range buckets (balanced however the scores are spread), bucket totals
+    scores go to quantile buckets (balanced however the scores are spread), bucket totals
     (a small table) give each bucket's offset, and a window partitioned by (group, bucket) sums
     inside it. A group with one class only gives null."""
     return auc_from_scores(score_counts(df, by, y, score), by, score)
@@ -92,7 +92,7 @@ def auc_from_scores(per: DataFrame, by: Sequence[str], score: str = "prob") -> D
     """A10 on the (group, score, _pos, _neg) table of ``score_counts``."""
     parts = list(by)
     per = range_buckets(per, score, "_b", AUC_BUCKETS)
-    bk = ["_b1", "_b2"]
+    bk = ["_b"]
     bt = per.groupBy(*parts, *bk).agg(F.sum("_neg").alias("_bneg"))
     wb = Window.partitionBy(*parts).orderBy(*bk).rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("_boff", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))

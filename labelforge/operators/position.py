@@ -75,40 +75,33 @@ def shuffle_position(df: DataFrame, id_col: str, seed, partition_by: Sequence[st
         partition_by=partition_by, name=name, total=total).drop("_h")
 
 
-LOG_SPAN = 45.0  # sign(x)·log1p(|x|) covers every bigint within ±45
+RANK_STEPS = 16  # a cut's rank is within 1/16 of a bucket of the wanted one
 
 
 def range_buckets(df: DataFrame, col: str, name: str, n: int = KEY_BUCKETS) -> DataFrame:
-    """Add ``<name>1`` and ``<name>2``: a two-level bucket pair, lexicographically monotone in
-    ``col``, holding about count/n rows each however the values are spread.
-
-    Level 1 is a fixed monotone map (no statistics needed): sign(x)·log1p(|x|) cut into n equal
-    slices of [-45, 45], so each slice spans a few percent of relative range. Level 2 cuts each
-    slice again from its own min, max and count (a table of at most n rows, whose running total
-    comes from a window over that small table, joined back without a hint so AQE broadcasts it
-    after measuring it) into ceil(count / (total/n)) equal pieces. Dense clusters next to far
-    outliers, or scores packed into a narrow band, still spread over many buckets."""
-    c = F.col(col).cast("double")
-    v = F.signum(c) * F.log1p(F.abs(c))
-    v = F.least(F.greatest(v, F.lit(-LOG_SPAN)), F.lit(LOG_SPAN))
-    b1 = F.least(F.floor((v + LOG_SPAN) / (2 * LOG_SPAN) * n), F.lit(n - 1))
-    n1, n2 = f"{name}1", f"{name}2"
-    d = df.withColumn(n1, b1.cast("long"))
-    stats = d.groupBy(n1).agg(F.min(c).alias("_blo"), F.max(c).alias("_bhi"), F.count(F.lit(1)).alias("_bn"))
-    target = F.greatest(F.lit(1.0), F.sum("_bn").over(Window.partitionBy()) / F.lit(n))
-    pieces = F.ceil(F.col("_bn") / target)
-    per = stats.select(n1, "_blo", ((F.col("_bhi") - F.col("_blo")) / pieces).alias("_bw"), pieces.alias("_bs"))
-    b2 = F.when(F.col("_bw") > 0, F.least(F.floor((c - F.col("_blo")) / F.col("_bw")), F.col("_bs") - 1)).otherwise(F.lit(0))
-    return d.join(per, n1, "left").select(*df.columns, n1, b2.cast("long").alias(n2))
+    """Add ``name``: a bucket number monotone in ``col``, holding about count/n distinct values
+    each however they are spread (clusters next to far outliers, scores packed into a narrow band).
+
+    The n-1 cuts are quantiles of the column: one partial aggregate whose single row reaches the
+    plan as a scalar subquery. A row's bucket is the number of cuts below it, found by binary
+    search. Nulls share bucket 0 with the smallest values; equal values always share a bucket."""
+    c, steps = F.col(col).cast("double"), [1 << k for k in reversed(range((n - 1).bit_length()))]
+    if not steps:
+        return df.withColumn(name, F.lit(0).cast("long"))
+    cuts = df.agg(F.percentile_approx(c, [i / n for i in range(1, n)], max(10_000, RANK_STEPS * n)).alias("_cuts")).scalar()
+    d = df.withColumns({"_cuts": cuts, "_c": c})
+    below = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                        lambda at, s: F.when(F.get(F.col("_cuts"), at + s - 1) < F.col("_c"), at + s).otherwise(at))
+    return d.withColumn(name, below.cast("long")).select(*df.columns, name)
 
 
 def key_position(df: DataFrame, key: str, partition_by: Sequence[str] = (),
-                 name: str = "pos", total: str | None = None) -> DataFrame:
-    """Dense rank of a unique key (row id 0..n-1) over two-level range buckets."""
-    b = range_buckets(df, key, "_kb")
-    return global_position(b, order=[key], buckets={}, bucket_order=["_kb1", "_kb2"],
+                 name: str = "pos", total: str | None = None, n_buckets: int = KEY_BUCKETS) -> DataFrame:
+    """Dense rank of a unique key (row id 0..n-1) over ``n_buckets`` quantile buckets."""
+    b = range_buckets(df, key, "_kb", n_buckets)
+    return global_position(b, order=[key], buckets={}, bucket_order=["_kb"],
                            partition_by=partition_by, name=name, total=total,
-                           bucket_cols=["_kb1", "_kb2"]).drop("_kb1", "_kb2")
+                           bucket_cols=["_kb"]).drop("_kb")
 
 
 def batch_id(pos: str, size: int) -> Column:
