@@ -189,9 +189,12 @@ def apply_rules(df: DataFrame, query: str = "query", label: str = "label", rule:
 
 
 def policies() -> dict[str, str]:
-    """subset → 'label' | 'search', for the registry subsets and the view's subset names."""
+    """subset → 'label' | 'search', for the registry subsets, the view's subset names, and the stems
+    of the subsets' files (what S2 puts into ``source``)."""
     out = {k: p for k, (_f, p) in SUBSET_REGISTRY.items()}
     out.update({v: SUBSET_REGISTRY[r][1] for v, r in VIEW_SUBSETS.items()})
+    for f, p in SUBSET_REGISTRY.values():
+        out.setdefault(f.rsplit("/", 1)[-1].removesuffix(".csv"), p)
     return out
 
 

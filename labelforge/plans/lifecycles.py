@@ -26,6 +26,7 @@ from labelforge.operators import rules as R
 from labelforge.operators import split as S
 from labelforge.operators import translation as TR
 from labelforge.operators import user_fn as U
+from labelforge.session import scratch_path
 from labelforge.sources import files as IO
 from labelforge.streaming import jobs as J
 
@@ -34,19 +35,45 @@ class TranslationFailed(RuntimeError):
     pass
 
 
+class LabellingFailed(RuntimeError):
+    pass
+
+
+def _ask_labeler(df: DataFrame, fn: Callable[[str], str], id_col: str) -> DataFrame:
+    """M1 for the rows that have no label and whose subset has no constant one. The replies are
+    written once (a call is never repeated by a later action); a failed one stops the flow."""
+    spark = df.sparkSession
+    open_rows = df.where(F.col("Label").isNull() & ~F.col("source").isin(*R.constant_label_subsets()))
+    path = scratch_path(spark, "labels")
+    U.label_with(open_rows, fn, id_col, "Query").write.parquet(path)
+    got = spark.read.parquet(path)
+    failed = got.where("error is not null")
+    if n := failed.count():
+        raise LabellingFailed(f"{n} rows have no label; first error: {failed.first()['error']}")
+    got = got.select(F.col("id").alias(id_col), F.col("label").alias("_told"))
+    return df.join(got, id_col, "left").withColumn("Label", F.coalesce("Label", "_told")).drop("_told").select(*df.columns)
+
+
 def build_dataset(labeled: DataFrame, avoid: DataFrame | None = None, seed=666, id_col: str = "row_id",
-                  dedupe_after_clean: bool = False, out: str | None = None) -> DataFrame:
+                  dedupe_after_clean: bool = False, out: str | None = None, labeler: Callable[[str], str] | None = None,
+                  avoid_sources: Sequence[str] | None = None) -> DataFrame:
     """Lifecycle A on a table (Query, Label?, source, row_id). Rows without a label are
-    labelled by their subset's policy (P3); the avoid list is removed (J1); (Query, Label) is
+    labelled by ``labeler`` (M1) if given, else by their subset's policy (P3); the avoid list is
+    removed (J1) from the rows of ``avoid_sources``, or from all; (Query, Label) is
     deduplicated keeping the first row by (source, row_id) (A2); '?' is removed (F1); the
     reference dedupes before cleaning (Q4), ``dedupe_after_clean`` dedupes once more after it;
     then the exact split (D2). With ``out`` the result is written as CSV partitioned by split."""
-    routed = F.when(R.policy_of("source") == "search", F.lit("Search")).otherwise(R.weak_label(F.col("Query")))
-    given = F.col("Label") if "Label" in labeled.columns else F.lit(None).cast("string")
-    # coalesce evaluates the rule chain only for rows that arrive without a label
-    df = labeled.withColumn("Label", F.coalesce(given, routed))
-    if avoid is not None:
+    df = labeled if "Label" in labeled.columns else labeled.withColumn("Label", F.lit(None).cast("string"))
+    if labeler is not None:
+        df = _ask_labeler(df, labeler, id_col)
+    # the rule chain sees a text only where there is no label yet
+    df = R.route_labels(df.withColumn("_ask", F.when(F.col("Label").isNull(), F.col("Query"))), "source", "_ask", name="_routed")
+    df = df.withColumn("Label", F.coalesce("Label", "_routed")).drop("_ask", "_routed")
+    if avoid is not None and avoid_sources is None:
         df = C.remove_avoided(df, avoid, query="Query")
+    elif avoid is not None:
+        listed = F.coalesce(F.col("source").isin(*avoid_sources), F.lit(False))
+        df = C.remove_avoided(df.where(listed), avoid, query="Query").unionByName(df.where(~listed))
     df = C.dedupe_first(df, ["Query", "Label"], ["source", id_col])
     df = df.withColumn("Query", remove_question_marks("Query"))
     if dedupe_after_clean:

@@ -25,6 +25,29 @@ def test_build_dataset_routes_dedupes_and_splits(spark, tmp_dir):
     assert back.count() == 4 and set(r.split for r in back.select("split").distinct().collect()) <= {"train", "eval", "test"}
 
 
+def test_build_dataset_knows_file_stems(spark):
+    """A source named after any subset's file gets that subset's policy."""
+    from labelforge.operators import rules as R
+    rows = [(f"write a long story about number {i}", None, f.rsplit("/", 1)[-1].removesuffix(".csv"), i) for i, (f, _p) in enumerate(R.SUBSET_REGISTRY.values())]
+    out = L.build_dataset(spark.createDataFrame(rows, "Query string, Label string, source string, row_id long"))
+    policy = {i: p for i, (_f, p) in enumerate(R.SUBSET_REGISTRY.values())}
+    got = {r.row_id: r.Label for r in out.collect()}
+    assert len(got) == len(rows) and all(got[i] == "Search" for i, p in policy.items() if p == "search")
+    assert {got[i] for i, p in policy.items() if p != "search"} == {"Chat"}
+
+
+def test_build_dataset_labeler_and_avoid_sources(spark):
+    avoid = spark.createDataFrame([("weather paris",), ("write a haiku about autumn leaves",)], "query string")
+    out = L.build_dataset(_labeled(spark), avoid=avoid, avoid_sources=["imperative_chat"], labeler=lambda q: "Chat")
+    rows = {r.row_id: r.Label for r in out.collect()}
+    assert set(rows) == {0, 1, 2, 3} and rows[3] == "Chat"
+
+    def broken(q):
+        raise RuntimeError("down")
+    with pytest.raises(L.LabellingFailed, match="down"):
+        L.build_dataset(_labeled(spark), labeler=broken)
+
+
 def test_translate_table_restart_and_strict(spark, tmp_dir):
     df = spark.range(0, 30).select(F.col("id").alias("row_id"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("Query"),
                                    F.lit("Chat").alias("Label"))
