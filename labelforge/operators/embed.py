@@ -126,7 +126,8 @@ def pool(doc_tokens: DataFrame, vectors: DataFrame, id_col: str, dim: int,
     broadcast threshold it is broadcast, otherwise a shuffle join with AQE skew splitting."""
     w = (weight if weight is not None else F.lit(1.0)) * F.col("cnt")
     vt = vectors.select(F.col(vec_id).alias("vid"), F.col(vec).cast("array<double>").alias("_v"))
-    j = doc_tokens.withColumn("_w", w).join(vt, "vid")
+    # the many tokens without a vector share id 0: folded to one row per document before the join
+    j = doc_tokens.groupBy(id_col, "vid").agg(F.sum(w).alias("_w")).join(vt, "vid")
     sums = [F.sum(F.col("_w") * F.col("_v")[i]).alias(f"_s{i}") for i in range(dim)]
     agg = j.groupBy(id_col).agg(F.sum("_w").alias("_ws"), *sums)
     v = F.array(*[F.when(F.col("_ws") > 0, F.col(f"_s{i}") / F.col("_ws")).otherwise(F.col(f"_s{i}"))

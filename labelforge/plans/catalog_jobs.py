@@ -2,9 +2,9 @@
 streaming jobs, label maps and checks, user functions and model fitting.
 
 The registered translation job uses a deterministic stand-in for the external translator,
-expressible in SQL so the oracle can check it: rows in German get no result (missing),
-texts over 15,000 characters fail with 'text too long', Spanish texts over 8,000 characters fail
-without an error text (→ 'unknown error'), all others translate to their F2-cleaned text.
+expressible in SQL so the oracle can check it: toxic texts fail, those labelled Search with
+'declined' and the others without an error text (→ 'unknown error'); the last batch has not run
+yet, so its rows are missing; all others translate to their F2-cleaned text.
 """
 from __future__ import annotations
 
@@ -41,11 +41,13 @@ def _rowids(spark, d):
 
 
 def _stub_results(spark, d):
-    r = _rowids(spark, d).filter(F.col("lang") != "de")
-    fail = (F.col("n_chars") > 15000) | ((F.col("lang") == "es") & (F.col("n_chars") > 8000))
-    return r.select("row_id", batch_id("row_id", BATCH_SIZE).alias("batch_id"),
+    r = _rowids(spark, d).withColumn("batch_id", batch_id("row_id", BATCH_SIZE))
+    r = r.filter(F.col("batch_id") < r.agg(F.max("batch_id")).scalar())
+    r = r.join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
+    fail = F.col("toxic") == 1
+    return r.select("row_id", "batch_id",
                     F.when(fail, F.lit(None).cast("string")).otherwise(T.strip_trailing_qmark("query")).alias("translation"),
-                    F.when(F.col("n_chars") > 15000, F.lit("text too long")).alias("error"))
+                    F.when(fail & (F.col("label") == "Search"), F.lit("declined")).alias("error"))
 
 
 # ---------------------------------------------------------------- lifecycle B
@@ -134,7 +136,7 @@ def s6_unquoted_lines(spark, d):
 _UB_SQL = f"""
 ub AS (SELECT conv_id * 1000 + turn AS rid, text, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS pos
        FROM conversations WHERE role = 'user'),
-bb AS (SELECT pos // {REQUEST_BATCH} AS batch_id, count(*) AS n FROM ub GROUP BY 1)
+bb AS (SELECT pos // {REQUEST_BATCH} AS batch_id, NOT contains(arg_min(text, pos), '?') AS ok FROM ub GROUP BY 1)
 """
 
 
@@ -157,14 +159,14 @@ def w3_request_batches(spark, d):
 
 
 @register("f14_zip_replies", q(f"SELECT ub.pos // {REQUEST_BATCH} AS batch_id, (ub.pos % {REQUEST_BATCH})::INTEGER AS pos, "
-                               f"ub.text AS item, CASE WHEN bb.n % 2 = 0 THEN {weak_label_sql('ub.text')} END AS reply, "
-                               "bb.n % 2 = 0 AS ok FROM ub JOIN bb ON bb.batch_id = ub.pos // " + str(REQUEST_BATCH), _UB_SQL))
+                               f"ub.text AS item, CASE WHEN bb.ok THEN {weak_label_sql('ub.text')} END AS reply, "
+                               "bb.ok FROM ub JOIN bb ON bb.batch_id = ub.pos // " + str(REQUEST_BATCH), _UB_SQL))
 def f14_zip_replies(spark, d):
-    """Replies of a stand-in labeler per request batch; batches of odd size get one label
-    short, so the length check sends them to the error rows."""
+    """Replies of a stand-in labeler per request batch; batches whose first item
+    holds a '?' get one label short, so the length check sends them to the error rows."""
     b = _request_batches(spark, d)
     labels = F.transform("items", lambda x: R.weak_label(x))
-    replies = F.when(F.size("items") % 2 == 1, F.slice(labels, 1, F.size("items") - 1)).otherwise(labels)
+    replies = F.when(F.get("items", F.lit(0)).contains("?"), F.slice(labels, 1, F.size("items") - 1)).otherwise(labels)
     z = CK.zip_replies(b.withColumn("replies", replies), "items", "replies")
     return z.select("batch_id", "pos", "item", "reply", "ok")
 
@@ -268,8 +270,8 @@ def _identity_translator(q: str, lang: str) -> str:
 
 
 def _translate_batch(todo):
-    res = U.translate_with(todo, _identity_translator, "fr", sleep=0.0)
-    return res.join(todo.select("row_id", "batch_id"), "row_id").select("row_id", "translation", "error", "batch_id")
+    res = U.translate_with(todo, _identity_translator, "fr", sleep=0.0, carry=["batch_id"])
+    return res.select("row_id", "translation", "error", "batch_id")
 
 
 @register("t1_restartable_translation", q(f"SELECT row_id, {f2_sql('query')} AS translation, row_id // {BATCH_SIZE} AS batch_id FROM rowids"))
@@ -394,6 +396,7 @@ def j7_token_vectors(spark, d):
     from labelforge.plans.catalog_vectors import _pooled_ids
     emb = table(spark, d, "embeddings")
     ids = _pooled_ids(spark, d)
+    ids = ids.groupBy("doc_id", "vid").agg(F.sum("cnt").alias("cnt"))
     j = ids.join(emb.select(F.col("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v")), "vid")
     return j.groupBy("doc_id").agg(F.sum("cnt").alias("n_gathered"),
                                    round4(F.sum(F.col("cnt") * F.col("v")[0])).alias("dim0_sum"))

@@ -105,9 +105,10 @@ corpus AS (
 rowids AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM labeled),
 tr_results AS (
   SELECT row_id, row_id // 64 AS batch_id,
-         CASE WHEN n_chars > 15000 OR (lang = 'es' AND n_chars > 8000) THEN NULL ELSE {f2('query')} END AS translation,
-         CASE WHEN n_chars > 15000 THEN 'text too long' ELSE NULL END AS error
-  FROM rowids WHERE lang <> 'de')
+         CASE WHEN toxic = 1 THEN NULL ELSE {f2('query')} END AS translation,
+         CASE WHEN toxic = 1 AND label = 'Search' THEN 'declined' END AS error
+  FROM rowids JOIN (SELECT doc_id, toxic FROM labels) USING (doc_id)
+  WHERE row_id // 64 < (SELECT max(row_id // 64) FROM rowids))
 """
 
 
