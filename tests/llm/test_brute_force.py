@@ -233,7 +233,7 @@ def test_pipeline(spark, texts):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_duplicates", "decontamination", "secrets", "packing"] and "pipeline" in E.queries()
     out = corpus_pipeline.run(spark, SF).collect()
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    good = {r.doc_id for r in quality_cascade.assess(docs).where("kept").collect()}
+    good = {r.doc_id for r in quality_cascade.assess(docs).collect() if r.kept}
     comp = joined({i: t for i, t in texts.items() if i in good})
     one = {i for i in good if comp[i][1] == i}
     bench = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", lower(t)) for (t,) in duckdb.sql(f"SELECT text FROM '{SF}/benchmark.parquet'").fetchall()]
