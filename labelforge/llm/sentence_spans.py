@@ -1,13 +1,19 @@
 """Substring de-duplication by sliding sentence spans.
 
 A text is cut into sentences (after ., ! or ? and the white space behind them, and at line breaks).
-From every sentence a run starts: the shortest one of several sentences, at least ``min_sentences``
-and ``min_words`` words together. What a run holds depends on its sentences alone, so a passage gives
-the same runs wherever it stands. Runs are hashed (64 bits, of the words lower-cased) and joined
-globally; the first place of a run is that of the smallest doc_id, and the first one within it. All
-sentences that any other place of a run covers are removed.
-
-The global step sees one slim row per run. A run that many documents share is one aggregate of the
+A run has at least ``min_sentences`` sentences and ``min_words`` words together. Two are hashed per
+sentence: the shortest one that starts there and the shortest one that ends there. What they hold
+depends on their sentences alone, so a repeated passage gives the same ones wherever it stands, and
+they cover each of its sentences: if neither the rest of the passage from a sentence on nor its part
+up to there is long enough, the shortest run from the passage's start reaches over it. So all runs of
+any length are found, as if each were compared. A single sentence of ``min_words`` words is a run too,
+and so is a whole text of that many words that has fewer sentences than a run.
+
+Runs are hashed (64 bits, of the words lower-cased) and joined globally; the first place of a run is
+that of the smallest doc_id, and the first one within it. All sentences that any other place of a run
+covers are removed.
+
+The global step sees one slim row per run, at most three a sentence. A run that many documents share is one aggregate of the
 smallest and the largest id, combined before the shuffle, and the join that finds the later places
 lets Spark split a hot run.
 
@@ -46,47 +52,65 @@ def sentences(text: str) -> list[tuple[int, int, bytes, int]]:
 
 
 def runs(sents: list[tuple[int, int, bytes, int]], min_sentences: int, min_words: int) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, one past the last) of the run that starts at each sentence."""
-    out, n, words, j = [], len(sents), 0, 0
-    for i in range(n):
-        while j < n and (words < min_words or j - i < min_sentences):
-            words += sents[j][3]
+    """(hash, first sentence, one past the last), by place, of the shortest runs that start and that
+    end at each sentence, of long single sentences, and of a whole text with too few sentences."""
+    n = len(sents)
+    words, at = [0], [0]  # sums up to each sentence, and where it starts in all of them joined
+    for s in sents:
+        words.append(words[-1] + s[3])
+        at.append(at[-1] + len(s[2]) + 1)
+    places = {(i, i + 1) for i in range(n) if sents[i][3] >= min_words}
+    if 0 < n < min_sentences and words[n] >= min_words:
+        places.add((0, n))
+    j = 0
+    for i in range(n):  # the shortest one from i on
+        while j <= n and (j - i < min_sentences or words[j] - words[i] < min_words):
             j += 1
-        if words < min_words or j - i < min_sentences:
+        if j > n:
+            break
+        places.add((i, j))
+    i = n
+    for j in range(n, 0, -1):  # the shortest one up to j
+        while i >= 0 and (j - i < min_sentences or words[j] - words[i] < min_words):
+            i -= 1
+        if i < 0:
             break
-        h = xxhash.xxh3_64_intdigest(b"\n".join(s[2] for s in sents[i:j]))
+        places.add((i, j))
+    joined, out = b"\n".join(s[2] for s in sents), []
+    for i, j in sorted(places):
+        h = xxhash.xxh3_64_intdigest(joined[at[i]:at[j] - 1])
         out.append((h - (1 << 64) if h >> 63 else h, i, j))
-        words -= sents[i][3]
     return out
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch], min_sentences: int, min_words: int) -> Iterator[pa.RecordBatch]:
-    """(hash, doc_id, sentence, later): later if the document holds the run further up too."""
+    """(hash, doc_id, sentence, stop, later): later if the document holds the run further up too."""
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1)
-        h, d, s, z = [], [], [], []
+        h, d, s, e, z = [], [], [], [], []
         for doc, t in zip(ids, texts):
             seen = set()
-            for x, i, _ in runs(sentences(t.as_py() or ""), min_sentences, min_words):
+            for x, i, j in runs(sentences(t.as_py() or ""), min_sentences, min_words):
                 h.append(x)
                 d.append(doc)
                 s.append(i)
+                e.append(j)
                 z.append(x in seen)
                 seen.add(x)
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(z, pa.bool_())], names=["hash", "doc_id", "sentence", "later"])
+        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(z, pa.bool_())],
+                                         names=["hash", "doc_id", "sentence", "stop", "later"])
 
 
 OUT = "n_sentences bigint, n_removed bigint, removed array<struct<start:bigint,end:bigint>>, text string"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], min_sentences: int, min_words: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         rows = []
-        for doc, text, starts, first in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+        for doc, text, places, first in zip(*[batch.column(i).to_pylist() for i in range(4)]):
             sents = sentences(text)
-            ends = {i: j for _, i, j in runs(sents, min_sentences, min_words)}
-            gone = sorted({k for i in starts for k in range(i, ends[i])})
+            gone = sorted({k for p in places for k in range(p["sentence"], p["stop"])})
             cuts: list[list[int]] = []
             for k in gone:
                 if cuts and cuts[-1][1] == sents[k][0]:
@@ -109,14 +133,14 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """One row per document that loses a sentence: doc_id, n_sentences, n_removed, removed (code
     point ranges), the text that stays, and the documents that hold the first places."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("doc_id").isNotNull())
-    rows = materialize(slim.mapInArrow(lambda bs: _run_rows(bs, min_sentences, min_words), "hash bigint, doc_id bigint, sentence int, later boolean"), "sentence-runs")
+    rows = materialize(slim.mapInArrow(lambda bs: _run_rows(bs, min_sentences, min_words), "hash bigint, doc_id bigint, sentence int, stop int, later boolean"), "sentence-runs")
     shared = (rows.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("later").cast("int")).alias("twice"))
               .where("first < last or twice = 1").select("hash", "first"))
     places = rows.join(materialize(shared, "shared-runs"), "hash").where("doc_id > first or later")
-    per_doc = places.groupBy("doc_id").agg(F.collect_set("sentence").alias("starts"), F.collect_set("first").alias("firsts"))
+    per_doc = places.groupBy("doc_id").agg(F.collect_set(F.struct("sentence", "stop")).alias("places"), F.collect_set("first").alias("firsts"))
     per_doc = materialize(per_doc, "repeats")
-    hit = slim.join(per_doc, "doc_id").select("doc_id", "text", "starts", "firsts")
-    return hit.mapInArrow(lambda bs: _cut(bs, min_sentences, min_words), f"doc_id bigint, {OUT}, first_doc_ids array<bigint>")
+    hit = slim.join(per_doc, "doc_id").select("doc_id", "text", "places", "firsts")
+    return hit.mapInArrow(_cut, f"doc_id bigint, {OUT}, first_doc_ids array<bigint>")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
