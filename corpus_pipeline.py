@@ -3,8 +3,10 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which
 is written as Parquet and read again as the next stage's docs. All stages but the last keep the
 columns of documents; the last returns the packed pieces with their ids. A document that a stage
-rejects is gone for the later ones; secrets are replaced in the text. Null ids, null texts, repeated
-rows, empty tables and extra columns are handled as each operator's module says.
+rejects is gone for the later ones; secrets are replaced in the text. Near duplicates and
+decontamination judge rows, not ids: rows without an id are checked too, and different texts under
+one id each for itself. Null texts, repeated rows, empty tables and extra columns are handled as each
+operator's module says.
 """
 from __future__ import annotations
 

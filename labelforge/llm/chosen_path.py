@@ -23,7 +23,8 @@ are one class, and only one document of a class takes part in what follows.
 Edge cases: words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; fewer than five words make one
 shingle of them all; a null or empty text has no shingle and no link; texts are read whole. Rows
 without doc_id get component null and are kept; rows that repeat a doc_id count as one document;
-an empty table gives an empty result; other columns are not read.
+an empty table gives an empty result; other columns are not read. ``keep_one`` goes by row instead:
+each text counts, whatever its doc_id.
 """
 from __future__ import annotations
 
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from labelforge.llm import tokens as T
 from labelforge.llm.bloom_cascade import accepts, encode
 from labelforge.llm.components import components
+from labelforge.llm.row_keys import row_keys
 from labelforge.llm.store import materialize
 
 SHINGLE = 5
@@ -241,8 +243,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ------------------------------------------------------------------ the join
 class _Join:
-    def __init__(self, slim: DataFrame, reps: DataFrame):
-        self.slim, self.reps = slim, reps
+    def __init__(self, slim: DataFrame, reps: DataFrame, repeated: bool = False):
+        self.slim, self.reps, self.repeated = slim, reps, repeated
 
     def sets(self, ids: DataFrame, n: int) -> DataFrame:
         """(id, shingles) of the ids in the column ``key`` (at most ``n`` different ones). Their
@@ -251,6 +253,8 @@ class _Join:
         bloom = encode(ids, n)
         docs = self.slim.where(accepts(bloom, F.col("doc_id"), bloom.bits.scalar()))
         docs = docs.join(ids.distinct(), F.col("doc_id") == F.col("key"), "left_semi")
+        if self.repeated:  # a set for each id, not for each row of it
+            docs = docs.dropDuplicates(["doc_id"])
         return materialize(docs.mapInArrow(_full_sets, "id bigint, shingles binary"), "shingle-sets")
 
     def busy(self, nodes: DataFrame) -> DataFrame:
@@ -324,9 +328,9 @@ def _star_labels(links: DataFrame) -> DataFrame:
     return materialize(links.join(up, "a", "left").select(F.col("b").alias("id"), F.coalesce("up", "a").alias("component")), "star-labels")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repeated: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept, for
-    every row."""
+    every row. ``repeated``: ids stand in several rows, of equal texts."""
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = materialize(slim.mapInArrow(_sketched, "doc_id bigint, n_shingles bigint, sig1 bigint, sig2 bigint, mins binary, bins binary"), "sketches")
     named = sketch.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -334,7 +338,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = materialize(named.groupBy(*sig).agg(F.min("doc_id").alias("id")), "classes")
     reps = named.join(classes.select(F.col("id").alias("doc_id"), *sig), ["doc_id", *sig]).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "mins", "bins")
     reps = materialize(reps.dropDuplicates(["id"]), "class-sketches")
-    join = _Join(slim, reps)
+    join = _Join(slim, reps, repeated)
     members = join.busy(reps.select("id", "mins", "size").mapInArrow(lambda bs: _branch(bs, START_DEPTH, True), "node bigint, id bigint, size bigint").distinct())
     label = join.rest(members, join.stars(members))
     of_class = materialize(classes.join(label, "id", "left").select(*sig, F.coalesce("component", "id").alias("component_id")), "class-components")
@@ -345,12 +349,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: that of the smallest doc_id; columns untouched."""
-    found = near_duplicates(docs, doc_id, text)
-    go = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("__go")).distinct(), "duplicates")
-    twice = materialize(found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")), "repeated")
-    left = docs.join(go, docs[doc_id].cast("long") == F.col("__go"), "left_anti")
-    if not twice.limit(1).count():
-        return left
-    again = left.join(twice, left[doc_id].cast("long") == F.col("__twice"), "left_semi").dropDuplicates([doc_id])
-    return left.join(twice, left[doc_id].cast("long") == F.col("__twice"), "left_anti").unionByName(again)
+    """One row of each group of near duplicates: that of the smallest doc_id, rows without one last;
+    columns untouched. Rows are judged each by its own text: rows without doc_id and different texts
+    under one doc_id too. Rows with equal doc_id and text are one; rows with neither doc_id nor
+    words all stay."""
+    key, keys = row_keys(docs, doc_id, text)
+    repeated = bool(keys.where("n > 1").limit(1).count())
+    found = near_duplicates(docs.select(key.alias("key"), F.col(text).alias("text")), "key", "text", repeated)
+    found = materialize(found.select(F.col("doc_id").alias("key"), "n_shingles", "component_id").distinct().join(keys, "key"), "components")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")).alias("b"))
+    best = materialize(best.select(F.col("b.key").alias("key")), "kept-rows")
+    go = materialize(found.join(best, "key", "left_anti").select(F.col("key").alias("__go")), "duplicates")
+    left = docs.withColumn("__key", key).join(go, F.col("__key") == F.col("__go"), "left_anti")
+    if not repeated:
+        return left.drop("__key")
+    twice = found.where("n > 1 and (id is not null or n_shingles > 0)").join(best, "key", "left_semi")
+    twice = materialize(twice.select(F.col("key").alias("__twice")), "repeated")
+    again = left.join(twice, F.col("__key") == F.col("__twice"), "left_semi").dropDuplicates(["__key"])
+    return left.join(twice, F.col("__key") == F.col("__twice"), "left_anti").unionByName(again).drop("__key")

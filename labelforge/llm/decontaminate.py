@@ -14,7 +14,8 @@ one passage travel together, so a hot passage costs one row per document that ha
 Edge cases: words are runs of letters and digits, A-Z lower-cased; null or empty texts and items
 shorter than the shortest seed match nothing; texts are read whole; repeated documents are each
 reported (repeated rows of one doc_id once); a document without an id can't be named and is not
-reported; empty tables give an empty result; other columns are not read.
+reported; empty tables give an empty result; other columns are not read. ``drop_contaminated`` goes
+by row instead: each text is checked, whatever its doc_id.
 """
 from __future__ import annotations
 
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.llm import tokens as T
+from labelforge.llm.row_keys import row_keys
 from labelforge.llm.store import materialize
 
 # Masks as the offsets they look at: six words each, spans of 6 to 10.
@@ -168,8 +170,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
         (F.col("b.matches") / F.col("b.overlap")).alias("identity"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **kw) -> DataFrame:
-    """The rows that share no passage with the benchmark, all columns untouched."""
-    bad = overlaps(docs, benchmark, doc_id=doc_id, **kw).select(F.col("doc_id").alias("__bad")).distinct()
-    bad = materialize(bad, "contaminated")
-    return docs.join(bad, docs[doc_id].cast("long") == F.col("__bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+    """The rows that share no passage with the benchmark, all columns untouched. Rows are judged each
+    by its own text: rows without doc_id and different texts under one doc_id too."""
+    key, _ = row_keys(docs, doc_id, text)
+    bad = overlaps(docs.select(key.alias("key"), F.col(text).alias("text")), benchmark, "key", "text", **kw)
+    bad = materialize(bad.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
+    return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")

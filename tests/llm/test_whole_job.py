@@ -2,8 +2,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from labelforge.llm import sentence_spans
+from labelforge.llm import chosen_path, decontaminate, row_keys, sentence_spans
 
 
 def said(r: random.Random, n: int) -> str:
@@ -38,3 +39,34 @@ def test_sentence_spans_equal_all_runs(spark, min_sentences):
     got = {d: {k for k, s in enumerate(sentence_spans.sentences(texts[d])) for c in x.removed if c.start <= s[0] < c.end} for d, x in rows.items()}
     assert got == want and {1, 2, 4, 6} <= set(want) and want[1] == {1, 2, 3, 4, 5}
     assert all(x.n_removed == len(want[d]) for d, x in rows.items())
+
+
+def test_stages_judge_rows_and_not_ids(spark):
+    r = random.Random(3)
+    a, b, c, d, e, f, g = [said(r, 120) for _ in range(7)]
+    near = c[:-1] + " more."
+    rows = [(1, a), (1, b), (None, a), (None, c), (None, near), (None, c), (2, d), (2, d), (3, d), (None, ""), (None, ""), (4, e), (4, None), (4, "")]
+    docs = spark.createDataFrame([(*x, i) for i, x in enumerate([*rows, *[(None, f)] * 40])], "doc_id bigint, text string, n int")
+    left = chosen_path.keep_one(docs)
+    got = sorted(((x.doc_id, x.text) for x in left.collect()), key=str)
+    named = [x for x in got if x[1] not in (c, near)]
+    assert left.columns == docs.columns and len(got) == len(named) + 1
+    assert named == sorted([(1, a), (1, b), (2, d), (None, ""), (None, ""), (4, e), (4, None), (4, ""), (None, f)], key=str)
+    bench = spark.createDataFrame([(1, " ".join(f.split()[20:60])), (2, " ".join(e.split()[50:90]))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, a), (None, f), (None, b), (4, e), (4, d), (None, None), (5, g)], "doc_id bigint, text string")
+    clean = decontaminate.drop_contaminated(docs, bench)
+    assert clean.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in clean.collect()), key=str) == sorted([(1, a), (None, b), (4, d), (None, None), (5, g)], key=str)
+
+
+def test_row_keys_part_rows_that_meet(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "a"), (1, None), (1, "")], "doc_id bigint, text string")
+    real, salts = row_keys._hashed, []
+
+    def meets(ident, text, salt):
+        salts.append(salt)
+        return F.lit(7) if salt == 0 else real(ident, text, salt)
+
+    monkeypatch.setattr(row_keys, "_hashed", meets)
+    _, keys = row_keys.row_keys(docs)
+    assert sorted(x.n for x in keys.collect()) == [1, 1, 1, 1, 2] and salts == [0, 1, 2, 3]
