@@ -1,11 +1,13 @@
 """Secret scan (DataFrame functions only): fixed patterns, and a sliding-window Shannon entropy
 over candidate strings per character class.
 
-Candidates are the maximal runs of a class's characters (at least ``window`` long). Each run is
-read once: a window of ``window`` characters slides over it and keeps one count per character;
-entering and leaving characters change Σ c·log2(c), so the entropy log2(w) - Σ/w needs no recount.
-A run whose best window reaches the class's threshold becomes a span, unless the allow-list
-suppresses it. Base spans are never suppressed.
+Candidates are the maximal runs of a class's characters (at least ``short`` long). Each run is
+read once: a window of ``window`` characters (``short`` ones for shorter runs, with a threshold of
+their own) slides over it and keeps one count per character; entering and leaving characters change
+Σ c·log2(c), so the entropy log2(w) - Σ/w needs no recount. A run whose best window reaches the
+class's threshold becomes a span, unless its whole value is on the allow-list. A path of plain words
+in front of a run is no part of the candidate; what stands behind it is scored like any other run.
+Base spans are never suppressed.
 
 Positions are code points, end exclusive. A pattern's matches come from regexp_extract_all; the
 position of each is the first place of its text at or after the end of the one before, which is
@@ -34,26 +36,34 @@ SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"  # sorts by start
 @dataclass(frozen=True)
 class CharClass:
     """Runs of ``alphabet`` (a regex class) whose best window of ``window`` characters has at
-    least ``min_bits`` of entropy; ``need`` must be found in the run for each pattern."""
+    least ``min_bits`` of entropy, or of ``short`` characters ``short_bits`` where the run is shorter
+    than ``window``; ``need`` must be found in the run for each pattern."""
     kind: str
     alphabet: str
     chars: str
     window: int
     min_bits: float
     need: tuple[str, ...]
+    short: int = 16
+    short_bits: float = 3.0
 
 
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+# Of random keys at most about one in a hundred has a best window below its class's threshold.
 CLASSES = (
-    CharClass("entropy_hex", "0-9A-Fa-f", DIGITS + "abcdefABCDEF", 24, 3.1, ("[0-9]", "[A-Fa-f]")),
-    CharClass("entropy_base64", "A-Za-z0-9+/_=-", LOWER + UPPER + DIGITS + "+/_=-", 24, 3.7, ("[0-9]", "[a-z]", "[A-Z]")),
+    CharClass("entropy_hex", "0-9A-Fa-f", DIGITS + "abcdefABCDEF", 24, 3.1, ("[0-9]", "[A-Fa-f]"), short_bits=2.6),
+    CharClass("entropy_base64", "A-Za-z0-9+/_=-", LOWER + UPPER + DIGITS + "+/_=-", 24, 3.7, ("[0-9]", "[a-z]", "[A-Z]"), short_bits=3.2),
+    CharClass("entropy_lower", "a-z0-9", LOWER + DIGITS, 24, 3.4, ("[0-9]", "[g-z]")),
+    CharClass("entropy_upper", "A-Z0-9", UPPER + DIGITS, 24, 3.4, ("[0-9]", "[G-Z]")),
 )
-# Runs that look random but are public by nature: UUIDs, test values, data addresses, file paths.
+# Whole values that look random but are public by nature: UUIDs, test values, words with a number.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|placeholder|changeme|xxxxxx|0123456789|abcdefghij",
-    r"^/?([A-Za-z][A-Za-z_-]*/){2,}",
+    r"(?i)^(?:[+/_=-]++|example|sample|placeholder|changeme|your|api|secret|key|token|value|x{6,}+|0123456789|abcdefghij(?:klmnopqrstuvwxyz)?|abcdef){1,40}$",
+    r"^[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,}){0,8}(?:[0-9]{2}|[0-9]{4})$",
+    r"^[A-Z]{4,}(?:[0-9]{2}|[0-9]{4})$",
 )
+PATH = r"^/?(?:[A-Za-z][A-Za-z_-]*+/){2,64}"  # plain words in front of a run, not the run itself
 
 
 def _located(text: Column, found: Column) -> Column:
@@ -83,10 +93,10 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {k: _spans(found[k], i, k) for i, k in enumerate(BASE_KINDS)}
 
 
-def best_window_bits(run: Column, c: CharClass) -> Column:
-    """Highest entropy of any ``c.window`` consecutive characters of the run. The state holds the
+def best_window_bits(run: Column, c: CharClass, window: int | None = None) -> Column:
+    """Highest entropy of any ``window`` (``c.window``) consecutive characters of the run. The state holds the
     counts and s = Σ count·log2(count); a character coming in or going out changes one count and s."""
-    w, k = c.window, len(c.chars)
+    w, k = window or c.window, len(c.chars)
     xlog = F.array(*[F.lit(i * math.log2(i) if i else 0.0) for i in range(w + 2)])
     code = lambda i: F.instr(F.lit(c.chars), F.substring(run, i, F.lit(1)))  # noqa: E731 - 1..k
     zero = F.array_repeat(F.lit(0), k)
@@ -108,17 +118,21 @@ def best_window_bits(run: Column, c: CharClass) -> Column:
 
 
 def entropy_spans(text: Column, c: CharClass, rank: int, allow: tuple[str, ...] = ALLOW) -> Column:
-    runs = F.regexp_extract_all(text, F.lit(f"[{c.alphabet}]{{{c.window},}}"), F.lit(0))
+    runs = _located(text, F.regexp_extract_all(text, F.lit(f"[{c.alphabet}]{{{c.short},}}"), F.lit(0)))
+    if "/" in c.chars:
+        bare = lambda m: F.regexp_replace(m["value"], PATH, "")
+        runs = F.transform(runs, lambda m: F.struct((m["end"] - F.length(bare(m))).alias("start"), m["end"].alias("end"), bare(m).alias("value")))
 
     def secret(m):
-        run, ok = m["value"], F.lit(True)
+        run, ok = m["value"], F.length(m["value"]) >= c.short
         for p in c.need:
             ok = ok & run.rlike(p)
         for p in allow:
             ok = ok & ~run.rlike(p)
-        return F.when(ok, best_window_bits(run, c) >= c.min_bits).otherwise(F.lit(False))
+        high = F.when(F.length(run) >= c.window, best_window_bits(run, c) >= c.min_bits).otherwise(best_window_bits(run, c, c.short) >= c.short_bits)
+        return F.when(ok, high).otherwise(F.lit(False))
 
-    return _spans(F.filter(_located(text, runs), secret), rank, c.kind)
+    return _spans(F.filter(runs, secret), rank, c.kind)
 
 
 def written(spans: Column) -> Column:

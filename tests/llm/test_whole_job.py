@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from labelforge.llm import chosen_path, decontaminate, row_keys, sentence_spans
+from labelforge.llm import chosen_path, decontaminate, row_keys, secrets, sentence_spans
 
 
 def said(r: random.Random, n: int) -> str:
@@ -70,3 +70,28 @@ def test_row_keys_part_rows_that_meet(spark, monkeypatch):
     monkeypatch.setattr(row_keys, "_hashed", meets)
     _, keys = row_keys.row_keys(docs)
     assert sorted(x.n for x in keys.collect()) == [1, 1, 1, 1, 2] and salts == [0, 1, 2, 3]
+
+
+def test_secrets_behind_paths_of_all_classes_and_short(spark):
+    key = "Zk3q9XvB7wLm2RtY8pHs4NcD"
+    held = [("net/api/keys/", key, ""), ("net/services/T0/B0/", key, ""), ("/net/api/keys/", key + "/list", ""), ("see ", "Zk3q9sampleXvB7wLm2RtY8pHs4Nc", " x"),
+            ("id ", "k3q9xzvb7wlm2rty8phs4ncd5fg6", "."), ("ID ", "K3Q9XZVB7WLM2RTY6PHS4NCD5FG7", "."), ("pw ", "Zk3q9XvB7wLm2RtY", ""), ("pw ", "k3q9xzvb7wlm2rty8p", ""),
+            ("pw ", "K3Q9XZVB7WLM2RTY6P", ""), ("x ", "9f3a17c0be52d846", " x"), ("net/api/keys/", "Zk3q9XvB7wLm2RtY8p", "")]
+    free = ["usr/local/share/doc/manuals/english/Readme2", "id 123e4567-e89b-12d3-a456-426614174000", "your-api-key-example-0123456789-ABCDEF", "internationalization2024",
+            "ThingsAboutTheHouse24", "SEPTEMBERMEETING2024", "an ordinary sentence of 2024", "x" * 5000 + "X1", "a/" * 9000 + "B1", "=-" * 9000 + "aB1"]
+    texts = [a + b + c for a, b, c in held] + free
+    rows = {x.doc_id: x for x in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    for i, (a, b, _) in enumerate(held):
+        at = len(a) - len("T0/B0/") if "T0" in a else len(a)
+        assert (at, len(a + b)) in {(s.start, s.end) for s in rows[i].found}, texts[i]
+    assert [t[:60] for i, t in enumerate(texts) if i >= len(held) and rows[i].found] == []
+
+
+@pytest.mark.parametrize("c", secrets.CLASSES, ids=lambda c: c.kind)
+def test_random_keys_are_found(spark, c):
+    r = random.Random(8)
+    chars = [x for x in c.chars if c.kind != "entropy_hex" or not x.isupper()]
+    keys = ["".join(r.choice(chars) for _ in range(n)) for n in (16, 19, 23, 24, 40) for _ in range(60)]
+    keys = [k for k in keys if any(x.isdigit() for x in k) and (c.kind != "entropy_base64" or any(x.isupper() for x in k) and any(x.islower() for x in k))]
+    rows = secrets.scan(spark.createDataFrame(list(enumerate(keys)), "doc_id bigint, text string")).collect()
+    assert sum(bool(x.found) for x in rows) >= 0.97 * len(keys) > 200
