@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.text import WORD_SPLIT
 from labelforge.functions.vectors import cosine, normalize
-from labelforge.operators.position import global_position
+from labelforge.operators.position import key_position
 
 SIF_A = 1e-3           # fixed value: SIF smoothing constant
 IDF_EPSILON = 1e-12    # fixed values: IDF probability floor and clip range
 IDF_CLIP_MIN = 1.0
 IDF_CLIP_MAX = 15.0
-VOCAB_PREFIX_CHARS = 2
 
 
 def tokenize(df: DataFrame, id_col, text: str) -> DataFrame:
@@ -43,17 +42,14 @@ def build_vocab(tokens: DataFrame) -> DataFrame:
     building from the counts lets a query share one tokenisation between the vocabulary and the
     per-document side.
 
-    The total is a scalar subquery. Ranks use the bucketed position helper with buckets
-    (n, first characters of the token), which follow the same order, so even the long tail
-    of tokens seen once is numbered by many tasks."""
+    Ranks follow the order (n desc, token) by range partitions of that composite key, so the long
+    tail of tokens seen once is cut by the token itself and numbered by many tasks. The counted
+    tokens are written once; the total is a scalar subquery over that table."""
     n = F.sum("cnt") if "cnt" in tokens.columns else F.count(F.lit(1))
-    counts = tokens.groupBy("token").agg(n.alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    v = counts.withColumn("p", F.col("n") / total).withColumn("logp", F.log(F.col("p")))
-    return global_position(
-        v, order=[F.col("n").desc(), F.col("token")],
-        buckets={"_vn": F.col("n"), "_vt": F.substring("token", 1, VOCAB_PREFIX_CHARS)},
-        bucket_order=[F.col("_vn").desc(), F.col("_vt")], name="token_id")
+    v = key_position(tokens.groupBy("token").agg(n.alias("n")), [F.col("n").desc(), F.col("token")], name="token_id")
+    total = v.agg(F.sum("n")).scalar()
+    return (v.withColumn("p", F.col("n") / total).withColumn("logp", F.log(F.col("p")))
+            .select("token", "n", "p", "logp", "token_id"))
 
 
 def attach_token_ids(df: DataFrame, vocab: DataFrame, n_vectors: Column | int | None = None,
@@ -68,33 +64,6 @@ def attach_token_ids(df: DataFrame, vocab: DataFrame, n_vectors: Column | int |
     return j.withColumn("vid", tid.cast("long"))
 
 
-TOP_RANK_LIMIT = 1_000_000  # largest vector table whose ids are ranked by a bounded top-k
-
-
-def token_logp(tokens: DataFrame) -> DataFrame:
-    """(token, n, logp) without ranks: what the SIF weights need."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.withColumn("logp", F.log(F.col("n") / total))
-
-
-def vector_token_ids(counts: DataFrame, n_vectors: int) -> DataFrame:
-    """(token, vid) for the tokens whose vocabulary rank (n desc, token) is below ``n_vectors``;
-    every other token maps to vector 0. When the vector table is at most TOP_RANK_LIMIT rows
-    this is a bounded top-k (each task keeps n_vectors rows, then one ordered merge) instead of
-    ranking the whole vocabulary; larger tables use the bucketed full rank."""
-    from pyspark.sql import Window
-    if n_vectors <= TOP_RANK_LIMIT:
-        top = counts.orderBy(F.col("n").desc(), F.col("token")).limit(n_vectors).select("token", "n")
-        w = Window.orderBy(F.col("n").desc(), F.col("token"))
-        return top.select("token", (F.row_number().over(w) - 1).alias("vid"))
-    ranked = global_position(
-        counts, order=[F.col("n").desc(), F.col("token")],
-        buckets={"_vn": F.col("n"), "_vt": F.substring("token", 1, VOCAB_PREFIX_CHARS)},
-        bucket_order=[F.col("_vn").desc(), F.col("_vt")], name="vid")
-    return ranked.filter(F.col("vid") < n_vectors).select("token", "vid")
-
-
 def sif_weight(logp) -> Column:
     """a / (a + exp(logp)); an unknown token (null logp) weighs 1."""
     lp = F.col(logp) if isinstance(logp, str) else logp

@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.operators.position import range_buckets
+from labelforge.operators.position import ordered
 
-AUC_BUCKETS = 4096
 LABELS = ("Chat", "Search")  # class 0, 1
 
 
@@ -75,10 +74,10 @@ def auc(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "prob") ->
 
     AUC = Σ_s pos(s) · (neg(< s) + neg(s)/2) / (P · N). Rows are first reduced to one row per
     distinct (group, score) by a partial aggregate, so tied scores never make a hot key. The
-    running count of negatives below each score is the bucketed running sum: the distinct
-    scores go to quantile buckets (balanced however the scores are spread), bucket totals
-    (a small table) give each bucket's offset, and a window partitioned by (group, bucket) sums
-    inside it. A group with one class only gives null."""
+    running count of negatives below each score is a running sum in two levels: the distinct
+    (group, score) rows are put in order by range partitions (balanced however the scores are
+    spread), partition totals (a small table) give offsets, and a window partitioned by (group,
+    range partition) sums inside. A group with one class only gives null."""
     return auc_from_scores(score_counts(df, by, y, score), by, score)
 
 
@@ -90,16 +89,19 @@ def score_counts(df: DataFrame, by: Sequence[str], y: str = "y", score: str = "p
 
 def auc_from_scores(per: DataFrame, by: Sequence[str], score: str = "prob") -> DataFrame:
     """A10 on the (group, score, _pos, _neg) table of ``score_counts``."""
+    return _auc_in_order(ordered(per, [*by, score]), by)
+
+
+def _auc_in_order(per: DataFrame, by: Sequence[str]) -> DataFrame:
     parts = list(by)
-    per = range_buckets(per, score, "_b", AUC_BUCKETS)
-    bk = ["_b"]
-    bt = per.groupBy(*parts, *bk).agg(F.sum("_neg").alias("_bneg"))
-    wb = Window.partitionBy(*parts).orderBy(*bk).rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("_boff", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)))
-    wi = (Window.partitionBy(*parts, *bk).orderBy(score)
-          .rowsBetween(Window.unboundedPreceding, -1))
-    ranked = (per.join(bt.drop("_bneg"), [*parts, *bk])
-              .withColumn("_below", F.col("_boff") + F.coalesce(F.sum("_neg").over(wi), F.lit(0))))
+    w = Window.partitionBy(*parts).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (per.groupBy(*parts, "_part").agg(F.sum("_neg").alias("_n"))
+               .select(*[F.col(c).alias(f"_o_{c}") for c in parts], F.col("_part").alias("_o_part"),
+                       F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")))
+    same = [F.col("_part") == F.col("_o_part"), *[F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in parts]]
+    inside = Window.partitionBy(*parts, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (per.withColumn("_in", F.coalesce(F.sum("_neg").over(inside), F.lit(0))).join(offsets, same)
+              .withColumn("_below", F.col("_off") + F.col("_in")))
     agg = ranked.groupBy(*parts).agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)).alias("_u"),
         F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
@@ -109,23 +111,23 @@ def auc_from_scores(per: DataFrame, by: Sequence[str], score: str = "prob") -> D
 
 def expand_memberships(df: DataFrame, membership: DataFrame, grp: str = "grp",
                        report: str = "report") -> DataFrame:
-    """Attach every report a row's group belongs to (a row may land in several).
-    The membership table is a handful of rows, so it is broadcast."""
-    return df.join(F.broadcast(membership), grp)
+    """Attach every report a row's group belongs to (a row may land in several). The planner
+    broadcasts the membership table when its size is under the threshold, as it nearly always is."""
+    return df.join(membership, grp)
 
 
 def group_report(df: DataFrame, by: Sequence[str], y: str = "y", prob: str = "prob",
                  thr: float = 0.5) -> DataFrame:
     """Wide report per group: n, AUC, accuracy and the confusion cells (A8 + A9 + A10).
     Cells and AUC both come from one (group, score) pre-aggregate, so the predictions are read
-    once (the two branches share that exchange)."""
-    per = score_counts(df, by, y, prob)
+    once."""
+    per = ordered(score_counts(df, by, y, prob), [*by, prob])
     hi = F.col(prob) >= F.lit(thr)
     cells = per.groupBy(*by).agg(
         F.sum(F.col("_pos") + F.col("_neg")).alias("n"),
         F.sum(F.when(~hi, F.col("_neg")).otherwise(0)).alias("tn"), F.sum(F.when(hi, F.col("_neg")).otherwise(0)).alias("fp"),
         F.sum(F.when(~hi, F.col("_pos")).otherwise(0)).alias("fn"), F.sum(F.when(hi, F.col("_pos")).otherwise(0)).alias("tp"))
-    return binary_metrics(cells).join(auc_from_scores(per, by, prob), list(by), "left")
+    return binary_metrics(cells).join(_auc_in_order(per, by), list(by), "left")
 
 
 def positive_rate(df: DataFrame, by: Sequence[str], y: str = "y") -> DataFrame:

@@ -32,8 +32,8 @@ def corpus_ids(df: DataFrame, order: Sequence[str], key: str, grp: str = "grp",
                name: str = "id") -> DataFrame:
     """Global id across groups laid out in ``order``: off(grp) + rank of ``key`` in the group. A row
     whose group isn't declared stops the job: it has no place in the order."""
-    offs = group_offsets(df, order, grp).select(grp, "ord", "off")
-    p = key_position(df, key, partition_by=[grp], name="_gpos")
+    p = key_position(df, key, partition_by=[grp], name="_gpos")  # written: the offsets count the same rows
+    offs = group_offsets(p, order, grp).select(grp, "ord", "off")
     undeclared = F.raise_error(F.concat(F.lit("group not in the declared order: "), F.coalesce(F.col(grp).cast("string"), F.lit("null"))))
     return (p.join(F.broadcast(offs), grp, "left")
             .withColumn(name, F.when(F.col("off").isNull(), undeclared.cast("long")).otherwise(F.col("off") + F.col("_gpos"))).withColumnRenamed("_gpos", "gpos")

@@ -1,14 +1,15 @@
 """Dense, deterministic positions without a single-task window (the shared helper, W1-W5, D1).
 
 An un-partitioned ``row_number()`` sorts the whole table in one task. Instead every helper here
-assigns rows to order-preserving buckets, counts the buckets (a small table: at most a few
-thousand rows per partition key), turns the counts into offsets with a running sum over that
-small table, and numbers rows inside each bucket with a window partitioned by the bucket:
+puts rows into order-preserving pieces, counts the pieces (a small table) and turns the counts
+into offsets with a running sum over that small table:
 
-    pos = offset(bucket) + row_number() over (partition by bucket order by key) - 1
+    pos = offset(piece) + number in the piece
 
-The bucket count table is joined back without a hint: its size is measured and AQE broadcasts it
-only when it is under the broadcast threshold, else it falls back to a shuffle join.
+Key order (W1, W5, vocabulary ranks) takes Spark's range partitions as the pieces, so keys of any
+orderable type work, several columns at once. Hash order (D1) takes the leading characters of the
+hash. The offsets are joined back without a hint: their size is measured and AQE broadcasts them
+only when they are under the broadcast threshold, else it falls back to a shuffle join.
 """
 from __future__ import annotations
 
@@ -17,8 +18,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelforge.session import written
+
 HASH_BUCKET_CHARS = 3  # 16^3 = 4096 buckets of md5 order
-KEY_BUCKETS = 4096
 
 
 def _cols(xs) -> list[Column]:
@@ -75,33 +77,38 @@ def shuffle_position(df: DataFrame, id_col: str, seed, partition_by: Sequence[st
         partition_by=partition_by, name=name, total=total).drop("_h")
 
 
-RANK_STEPS = 16  # a cut's rank is within 1/16 of a bucket of the wanted one
-
-
-def range_buckets(df: DataFrame, col: str, name: str, n: int = KEY_BUCKETS) -> DataFrame:
-    """Add ``name``: a bucket number monotone in ``col``, holding about count/n distinct values
-    each however they are spread (clusters next to far outliers, scores packed into a narrow band).
-
-    The n-1 cuts are quantiles of the column: one partial aggregate whose single row reaches the
-    plan as a scalar subquery. A row's bucket is the number of cuts below it, found by binary
-    search. Nulls share bucket 0 with the smallest values; equal values always share a bucket."""
-    c, steps = F.col(col).cast("double"), [1 << k for k in reversed(range((n - 1).bit_length()))]
-    if not steps:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    cuts = df.agg(F.percentile_approx(c, [i / n for i in range(1, n)], max(10_000, RANK_STEPS * n)).alias("_cuts")).scalar()
-    d = df.withColumns({"_cuts": cuts, "_c": c})
-    below = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
-                        lambda at, s: F.when(F.get(F.col("_cuts"), at + s - 1) < F.col("_c"), at + s).otherwise(at))
-    return d.withColumn(name, below.cast("long")).select(*df.columns, name)
-
-
-def key_position(df: DataFrame, key: str, partition_by: Sequence[str] = (),
-                 name: str = "pos", total: str | None = None, n_buckets: int = KEY_BUCKETS) -> DataFrame:
-    """Dense rank of a unique key (row id 0..n-1) over ``n_buckets`` quantile buckets."""
-    b = range_buckets(df, key, "_kb", n_buckets)
-    return global_position(b, order=[key], buckets={}, bucket_order=["_kb"],
-                           partition_by=partition_by, name=name, total=total,
-                           bucket_cols=["_kb"]).drop("_kb")
+ROW_MASK = (1 << 33) - 1  # low bits of monotonically_increasing_id: the row's number in its partition
+
+
+def ordered(df: DataFrame, order: Sequence, part: str = "_part", row: str = "_row") -> DataFrame:
+    """The rows of ``df`` in the global order of ``order`` (columns of any orderable type, several
+    at once, descending ones and nulls included), each with its range partition and its number there.
+
+    Spark's range partitioner samples the keys and cuts them into partitions of about equal size,
+    strings and composite keys alike; rows with equal keys share a partition. The result is written
+    under spark.checkpoint.dir and read back: every later step sees the same cuts, and what made
+    ``df`` runs once (and once more, its keys only, for the sample)."""
+    placed = (df.repartitionByRange(*_cols(order)).sortWithinPartitions(*_cols(order))
+              .select("*", F.spark_partition_id().alias(part),
+                      F.monotonically_increasing_id().bitwiseAND(F.lit(ROW_MASK)).alias(row)))
+    return written(placed, "ordered")
+
+
+def key_position(df: DataFrame, key, partition_by: Sequence[str] = (), name: str = "pos",
+                 total: str | None = None) -> DataFrame:
+    """Dense rank 0..n-1 of ``key`` (a column or a list of columns or orderings), per
+    ``partition_by``. The rows are put in order once (``ordered``); counts by range partition, a table of
+    one row per partition and group, give the offsets. Nulls come first, a null group is one like
+    any other, and rows with equal keys are numbered in any order."""
+    keys, parts = list(key) if isinstance(key, (list, tuple)) else [key], list(partition_by)
+    placed = ordered(df, [*parts, *keys])
+    counts = placed.groupBy(*parts, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
+    w = Window.partitionBy(*parts).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    extra = [F.sum("_n").over(Window.partitionBy(*parts)).alias(total)] if total else []
+    offsets = counts.select(*[F.col(c).alias(f"_o_{c}") for c in parts], F.col("_part").alias("_o_part"),
+                            (F.sum("_n").over(w) - F.col("_n") - F.col("_first")).alias("_off"), *extra)
+    same = [F.col("_part") == F.col("_o_part"), *[F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in parts]]
+    return placed.join(offsets, same).select(*df.columns, *([total] if total else []), (F.col("_off") + F.col("_row")).alias(name))
 
 
 def batch_id(pos: str, size: int) -> Column:

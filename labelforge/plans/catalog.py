@@ -232,23 +232,22 @@ def s8_corpus_ids(spark, d):
                              "(sum(count(*)) OVER (ORDER BY min(ord)))::BIGINT - count(*) AS off FROM groups_o GROUP BY grp) o "
                              "ON c.id >= o.off AND c.id < o.off + o.n"))
 def j6_range_join(spark, d):
-    g = V.groups(spark, d)
-    ids = G.corpus_ids(g, V.GROUP_ORDER, key="doc_id").select("id")
-    offs = G.group_offsets(g, V.GROUP_ORDER)
-    return G.range_join(ids, "id", offs).select("id", "grp")
+    ids = G.corpus_ids(V.groups(spark, d).select("doc_id", "grp"), V.GROUP_ORDER, key="doc_id").select("id", "grp")
+    offs = G.group_offsets(ids, V.GROUP_ORDER)
+    return G.range_join(ids.select("id"), "id", offs).select("id", "grp")
 
 
 @register("a5_label_chunks", q("SELECT grp, gpos // 1024 AS chunk, string_agg(y::VARCHAR, '' ORDER BY gpos) AS labels "
                                "FROM corpus GROUP BY grp, chunk"))
 def a5_label_chunks(spark, d):
-    c = G.corpus_ids(V.groups(spark, d), V.GROUP_ORDER, key="doc_id")
+    c = G.corpus_ids(V.groups(spark, d).select("doc_id", "grp", "y"), V.GROUP_ORDER, key="doc_id")
     return G.label_chunks(c, "grp", "gpos", "y")
 
 
 @register("l2_first_k_per_group", q(f"SELECT grp, id, doc_id FROM corpus WHERE grp IN ('fr_val', 'en_eval') AND gpos < {PARITY_K}"))
 def l2_first_k_per_group(spark, d):
     from pyspark.sql import Window
-    c = G.corpus_ids(V.groups(spark, d), V.GROUP_ORDER, key="doc_id").filter(F.col("grp").isin("fr_val", "en_eval"))
+    c = G.corpus_ids(V.groups(spark, d).select("doc_id", "grp"), V.GROUP_ORDER, key="doc_id").filter(F.col("grp").isin("fr_val", "en_eval"))
     w = Window.partitionBy("grp").orderBy("id")
     return c.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= PARITY_K).select("grp", "id", "doc_id")
 

@@ -40,8 +40,9 @@ def _rowids(spark, d):
     return TR.with_row_ids(V.labeled(spark, d), "doc_id")
 
 
-def _stub_results(spark, d):
-    r = _rowids(spark, d).withColumn("batch_id", batch_id("row_id", BATCH_SIZE))
+def _stub_results(spark, d, rows=None):
+    """Results of a stand-in translator for the numbered rows (``rows``, else they are numbered here)."""
+    r = (_rowids(spark, d) if rows is None else rows).withColumn("batch_id", batch_id("row_id", BATCH_SIZE))
     r = r.filter(F.col("batch_id") < r.agg(F.max("batch_id")).scalar())
     r = r.join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
     fail = F.col("toxic") == 1
@@ -91,20 +92,23 @@ def a21_failed_total(spark, d):
 @register("j3_attach_translations", q('SELECT r.row_id, t.translation AS "Query", r.label AS "Label", r.source '
                                       "FROM rowids r LEFT JOIN tr_results t USING (row_id)"))
 def j3_attach_translations(spark, d):
-    j = TR.attach_results(_rowids(spark, d), _stub_results(spark, d))
+    rows = _rowids(spark, d)
+    j = TR.attach_results(rows, _stub_results(spark, d, rows))
     return j.select("row_id", F.col("translation").alias("Query"), F.col("label").alias("Label"), "source")
 
 
 @register("j4_missing_rows", q("SELECT count(*) AS n_missing, min(row_id) AS first_missing FROM rowids r "
                                "WHERE NOT EXISTS (SELECT 1 FROM tr_results t WHERE t.row_id = r.row_id)"))
 def j4_missing_rows(spark, d):
-    return CK.missing_rows(_rowids(spark, d), _stub_results(spark, d))
+    rows = _rowids(spark, d)
+    return CK.missing_rows(rows, _stub_results(spark, d, rows))
 
 
 @register("j5_error_table", q("SELECT t.row_id, coalesce(t.error, 'unknown error') AS error, r.query "
                               "FROM tr_results t JOIN rowids r USING (row_id) WHERE t.translation IS NULL ORDER BY t.row_id"))
 def j5_error_table(spark, d):
-    return CK.error_table(_rowids(spark, d), _stub_results(spark, d))
+    rows = _rowids(spark, d)
+    return CK.error_table(rows, _stub_results(spark, d, rows))
 
 
 @register("l1_sort_by_row_id", q("SELECT row_id, batch_id FROM tr_results ORDER BY row_id"))
@@ -126,7 +130,8 @@ def _esc_sql(x: str) -> str:
                                  + " || ',' || " + _esc_sql("r.source") + " AS line FROM rowids r LEFT JOIN tr_results t USING (row_id)"))
 def s6_unquoted_lines(spark, d):
     """The final translated table as unquoted CSV lines with backslash escapes (and written)."""
-    j = TR.attach_results(_rowids(spark, d), _stub_results(spark, d))
+    rows = _rowids(spark, d)
+    j = TR.attach_results(rows, _stub_results(spark, d, rows))
     lines = j.select("row_id", TR.unquoted_csv_line(["translation", "label", "source"]).alias("line"))
     IO.write_unquoted_lines(lines, "line", scratch_path(spark, "s6-lines"), header="Query,Label,source")
     return lines

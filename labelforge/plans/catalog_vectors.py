@@ -134,12 +134,9 @@ nrm AS (SELECT doc_id, sqrt(sum(m * m)) AS nr FROM s GROUP BY doc_id)""")
 def _pooled_ids(spark, d):
     """(doc_id, token, cnt, logp, vid): per-document token counts with their log-probability
     and vector id (rank below the vector-table size, else 0)."""
-    emb = table(spark, d, "embeddings")
-    nvec = emb.count()  # size of the vector table: bounds the ranked top-k
-    counts = E.token_logp(V.doc_tokens(spark, d))
-    top = E.vector_token_ids(counts.select("token", "n"), nvec)
-    return (V.doc_token_counts(spark, d).join(counts.select("token", "logp"), "token")
-            .join(top, "token", "left").withColumn("vid", F.coalesce(F.col("vid"), F.lit(0)).cast("long")))
+    size = table(spark, d, "embeddings").agg(F.count(F.lit(1))).scalar()
+    counts = V.doc_token_counts(spark, d)
+    return E.attach_token_ids(counts, V.vocab(spark, d), size)
 
 
 def _pooled(spark, d, sif: bool, l2: bool):

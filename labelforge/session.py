@@ -5,7 +5,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every labelforge job relies on. AQE re-plans joins at run time: it broadcasts a
 # side only once its measured size is under spark.sql.autoBroadcastJoinThreshold, coalesces
@@ -54,3 +54,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for files a job writes and reads back."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/labelforge/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet under the checkpoint root and read it back: later steps neither
+    recompute it nor depend on the executors that made it, all see the same rows, and the planner
+    knows its size."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -74,20 +74,47 @@ def test_d6_quota_rounds(spark):
     assert res == {0: (2, 0, True), 1: (1, 2, True), 2: (1, 3, False), 3: (1, 4, False)}
 
 
-def test_range_buckets_stay_balanced_with_outliers(spark):
+def test_range_partitions_stay_balanced_with_outliers(spark):
     df = spark.range(0, 20000).select(F.when(F.col("id") == 7, F.lit(10 ** 15)).otherwise(F.col("id")).alias("k"))
     packed = spark.range(0, 20000).select(F.when(F.col("id") == 7, F.lit(0.02)).otherwise(F.col("id") * 1e-11).alias("k"))
     far = spark.range(0, 20000).select((F.lit(10 ** 15) + F.when(F.col("id") == 7, F.lit(10 ** 12)).otherwise(F.col("id"))).alias("k"))
-    for table in (df, packed, far):
-        b = P.range_buckets(table, "k", "b", n=64)
-        mono = (b.groupBy("b").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n"))
-                .orderBy("b").collect())
-        assert all(x.hi < y.lo for x, y in zip(mono, mono[1:]))
-        assert len(mono) == 64 and max(x.n for x in mono) <= 1.2 * 20000 / 64
+    text = spark.range(0, 20000).select(F.concat(F.lit("a-long-prefix-that-all-share/"), F.col("id")).alias("k"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for table in (df, packed, far, text):
+            b = P.ordered(table, ["k"])
+            mono = (b.groupBy("_part").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n"))
+                    .orderBy("_part").collect())
+            assert all(x.hi < y.lo for x, y in zip(mono, mono[1:]))
+            assert len(mono) > 4 and max(x.n for x in mono) <= 3 * 20000 / len(mono)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     pos = {r.k: r.pos for r in P.key_position(df, "k").collect()}
     assert pos[10 ** 15] == 19999 and pos[0] == 0 and pos[8] == 7
 
 
+def test_text_and_composite_keys(spark):
+    rows = [(f"k{i % 97:03d}é" if i % 5 else None, -i, f"g{i % 3}" if i % 7 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "k string, n long, g string")
+    got = P.key_position(df, ["k", F.col("n").desc()], partition_by=["g"], total="m").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.g, []).append(r)
+    assert len(got) == 600 and None in by
+    for xs in by.values():
+        want = sorted(xs, key=lambda r: (r.k is not None, r.k or "", -r.n))
+        assert [r.pos for r in want] == list(range(len(xs))) and all(r.m == len(xs) for r in xs)
+
+
+def test_vocabulary_ranks_with_many_single_tokens_of_one_prefix(spark):
+    from labelforge.operators.embed import build_vocab
+    toks = (spark.range(100_000).select(F.format_string("shared%06d", "id").alias("token"))
+            .unionByName(spark.range(30_000).select(F.lit("hot").alias("token"))))
+    v = build_vocab(toks)
+    assert v.where("token = 'hot' and token_id = 0 and n = 30000").count() == 1
+    assert v.where("token <> 'hot' and token_id <> 1 + cast(substring(token, 7) as long)").count() == 0 and v.count() == 100_001
+
+
 def test_key_position_empty(spark):
     df = spark.range(0).withColumnRenamed("id", "k")
     assert P.key_position(df, "k").count() == 0

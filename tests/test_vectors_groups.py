@@ -88,14 +88,12 @@ def test_group_offsets_range_join_and_chunks(spark):
     assert ch == {("a", 0): "101", ("b", 0): "0101", ("b", 1): "010"}
 
 
-def test_vector_ids_top_k_equals_full_rank(spark, monkeypatch):
+def test_vector_ids_beyond_the_vector_table_fall_to_the_unknown_one(spark):
     docs = spark.createDataFrame([(1, "a b a c d d d e"), (2, "b c c f g h")], "doc_id long, text string")
     toks = E.tokenize(docs, "doc_id", "text")
-    full = {r.token: r.token_id for r in E.build_vocab(toks).collect()}
-    counts = E.token_logp(toks).select("token", "n")
+    vocab = E.build_vocab(toks)
+    full = {r.token: r.token_id for r in vocab.collect()}
+    assert full == {t: i for i, t in enumerate(["c", "d", "a", "b", "e", "f", "g", "h"])}
     for k in (1, 3, 5, 100):
-        exp = {t: i for t, i in full.items() if i < k}
-        assert {r.token: r.vid for r in E.vector_token_ids(counts, k).collect()} == exp
-        monkeypatch.setattr(E, "TOP_RANK_LIMIT", 0)
-        assert {r.token: r.vid for r in E.vector_token_ids(counts, k).collect()} == exp
-        monkeypatch.setattr(E, "TOP_RANK_LIMIT", 1_000_000)
+        got = {(r.token, r.vid) for r in E.attach_token_ids(toks, vocab, k).collect()}
+        assert got == {(t, i if i < k else 0) for t, i in full.items()}
