@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.text import WORD_SPLIT
 from labelforge.functions.vectors import cosine, normalize
+from labelforge.operators.hot_join import HOT_SHARE, salted_join
 from labelforge.operators.position import key_position
 
 SIF_A = 1e-3           # fixed value: SIF smoothing constant
@@ -52,11 +53,20 @@ def build_vocab(tokens: DataFrame) -> DataFrame:
             .select("token", "n", "p", "logp", "token_id"))
 
 
+def frequent_tokens(vocab: DataFrame) -> DataFrame:
+    """(token): those with more than 1/HOT_SHARE of all counted occurrences, at most HOT_SHARE."""
+    return vocab.where(F.col("p") * HOT_SHARE > 1).select("token")
+
+
 def attach_token_ids(df: DataFrame, vocab: DataFrame, n_vectors: Column | int | None = None,
-                     unk_id: int = 0) -> DataFrame:
+                     unk_id: int = 0, hot: DataFrame | None = None) -> DataFrame:
     """Token → (token_id, logp); unknown tokens get ``unk_id``; ids beyond the vector table
-    (``n_vectors``) fall back to ``unk_id`` too."""
-    j = df.join(vocab.select("token", "token_id", "logp"), "token", "left")
+    (``n_vectors``) fall back to ``unk_id`` too. ``hot`` lists tokens that hold many rows of ``df``
+    (default: the vocabulary's frequent ones; ``hot_join.hot_keys`` finds those of another corpus):
+    their rows are spread over many tasks by a hash of the row."""
+    spread = F.xxhash64(*[c for c in df.columns if c != "token"])
+    j = salted_join(df, vocab.select("token", "token_id", "logp"), "token",
+                    frequent_tokens(vocab) if hot is None else hot, spread, "left")
     tid = F.coalesce(F.col("token_id"), F.lit(unk_id))
     if n_vectors is not None:
         nv = F.lit(n_vectors) if isinstance(n_vectors, int) else n_vectors

@@ -10,6 +10,7 @@ from labelforge.functions.vectors import (argmax, argmax2, as_double, dot, l2_no
 from labelforge.operators import embed as E
 from labelforge.operators import evaluate as EV
 from labelforge.operators import split as S
+from labelforge.operators.hot_join import hot_keys
 from labelforge.operators.position import key_position
 from labelforge.plans import views as V
 from labelforge.plans.catalog import MAX_LEN, PROBE_K, register
@@ -76,7 +77,7 @@ dids AS (SELECT d.doc_id, coalesce(ti.ids, []::BIGINT[]) AS ids FROM documents d
 
 def _doc_ids(spark, d):
     toks = V.doc_tokens(spark, d)
-    j = toks.join(V.vocab(spark, d).select("token", "token_id"), "token")
+    j = E.attach_token_ids(toks, V.vocab(spark, d))
     per = j.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_l"))
     per = per.select("doc_id", F.transform("_l", lambda x: x["token_id"]).alias("ids"))
     docs = table(spark, d, "documents").select("doc_id")
@@ -110,7 +111,7 @@ FROM qt LEFT JOIN vocab v USING (token) GROUP BY subset, rid""",
 qt AS (SELECT * FROM qt0 WHERE token <> '')"""))
 def j8_token_logprob(spark, d):
     toks = E.tokenize(V.queries(spark, d), ["subset", "rid"], "query")
-    j = E.attach_token_ids(toks, V.vocab(spark, d))
+    j = E.attach_token_ids(toks, V.vocab(spark, d), hot=hot_keys(toks, "token"))
     return j.groupBy("subset", "rid").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("token_id").isNull()).alias("n_unknown"),
         round4(F.sum(F.coalesce(F.col("logp"), F.lit(0.0)))).alias("logp_sum"),

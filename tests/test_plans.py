@@ -26,7 +26,7 @@ def test_no_cartesian_or_nested_loop_join(spark, name):
 
 
 def test_filters_and_columns_reach_the_scan(spark):
-    plan = _plan(E.queries()["j6_range_join"](spark, SF))
+    plan = _plan(E.queries()["s4_group_union"](spark, SF))
     assert "PushedFilters: [In(lang, [en,fr])" in plan
     plan = _plan(E.queries()["p2_constant_label"](spark, SF))
     assert "ReadSchema: struct<page_id:bigint>" in plan and "documents" not in plan

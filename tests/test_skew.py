@@ -49,3 +49,33 @@ def test_upsample_when_one_class_dominates(spark):
     counts = {r.label: r["count"] for r in up.groupBy("label").count().collect()}
     assert counts == {"big": 2000, "small": 2000}
     assert up.filter((F.col("label") == "small") & F.col("draw").isNotNull()).count() == 0
+
+
+def test_hot_keys_and_their_salted_join(spark):
+    from labelforge.operators.hot_join import hot_keys, salted_join
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("t"), F.col("id") % 997))
+                                      .when(F.col("id") % 5 == 0, F.lit(None)).otherwise("unknown").alias("k"))
+    table = spark.createDataFrame([("hot", 1), ("never", 2), *[(f"t{i}", 10 + i) for i in range(997)]], "k string, v int")
+    hot = {r.k for r in hot_keys(rows, "k").collect()}
+    assert {"hot", "unknown"} <= hot and len(hot) <= 256 and not any(k.startswith("t") for k in hot)
+    for how in ("inner", "left"):
+        got = salted_join(rows, table, "k", hot_keys(rows, "k"), F.xxhash64("id"), how)
+        want = rows.join(table, "k", how).select("id", "k", "v")
+        assert got.columns == ["id", "k", "v"] and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert hot_keys(rows.limit(0), "k").count() == 0
+
+
+def test_no_join_task_holds_a_hot_token(spark):
+    from labelforge.operators.hot_join import hot_keys, salted_join
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"))
+    table = spark.range(60_000).select(F.col("id").alias("k")).unionByName(spark.range(1).select(F.lit(-1).alias("k"))).withColumn("v", F.lit(1))
+    old = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        for c, v in zip(old, ("-1", "64", "false")):
+            spark.conf.set(c, v)
+        got = salted_join(rows, table, "k", hot_keys(rows, "k"), F.xxhash64("id"))
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == 60_000 and max(sizes) <= 0.05 * 60_000
