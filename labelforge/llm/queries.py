@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import bloom_cascade, chosen_path, decontaminate, html_template, lattice, licenses, packing, quality_cascade, secrets, sentence_spans
+from labelforge.llm import bloom_cascade, chosen_path, decontaminate, html_template, lattice, licenses, merkle, packing, quality_cascade, secrets, sentence_spans
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -139,3 +139,9 @@ def op4_sentence_spans(spark, d):
 @register("op1_template_removal")
 def op1_template_removal(spark, d):
     return html_template.extract(read(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+# ------------------------------------------------------------------ 13 manifest
+@register("op13_merkle_manifest")
+def op13_merkle_manifest(spark, d):
+    return merkle.audit(read(spark, d, "documents")).drop("position", "path")
