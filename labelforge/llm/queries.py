@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.llm import bloom_cascade, chosen_path, decontaminate, html_template, lattice, licenses, merkle, packing, quality_cascade, secrets, sentence_spans
+from labelforge.llm import bloom_cascade, chosen_path, decontaminate, html_template, lattice, licenses, merkle, packing, prefix_trie, quality_cascade, secrets, sentence_spans, source_mix
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
@@ -145,3 +145,15 @@ def op1_template_removal(spark, d):
 @register("op13_merkle_manifest")
 def op13_merkle_manifest(spark, d):
     return merkle.audit(read(spark, d, "documents")).drop("position", "path")
+
+
+# ------------------------------------------------------------------ 11 mixing sources
+@register("op11_source_schedule")
+def op11_source_schedule(spark, d):
+    return source_mix.taken(read(spark, d, "documents")).drop("source")
+
+
+# ------------------------------------------------------------------ 12 conversation trie
+@register("op12_prefix_trie")
+def op12_prefix_trie(spark, d):
+    return prefix_trie.trie(read(spark, d, "conversations"))
