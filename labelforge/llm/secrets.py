@@ -9,9 +9,10 @@ class's threshold becomes a span, unless its whole value is on the allow-list. A
 in front of a run is no part of the candidate; what stands behind it is scored like any other run.
 Base spans are never suppressed.
 
-Positions are code points, end exclusive. A pattern's matches come from regexp_extract_all; the
-position of each is the first place of its text at or after the end of the one before, which is
-where the match was found, as no pattern looks around itself.
+Positions are code points, end exclusive. A pattern's matches come from regexp_extract_all and the gaps
+before them from a split at the same pattern; their lengths add up to the positions. All steps are linear
+in the text: positions are added up batch by batch, windows move over a list of codes, and cuts are made
+in slices.
 
 Edge cases: a null text is empty and has no spans; texts of any length are read whole; spans of
 different kinds may overlap; repeated rows give equal spans; other columns are left alone.
@@ -66,17 +67,47 @@ ALLOW = (
 PATH = r"^/?(?:[A-Za-z][A-Za-z_-]*+/){2,64}"  # plain words in front of a run, not the run itself
 
 
-def _located(text: Column, found: Column) -> Column:
-    """Matched strings → (start, end, value), each searched from the end of the one before."""
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(1).alias("at"), none.alias("out"))
+BATCH = 512  # elements that one fold passes over: Spark copies a fold's state at each element
 
-    def step(acc, m):
-        p = F.call_function("locate", m, text, acc["at"])
-        item = F.struct((p - 1).alias("start"), (p - 1 + F.length(m)).alias("end"), m.alias("value"))
-        return F.struct((p + F.length(m)).alias("at"), F.concat(acc["out"], F.array(item)).alias("out"))
 
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(none)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(xs: Column, both) -> Column:
+    """For each element of an int array, what ``both`` makes of 0 and all elements before it. Batches
+    are folded first, so no state holds more than a batch, or one value a batch."""
+    def batches(v):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / F.lit(BATCH)).cast("int")),
+                           lambda k: F.slice(v, k * BATCH + 1, F.lit(BATCH)))
+
+    def by_batch(parts):
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), both))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, t: F.concat(acc, F.array(both(F.element_at(acc, -1), t))))
+        inside = lambda p, at: F.aggregate(
+            p, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda acc, x: F.struct(both(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, F.slice(starts, F.lit(1), F.size(parts)), inside))
+
+    return _let(xs, lambda v: F.when(F.size(v) > 0, _let(batches(v), by_batch)).otherwise(F.array().cast("array<int>")))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """The pattern's matches as (value, gap: what stands between it and the match before)."""
+    none = F.array().cast("array<struct<value:string,gap:string>>")
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, F.zip_with(
+        found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))).otherwise(none))
+
+
+def _located(matches: Column) -> Column:
+    """``_matches`` → (start, end, value). A match starts behind its gap, where the one before ended."""
+    def place(m):
+        ends = _before(F.transform(m, lambda x: F.length(x["gap"]) + F.length(x["value"])), lambda a, b: a + b)
+        start = lambda x, at: at + F.length(x["gap"])
+        return F.zip_with(m, ends, lambda x, at: F.struct(start(x, at).alias("start"), (start(x, at) + F.length(x["value"])).alias("end"), x["value"].alias("value")))
+
+    return _let(matches, place)
 
 
 def _spans(located: Column, rank: int, kind: str) -> Column:
@@ -84,12 +115,14 @@ def _spans(located: Column, rank: int, kind: str) -> Column:
                                                    m["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    assign = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(0))
+PATTERNS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX}
+
+
+def base_spans(matches: dict[str, Column]) -> dict[str, Column]:
+    """The base spans from each kind's ``_matches``."""
     ok = lambda m: F.length(F.regexp_extract(m["value"], ASSIGN, 2)) >= 8
-    found = {"assign": F.filter(_located(text, assign), ok),
-             "access": _located(text, F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0))),
-             "hex": _located(text, F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))}
+    found = {k: _located(matches[k]) for k in BASE_KINDS}
+    found["assign"] = F.filter(found["assign"], ok)
     return {k: _spans(found[k], i, k) for i, k in enumerate(BASE_KINDS)}
 
 
@@ -98,30 +131,31 @@ def best_window_bits(run: Column, c: CharClass, window: int | None = None) -> Co
     counts and s = Σ count·log2(count); a character coming in or going out changes one count and s."""
     w, k = window or c.window, len(c.chars)
     xlog = F.array(*[F.lit(i * math.log2(i) if i else 0.0) for i in range(w + 2)])
-    code = lambda i: F.instr(F.lit(c.chars), F.substring(run, i, F.lit(1)))  # noqa: E731 - 1..k
+    codes = F.transform(F.regexp_extract_all(run, F.lit("."), F.lit(0)), lambda x: F.instr(F.lit(c.chars), x))  # 1..k
+    gone = F.concat(F.array_repeat(F.lit(0), w), codes)  # the character that leaves as another comes, 0 for none
+    moves = F.zip_with(codes, F.slice(gone, F.lit(1), F.length(run)), lambda x, y: F.struct(x.alias("came"), y.alias("gone")))
     zero = F.array_repeat(F.lit(0), k)
-    state = F.struct(zero.alias("n"), F.lit(0.0).alias("s"), F.lit(float(w * w)).alias("low"))
+    state = F.struct(F.lit(0).alias("i"), zero.alias("n"), F.lit(0.0).alias("s"), F.lit(float(w * w)).alias("low"))
 
-    def step(acc, i):
-        came, gone = code(i), F.when(i > w, code(i - w)).otherwise(F.lit(0))
+    def step(acc, m):
+        i, came, gone = acc["i"] + 1, m["came"], m["gone"]
         up, down = F.get(acc["n"], came - 1), F.get(acc["n"], gone - 1)
         moved = F.when(came == gone, acc["n"]).otherwise(
             F.transform(acc["n"], lambda x, j: x + (j + 1 == came).cast("int") - (j + 1 == gone).cast("int")))
         s = F.when(came == gone, acc["s"]).otherwise(
             acc["s"] + F.get(xlog, up + 1) - F.get(xlog, up)
             + F.when(gone > 0, F.get(xlog, down - 1) - F.get(xlog, down)).otherwise(F.lit(0.0)))
-        return F.struct(moved.alias("n"), s.alias("s"),
+        return F.struct(i.alias("i"), moved.alias("n"), s.alias("s"),
                         F.when(i >= w, F.least(acc["low"], s)).otherwise(acc["low"]).alias("low"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(run)), state, step,
-                       lambda acc: F.lit(math.log2(w)) - acc["low"] / F.lit(float(w)))
+    return F.aggregate(moves, state, step, lambda acc: F.lit(math.log2(w)) - acc["low"] / F.lit(float(w)))
 
 
-def entropy_spans(text: Column, c: CharClass, rank: int, allow: tuple[str, ...] = ALLOW) -> Column:
-    runs = _located(text, F.regexp_extract_all(text, F.lit(f"[{c.alphabet}]{{{c.short},}}"), F.lit(0)))
+def entropy_spans(matches: Column, c: CharClass, rank: int, allow: tuple[str, ...] = ALLOW) -> Column:
+    runs = _located(matches)
     if "/" in c.chars:
-        bare = lambda m: F.regexp_replace(m["value"], PATH, "")
-        runs = F.transform(runs, lambda m: F.struct((m["end"] - F.length(bare(m))).alias("start"), m["end"].alias("end"), bare(m).alias("value")))
+        bare = F.transform(runs, lambda m: F.struct(m["end"].alias("end"), F.regexp_replace(m["value"], PATH, "").alias("value")))
+        runs = F.transform(bare, lambda m: F.struct((m["end"] - F.length(m["value"])).alias("start"), m["end"].alias("end"), m["value"].alias("value")))
 
     def secret(m):
         run, ok = m["value"], F.length(m["value"]) >= c.short
@@ -145,36 +179,53 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharClass, ...] = C
     and the counts n_assign, n_access, n_hex, all under ``prefix``."""
     t, p = f"{prefix}whole", prefix
     docs = docs.withColumn(t, F.coalesce(F.col(text), F.lit("")))
-    b = base_spans(F.col(t))
+    wanted = PATTERNS | {c.kind: f"[{c.alphabet}]{{{c.short},}}" for c in classes}
+    docs = docs.withColumns({f"{p}m_{k}": _matches(F.col(t), x) for k, x in wanted.items()})
+    m = {k: F.col(f"{p}m_{k}") for k in wanted}
+    b = base_spans(m)
     docs = docs.withColumns({f"{p}{k}": b[k].cast(SPAN) for k in BASE_KINDS}
-                            | {f"{p}{c.kind}": entropy_spans(F.col(t), c, len(BASE_KINDS) + i, allow).cast(SPAN) for i, c in enumerate(classes)})
+                            | {f"{p}{c.kind}": entropy_spans(m[c.kind], c, len(BASE_KINDS) + i, allow).cast(SPAN) for i, c in enumerate(classes)})
     base = [F.col(f"{p}{k}") for k in BASE_KINDS]
     more = [F.col(f"{p}{c.kind}") for c in classes]
     return (docs.withColumns({f"{p}base": F.sort_array(F.concat(*base)), f"{p}found": F.sort_array(F.concat(*base, *more))}
                              | {f"{p}n_{k}": F.size(f"{p}{k}").cast("long") for k in BASE_KINDS})
-            .drop(t, *[f"{p}{k}" for k in BASE_KINDS], *[f"{p}{c.kind}" for c in classes]))
+            .drop(t, *[f"{p}m_{k}" for k in wanted], *[f"{p}{k}" for k in BASE_KINDS], *[f"{p}{c.kind}" for c in classes]))
+
+
+SLICE = 4096  # characters of a slice of the text, so that no cut counts from the text's start
+
+
+def slices(text: Column, spans: Column) -> Column:
+    """The text in slices of SLICE code points, where it has spans."""
+    return F.when(F.size(spans) > 0, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SLICE}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+
+
+def _between(cut: Column, a: Column, e: Column) -> Column:
+    """Characters [a, e) of a text in ``slices``."""
+    at = lambda x: F.floor(x / F.lit(SLICE)).cast("int")
+    part = lambda i: F.substring(F.get(cut, i), F.greatest(a - i * SLICE, F.lit(0)) + 1, F.least(e - i * SLICE, F.lit(SLICE)) - F.greatest(a - i * SLICE, F.lit(0)))
+    return F.when(e > a, F.array_join(F.transform(F.sequence(at(a), at(e - 1)), part), "")).otherwise(F.lit(""))
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span replaced by ``mark``; overlapping spans give one mark."""
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redacted(text: Column, spans: Column, cut: Column, mark: str = "[SECRET]") -> Column:
+    """The text with every span replaced by ``mark``; overlapping spans give one mark. ``cut`` is the
+    column that holds ``slices(text, spans)``."""
+    ends = F.transform(spans, lambda s: s["end"])
+    before = _before(ends, lambda a, b: F.greatest(a, b))  # how far the spans before reach
 
-    def step(acc, s):
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        inside = (s["start"] < acc["at"]) & (acc["at"] > 0)
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
-                        F.when(inside & ~fresh, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(mark))).alias("out"))
+    def put(c):
+        own = F.zip_with(spans, before, lambda s, at: F.when(s["start"] >= at, F.concat(_between(c, at, s["start"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(own, ""), _between(c, F.array_max(ends), F.length(text)))
 
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.length(text) - acc["at"], F.lit(0))))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, state, step, done)).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(cut, put)).otherwise(text)
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The same rows and columns, secrets of the text replaced; ``length`` (if there) follows the
     text of the rows that changed. A null text stays null."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
-    s = scan(rows, "__text", prefix="__s_").withColumn("__new", redacted(F.col("__text"), F.col("__s_found")))
+    s = scan(rows, "__text", prefix="__s_").withColumn("__cut", slices(F.col("__text"), F.col("__s_found")))
+    s = s.withColumn("__new", redacted(F.col("__text"), F.col("__s_found"), F.col("__cut")))
     changed = F.size("__s_found") > 0
     new = {text: F.col("__new")}
     if length in docs.columns:
