@@ -126,6 +126,7 @@ def manifest(docs: DataFrame, fields: Sequence[str] = FIELDS, doc_id: str = "doc
     carry = carry or {}
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(group).alias("group"), row_digest([F.col(c) for c in fields]).alias("leaf"),
                        *[c.alias(f"carry_{k}") for k, c in carry.items()])
+    slim = materialize(slim, "merkle-rows")  # texts hashed once, as the sampling of the order reads the keys too
     placed = materialize(key_position(slim, ["doc_id", "leaf"], ["group"], "idx", "n"), "merkle-leaves")
     groups = materialize(key_position(placed.groupBy("group").agg(F.max("n").alias("size")), "group", name="tree"), "merkle-groups")
     most, n_trees = groups.agg(F.max("size"), F.count(F.lit(1))).first()
