@@ -15,6 +15,7 @@ from labelforge.functions.text import WORD_SPLIT
 from labelforge.functions.vectors import cosine, normalize
 from labelforge.operators.hot_join import HOT_SHARE, salted_join
 from labelforge.operators.position import key_position
+from labelforge.session import written
 
 SIF_A = 1e-3           # fixed value: SIF smoothing constant
 IDF_EPSILON = 1e-12    # fixed values: IDF probability floor and clip range
@@ -80,19 +81,10 @@ def sif_weight(logp) -> Column:
     return F.coalesce(F.lit(SIF_A) / (F.lit(SIF_A) + F.exp(lp)), F.lit(1.0))
 
 
-_DIMS: dict[tuple, int] = {}
-
-
 def vector_dim(vectors: DataFrame, vec: str = "embedding") -> int:
-    """Dimension of the vector table (one row read, remembered per input files)."""
-    try:
-        app = vectors.sparkSession.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - remote session: no memo
-        app = None
-    k = (app, tuple(sorted(vectors.inputFiles())), vec)
-    if app is None or not k[1] or k not in _DIMS:
-        _DIMS[k] = int(vectors.select(F.size(vec)).first()[0])
-    return _DIMS[k]
+    """Dimension of the vector table (one row read)."""
+    row = vectors.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    return int(row[0]) if row else 0
 
 
 def pool(doc_tokens: DataFrame, vectors: DataFrame, id_col: str, dim: int,
@@ -137,27 +129,60 @@ def centroid_cosine(vectors: DataFrame, key: str, vec_id: str = "vec_id", vec: s
     one row per class, computed with per-dimension sums (a partial aggregate)."""
     d = dim or vector_dim(vectors, vec)
     v = vectors.select(vec_id, key, F.col(vec).cast("array<double>").alias("_v"))
-    cen = v.groupBy(key).agg(*[F.avg(F.col("_v")[i]).alias(f"_c{i}") for i in range(d)])
-    cen = cen.select(key, F.array(*[F.col(f"_c{i}") for i in range(d)]).alias("_cen"))
+    cen = class_centroids(vectors, key, vec, d).withColumnRenamed(vec, "_cen")
     return (v.join(cen, key).select(vec_id, key, cosine("_v", "_cen").alias("cosine")))
 
 
-def probe_pairs(probes: DataFrame, pid: str, vec: str, max_probes: int = 256) -> DataFrame:
-    """J9 matrix form over a bounded probe set: cosine for every unique pair i < j.
+PROBE_BLOCK, VECTOR_BLOCK = 256, 1024  # vectors of a block of the matrix product
+
+
+def _blocks(vectors: DataFrame, vid: str, vec: str, size: int, side: str) -> DataFrame:
+    """(block, n ids, flat vectors): ``size`` vectors a row, in id order. A null vector is left out."""
+    v = key_position(vectors.select(F.col(vid).alias("id"), F.col(vec).cast("array<double>").alias("v")).where("v IS NOT NULL"), "id", name="_i")
+    rows = F.array_sort(F.collect_list(F.struct("_i", "id", "v")))  # at most ``size``
+    return written(v.groupBy(F.expr(f"_i div {size}").alias(f"{side}_block")).agg(rows.alias("_r"))
+                   .select(f"{side}_block", F.col("_r.id").alias(f"{side}_ids"), F.flatten("_r.v").alias(f"{side}_v")), f"{side}-blocks")
+
+
+def cosine_matrix(probes: DataFrame, vectors: DataFrame | None = None, pid: str = "id", vid: str = "id", vec: str = "embedding") -> DataFrame:
+    """(id_a, id_b, cosine) of every probe with every vector, or without ``vectors`` of the unique pairs
+    of the probe list (id_a before id_b). 0.0 where a vector has zero norm; vectors of one length.
 
-    The probe set is checked to hold at most ``max_probes`` rows, gathered into one array
-    (bounded) and expanded to pairs with ``explode``: no cartesian product is planned."""
-    arr = probes.agg(F.array_sort(F.collect_list(F.struct(F.col(pid).alias("id"),
-                                                          F.col(vec).cast("array<double>").alias("v"))))
-                     .alias("_p"))
-    arr = arr.withColumn("_p", F.when(F.size("_p") <= max_probes, F.col("_p"))
-                         .otherwise(F.raise_error(F.lit(f"probe set larger than {max_probes}"))))
-    idx = arr.select("_p", F.posexplode("_p").alias("_i", "_a"))
-    pairs = idx.select("_p", "_i", "_a", F.explode(F.sequence(F.col("_i") + 1, F.size("_p") - 1)).alias("_j"))
-    pairs = pairs.filter((F.col("_j") > F.col("_i")) & (F.col("_j") < F.size("_p")))
-    b = F.element_at(F.col("_p"), F.col("_j") + 1)
-    return pairs.select(F.col("_a.id").alias("id_a"), b["id"].alias("id_b"),
-                        cosine(F.col("_a.v"), b["v"]).alias("cosine"))
+    A blocked matrix product: probes and vectors become blocks of bounded size, every pair of blocks is
+    one row, joined on (probe block, vector block), so the product of any size is spread evenly over
+    the tasks, and a task holds two blocks at a time. The probe list may be any table."""
+    import numpy as np
+    import pyarrow as pa
+
+    own = vectors is None
+    a = _blocks(probes, pid, vec, PROBE_BLOCK, "a")
+    b = _blocks(probes, pid, vec, PROBE_BLOCK, "b") if own else _blocks(vectors, vid, vec, VECTOR_BLOCK, "b")
+    count = {side: df.agg(F.coalesce(F.max(f"{side}_block") + 1, F.lit(0))).scalar() for side, df in (("a", a), ("b", b))}
+    left = a.withColumn("_b", F.explode(F.when(count["b"] > 0, F.sequence(F.col("a_block") if own else F.lit(0).cast("long"), count["b"] - 1))))
+    right = b.withColumn("_a", F.explode(F.when(count["a"] > 0, F.sequence(F.lit(0).cast("long"), F.col("b_block") if own else count["a"] - 1))))
+    pairs = left.join(right, (F.col("a_block") == F.col("_a")) & (F.col("_b") == F.col("b_block")))
+
+    def multiply(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                x, y = (np.asarray(batch[f"{s}_v"][row].values, dtype=float).reshape(len(batch[f"{s}_ids"][row]), -1) for s in "ab")
+                ia, ib = (batch[f"{s}_ids"][row].values for s in "ab")
+                norm = np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :]
+                cos = np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm != 0)
+                keep = np.triu(np.ones(cos.shape, bool), 1) if own and batch["a_block"][row] == batch["b_block"][row] else np.ones(cos.shape, bool)
+                i, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([ia.take(pa.array(i)), ib.take(pa.array(j)), pa.array(cos[i, j])], names=["id_a", "id_b", "cosine"])
+
+    kind = {s: df.schema[f"{s}_ids"].dataType.elementType.simpleString() for s, df in (("a", a), ("b", b))}
+    return pairs.select("a_block", "b_block", "a_ids", "a_v", "b_ids", "b_v").mapInArrow(multiply, f"id_a {kind['a']}, id_b {kind['b']}, cosine double")
+
+
+def class_centroids(vectors: DataFrame, key: str, vec: str = "embedding", dim: int | None = None) -> DataFrame:
+    """(key, embedding): the mean vector of every class, one partial aggregate."""
+    d = dim or vector_dim(vectors, vec)
+    v = F.col(vec).cast("array<double>")
+    cen = vectors.groupBy(key).agg(*[F.avg(v[i]).alias(f"_c{i}") for i in range(d)])
+    return cen.select(key, F.array(*[F.col(f"_c{i}") for i in range(d)]).alias(vec))
 
 
 def pad_ids(ids, max_len: int = 48) -> tuple[Column, Column]:
@@ -179,5 +204,5 @@ def attention_mask(pad_mask) -> Column:
 
 
 __all__ = ["tokenize", "token_counts", "build_vocab", "attach_token_ids", "sif_weight", "pool",
-           "idf_weights", "weight_summary", "centroid_cosine", "probe_pairs", "pad_ids",
+           "idf_weights", "weight_summary", "centroid_cosine", "cosine_matrix", "class_centroids", "pad_ids",
            "attention_mask", "vector_dim"]

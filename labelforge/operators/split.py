@@ -1,12 +1,14 @@
 """Sampling and splitting (D1-D6, U4), deterministic on the order ``md5(seed:id), id``."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.operators.position import key_position, shuffle_position
+from labelforge.operators.position import hash_key, key_position
+from labelforge.session import written
 
 REPLICATE_BLOCK = 4096
 
@@ -16,27 +18,73 @@ def _first_part(n: Column, ratio: float) -> Column:
     return F.least(n, F.floor(F.lit(ratio) * n).cast("long") + F.lit(1))
 
 
+STEPS = (3, 6, 32)  # leading hash characters that the steps of a selection look at
+
+
+def hash_cuts(df: DataFrame, id_col: str, seed, ranks: Sequence, partition_by: Sequence[str] = ()) -> tuple[Column, DataFrame]:
+    """Order statistics of the seeded shuffle order without ordering rows: for each of ``ranks``
+    (functions of the row count n) the hash of the row at that place, per group.
+
+    Counts by the first hash characters tell in which bucket a rank lies; only that bucket's rows are
+    counted by the next characters, and the last step counts the few hashes of one bucket (rows / 16^6).
+    Returns the hash as an expression on ``df`` and the table of cuts: group columns, _n, _cut0, _cut1 ...
+    (null: no row at that place). The keys of ``df`` are written once; rows that share an id share a
+    hash, and a null id's hash sorts first."""
+    h, parts = F.coalesce(hash_key(seed, id_col), F.lit("")), list(partition_by)
+    keys = written(df.select(*parts, h.alias("_h")), "split-keys")
+    g = [F.col(c).alias(f"_g{i}") for i, c in enumerate(parts)]
+    names = [f"_g{i}" for i in range(len(parts))]
+    keys = keys.select(*g, "_h")
+    totals = keys.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    want = [F.struct(F.lit(i).alias("cut"), r(F.col("_n")).cast("long").alias("rank")) for i, r in enumerate(ranks)]
+    open_ = written(totals.select(*names, "_n", F.inline(F.array(*want))).where("rank < _n").withColumn("_p", F.lit("")), "split-ranks")
+    at = 0
+    for chars in STEPS:
+        # the rows of the buckets that hold a cut, counted by a longer piece of the hash
+        mine = keys.withColumnsRenamed({c: f"k{c}" for c in names}).withColumn("_q", F.substring("_h", 1, at) if at else F.lit(""))
+        same = [F.col("_q") == F.col("_p"), *[F.col(f"k{c}").eqNullSafe(F.col(c)) for c in names]]
+        counts = (mine.join(open_.drop("_n"), same).groupBy(*names, "cut", "rank", F.substring("_h", 1, chars).alias("_next"))
+                  .agg(F.count(F.lit(1)).alias("_m")))
+        w = Window.partitionBy(*names, "cut").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
+        found = counts.withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0))).where("_before <= rank and rank < _before + _m")
+        open_ = written(found.select(*names, "cut", (F.col("rank") - F.col("_before")).alias("rank"), F.col("_next").alias("_p"), F.lit(0).alias("_n")), "split-ranks")
+        at = chars
+    cuts = [F.max(F.when(F.col("cut") == i, F.col("_p"))).alias(f"_cut{i}") for i in range(len(ranks))]
+    return h, written(open_.groupBy(*names).agg(*cuts), "split-cuts")
+
+
+def _below(df: DataFrame, id_col: str, seed, ranks: Sequence, partition_by: Sequence[str], name: str, labels: Sequence[str]) -> DataFrame:
+    """``df`` with ``name``: the label of the first rank that the row lies below, else the last one."""
+    h, cuts = hash_cuts(df, id_col, seed, ranks, partition_by)
+    names = [f"_g{i}" for i in range(len(partition_by))]
+    if partition_by:
+        df = df.join(cuts, [F.col(c).eqNullSafe(F.col(x)) for c, x in zip(partition_by, names)], "left")
+        at = [F.col(f"_cut{i}") for i in range(len(ranks))]
+    else:
+        at = [cuts.agg(F.max(f"_cut{i}")).scalar() for i in range(len(ranks))]
+    out = F.lit(labels[-1])
+    for cut, label in reversed(list(zip(at, labels))):
+        out = F.when(cut.isNull() | (h < cut), F.lit(label)).otherwise(out)
+    return df.withColumn(name, out).drop(*names, *[f"_cut{i}" for i in range(len(ranks))] if partition_by else [])
+
+
 def exact_split(df: DataFrame, id_col: str, seed=666, ratio: float = 0.8, eval_ratio: float = 0.5,
                 partition_by: Sequence[str] = (), name: str = "split",
                 labels: tuple[str, str, str] = ("train", "eval", "test")) -> DataFrame:
-    """Shuffle, then train = first int(0.8n)+1, eval = int(0.5m)+1 of the rest, test = rest."""
-    p = shuffle_position(df, id_col, seed, partition_by, name="_pos", total="_n")
-    n_train = _first_part(F.col("_n"), ratio)
-    m = F.col("_n") - n_train
-    n_eval = _first_part(m, eval_ratio)
-    return (p.withColumn(name, F.when(F.col("_pos") < n_train, F.lit(labels[0]))
-                         .when(F.col("_pos") < n_train + n_eval, F.lit(labels[1]))
-                         .otherwise(F.lit(labels[2])))
-            .drop("_pos", "_n"))
+    """In the seeded shuffle order, train = first int(0.8n)+1, eval = int(0.5m)+1 of the rest, test =
+    rest. Two cut hashes per group decide every row where it stands: no row is sorted or moved. Rows
+    that share an id get the same part, so the sizes are exact for unique ids. ``df`` is evaluated
+    twice, the first time for its ids and groups only."""
+    n_train = lambda n: _first_part(n, ratio)
+    n_seen = lambda n: n_train(n) + _first_part(n - n_train(n), eval_ratio)
+    return _below(df, id_col, seed, (n_train, n_seen), partition_by, name, labels)
 
 
 def carve_validation(df: DataFrame, id_col: str, seed=0, ratio: float = 0.05,
                      name: str = "part") -> DataFrame:
-    """D3: after a seeded shuffle, the first max(1, int(0.05 n)) rows are internal validation."""
-    p = shuffle_position(df, id_col, seed, name="_pos", total="_n")
-    nval = F.greatest(F.lit(1), F.floor(F.lit(ratio) * F.col("_n")).cast("long"))
-    return p.withColumn(name, F.when(F.col("_pos") < nval, "val").otherwise("train")).drop("_n")\
-            .withColumnRenamed("_pos", "shuffle_pos")
+    """D3: in the seeded shuffle order, the first max(1, int(0.05 n)) rows are internal validation."""
+    size = lambda n: F.greatest(F.lit(1), F.floor(F.lit(ratio) * n).cast("long"))
+    return _below(df, id_col, seed, (size,), (), name, ("val", "train"))
 
 
 def replicate(df: DataFrame, times: Column | str, name: str = "copy",
@@ -64,10 +112,16 @@ def draw_index(seed, cls, k, cnt) -> Column:
 
 def upsample_classes(df: DataFrame, label: str, id_col: str, seed=42) -> DataFrame:
     """Every class up to the largest: whole copies (max div cnt), then (max mod cnt) draws
-    with replacement. Output adds ``copy`` (1.. for whole copies, 0 for draws) and ``draw``."""
+    with replacement. Output adds ``copy`` (1.. for whole copies, 0 for draws) and ``draw``.
+    ``upsampled_shuffle`` adds the final shuffle."""
+    return _upsampled(df, label, id_col, seed)[0].select(*df.columns, "copy", "draw")
+
+
+def _upsampled(df: DataFrame, label: str, id_col: str, seed) -> tuple[DataFrame, DataFrame]:
+    """The upsampled rows with their class columns, and the classes (label, _cnt)."""
     p = key_position(df, id_col, partition_by=[label], name="_cpos", total="_cnt")
-    mx = df.groupBy(label).count().agg(F.max("count")).scalar()
-    p = p.withColumn("_max", mx)
+    classes = written(p.groupBy(label).agg(F.max("_cnt").alias("_cnt")), "classes")
+    p = p.withColumn("_max", classes.agg(F.max("_cnt")).scalar())
     reps = F.floor(F.col("_max") / F.col("_cnt")).cast("long")
     rem = F.pmod(F.col("_max"), F.col("_cnt"))
     whole = replicate(p.withColumn("_reps", reps), "_reps").withColumn("draw", F.lit(None).cast("long"))
@@ -76,11 +130,44 @@ def upsample_classes(df: DataFrame, label: str, id_col: str, seed=42) -> DataFra
     draws = (p.filter(F.col("_cpos") < rem)
              .select(F.col(label).alias("_dl"), (F.col("_cpos") + 1).alias("draw"), F.col("_cnt").alias("_dcnt"))
              .withColumn("_target", draw_index(seed, F.col("_dl"), F.col("draw"), F.col("_dcnt"))))
-    target = p.drop("_max")
-    drawn = (draws.join(target, (F.col("_dl") == F.col(label)) & (F.col("_target") == F.col("_cpos")))
+    drawn = (draws.join(p, F.col("_dl").eqNullSafe(F.col(label)) & (F.col("_target") == F.col("_cpos")))
              .withColumn("copy", F.lit(0).cast("long")))
-    cols = [*df.columns, "copy", "draw"]
-    return whole.select(*cols).unionByName(drawn.select(*cols))
+    cols = [*df.columns, "copy", "draw", "_cpos", "_cnt", "_max"]
+    return whole.select(*cols).unionByName(drawn.select(*cols)), classes
+
+
+SHUFFLE_ROUNDS = 48
+
+
+def permuted(i: Column, n: Column, seed, rounds: int = SHUFFLE_ROUNDS) -> Column:
+    """The place of index ``i`` (0..n-1) in a seeded permutation of n places, computed from i alone.
+
+    A swap-or-not shuffle: each round pairs every index i with (key - i) mod n and a hash bit of the pair
+    decides whether the two change places, so every round is a permutation and so are all together, for
+    any n. Nothing is sorted or collected, and a row's place is known before the row exists."""
+    keys = [int(hashlib.md5(f"{seed}:key:{r}".encode()).hexdigest()[:15], 16) for r in range(rounds)]
+    steps = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(k).cast("long").alias("k")) for r, k in enumerate(keys)])
+
+    def step(at, s):
+        other = F.pmod(F.pmod(s["k"], n) - at, n)
+        swap = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), s["r"].cast("string"), F.greatest(at, other).cast("string"))), 1, 1) >= "8"
+        return F.when(swap, other).otherwise(at)
+
+    return F.aggregate(steps, i.cast("long"), step)
+
+
+def upsampled_shuffle(df: DataFrame, label: str, id_col: str, seed=42, name: str = "position") -> DataFrame:
+    """D4 in full: ``upsample_classes`` and the final shuffle, as each row's place 0..n-1 in a seeded
+    permutation. Before the shuffle the classes lie end to end (label order, null first), in each the whole
+    copies in id order, then the draws; that index is arithmetic on (copy, place in the class, draw), so no
+    replicated row is sorted. Order by ``name`` (or range-partition on it) to read the shuffled set."""
+    up, classes = _upsampled(df, label, id_col, seed)
+    n = F.lit(classes.agg(F.count(F.lit(1)) * F.max("_cnt")).first()[0] or 1)  # two numbers of the class table
+    ranks = key_position(classes.select(F.col(label).alias("_cl")), "_cl", name="_rank")
+    at = F.when(F.col("draw").isNull(), (F.col("copy") - 1) * F.col("_cnt") + F.col("_cpos")).otherwise(
+        F.floor(F.col("_max") / F.col("_cnt")) * F.col("_cnt") + F.col("draw") - 1)
+    return (up.join(ranks, F.col(label).eqNullSafe(F.col("_cl")))
+            .withColumn(name, permuted(F.col("_rank") * F.col("_max") + at, n, seed)).select(*df.columns, "copy", "draw", name))
 
 
 def quota_rounds(df: DataFrame, query: str, round_col: str, target: int, max_rounds: int = 50,

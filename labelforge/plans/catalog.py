@@ -23,6 +23,7 @@ from labelforge.plans import views as V
 from labelforge.plans.oracle_sql import f2 as f2_sql
 from labelforge.plans.oracle_sql import py_strip as strip_sql
 from labelforge.plans.oracle_sql import q, r4, rule_sql, split_case, weak_label_sql, weak_rule_sql
+from labelforge.session import scratch_path, written
 from labelforge.sources.tables import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,6 @@ REQUEST_BATCH = 50       # labelling request size
 ROUND_TARGET = 500       # distinct queries wanted by the quota rounds
 FR_OVERSAMPLE = 3
 PARITY_K = 64
-PROBE_K = 16
 MAX_LEN = 48
 
 
@@ -66,13 +66,14 @@ spl AS (SELECT doc_id, query, label, source,
 @register("d2_split_label_counts", q("SELECT split, label, count(*) AS n FROM spl GROUP BY split, label", _DEDUP_SQL))
 def d2_split_label_counts(spark, d):
     """Flagship: labeled → dedupe → clean → exact split → rows per (split, label)."""
-    s = S.exact_split(_dedup_clean(spark, d), "doc_id", V.SPLIT_SEED)
-    return s.groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
+    clean = written(_dedup_clean(spark, d).select("doc_id", "label"), "clean")
+    return S.exact_split(clean, "doc_id", V.SPLIT_SEED).groupBy("split", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("d2_exact_split", q("SELECT doc_id, split FROM spl", _DEDUP_SQL))
 def d2_exact_split(spark, d):
-    return S.exact_split(_dedup_clean(spark, d), "doc_id", V.SPLIT_SEED).select("doc_id", "split")
+    clean = written(_dedup_clean(spark, d).select("doc_id"), "clean")
+    return S.exact_split(clean, "doc_id", V.SPLIT_SEED)
 
 
 @register("a2_dedupe_first", q("SELECT doc_id, query, label, source FROM dd", _DEDUP_SQL))
@@ -205,6 +206,23 @@ def d6_quota_rounds(spark, d):
         "round", "new", "total", "prior", "kept")
 
 
+@register("d6_generate_until", q(f"""SELECT t.query, min(t.round) AS round FROM (
+  SELECT text AS query, substr(source, 4)::BIGINT AS round FROM documents WHERE text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)) t
+  WHERE t.round IN (SELECT round FROM rt WHERE total - new < {ROUND_TARGET} AND idx < 50) GROUP BY t.query""", _ROUNDS_SQL))
+def d6_generate_until(spark, d):
+    """Generation until the quota. Round r's replies are the texts of source r, dealt to its requests."""
+    from labelforge.operators.generate import generate_until
+    docs = table(spark, d, "documents").select(F.col("text").alias("query"), F.substring("source", 4, 10).cast("int").alias("of"), F.pmod("doc_id", F.lit(8)).alias("part"))
+
+    def ask(requests):
+        mine = requests.select("request_id", F.col("round").alias("r"), F.pmod("request_id", F.lit(8)).alias("p"))
+        return docs.join(mine, (F.col("of") == F.col("r")) & (F.col("part") == F.col("p"))).select("request_id", "query")
+
+    avoid = table(spark, d, "benchmark").select(F.col("text").alias("query"))
+    got = generate_until(spark, ask, "texts", ROUND_TARGET, scratch_path(spark, "d6-rounds"), avoid=avoid)
+    return got.select("query", F.col("round").cast("long").alias("round"))
+
+
 # ---------------------------------------------------------------- lifecycle C: evaluation
 @register("w4_group_offsets", q("SELECT grp, min(ord) AS ord, count(*) AS n, "
                                 "(sum(count(*)) OVER (ORDER BY min(ord)))::BIGINT - count(*) AS off FROM groups_o GROUP BY grp"))

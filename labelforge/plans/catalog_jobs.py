@@ -29,6 +29,7 @@ from labelforge.plans.oracle_sql import py_strip as strip_sql
 from labelforge.plans.oracle_sql import q, r4, weak_label_sql
 from labelforge.session import scratch_path
 from labelforge.sources import files as IO
+from labelforge.sources import records as RD
 from labelforge.sources.tables import table
 from labelforge.streaming import jobs as J
 
@@ -137,6 +138,16 @@ def s6_unquoted_lines(spark, d):
     return lines
 
 
+@register("s6_unquoted_roundtrip", q("""SELECT nullif(t.translation, '') AS "Query", r.label AS "Label", r.source FROM rowids r LEFT JOIN tr_results t USING (row_id)"""))
+def s6_unquoted_roundtrip(spark, d):
+    """The unquoted file written and read back, fields with line breaks, separators and escapes whole."""
+    rows, out = _rowids(spark, d), scratch_path(spark, "s6-table")
+    j = TR.attach_results(rows, _stub_results(spark, d, rows))
+    lines = j.select(TR.unquoted_csv_line(["translation", "label", "source"]).alias("line"))
+    IO.write_unquoted_lines(lines, "line", out, header="Query,Label,source")
+    return RD.read_unquoted(spark, out, "Query string, Label string, source string")
+
+
 # ---------------------------------------------------------------- request batches and replies
 _UB_SQL = f"""
 ub AS (SELECT conv_id * 1000 + turn AS rid, text, row_number() OVER (ORDER BY conv_id * 1000 + turn) - 1 AS pos
@@ -250,8 +261,8 @@ def s2_labeled_dir(spark, d):
 def s3_avoid_json(spark, d):
     out = scratch_path(spark, "s3-avoid")
     b = key_position(table(spark, d, "benchmark"), "item_id")
-    IO.write_json_arrays(b, "text", "pos", out, chunk=16)
-    return IO.read_json_arrays(spark, out)
+    RD.write_json_arrays(b, "text", "pos", out)
+    return RD.read_json_arrays(spark, out)
 
 
 @register("s9_group_meta", q("SELECT grp, min(ord) AS ord, count(*) AS n, "
@@ -262,6 +273,15 @@ def s9_group_meta(spark, d):
     return IO.read_jsonl(spark, out, "grp string, ord int, n long, off long")
 
 
+@register("s9_group_labels", q("SELECT grp, gpos AS pos, y FROM corpus"))
+def s9_group_labels(spark, d):
+    """The groups' metadata documents with their whole label lists, written and read back."""
+    out = scratch_path(spark, "s9-labels")
+    c = G.corpus_ids(V.groups(spark, d).select("doc_id", "grp", "y"), V.GROUP_ORDER, key="doc_id")
+    RD.write_group_documents(G.group_offsets(c, V.GROUP_ORDER), G.label_chunks(c, "grp", "gpos", "y"), out)
+    return RD.read_group_labels(spark, out)
+
+
 @register("s11_report_json", REGISTRY["a13_overlapping_report"][1])
 def s11_report_json(spark, d):
     out = scratch_path(spark, "s11-report")
@@ -391,20 +411,25 @@ def p2_constant_label(spark, d):
 
 
 @register("j7_token_vectors", q(f"""
-SELECT dv.doc_id, sum(dv.cnt)::BIGINT AS n_gathered, {r4('sum(dv.cnt * e.embedding[1])')} AS dim0_sum
-FROM dv JOIN embeddings e ON e.vec_id = dv.vid GROUP BY dv.doc_id""", """
+SELECT g.doc_id, n.n_gathered, g.dim, {r4('sum(g.cnt * g.x)')} AS value
+FROM (SELECT dv.doc_id, dv.cnt, unnest(e.embedding::DOUBLE[]) AS x, generate_subscripts(e.embedding, 1) - 1 AS dim FROM dv JOIN embeddings e ON e.vec_id = dv.vid) g
+JOIN (SELECT dv.doc_id, sum(dv.cnt)::BIGINT AS n_gathered FROM dv JOIN embeddings e ON e.vec_id = dv.vid GROUP BY dv.doc_id) n USING (doc_id) GROUP BY g.doc_id, n.n_gathered, g.dim""", """
 dt AS (SELECT doc_id, token, count(*) AS cnt FROM tokens GROUP BY doc_id, token),
 dv AS (SELECT dt.doc_id, dt.cnt, CASE WHEN v.token_id < (SELECT count(*) FROM embeddings) THEN v.token_id ELSE 0 END AS vid
        FROM dt JOIN vocab v USING (token))"""))
 def j7_token_vectors(spark, d):
-    """Every token occurrence gathers its vector (by token id; ids past the table → 0)."""
+    """Every token occurrence gathers its vector (by token id; ids past the table → 0); the sum of
+    the gathered vectors per document, all dimensions."""
+    from labelforge.operators.embed import vector_dim
     from labelforge.plans.catalog_vectors import _pooled_ids
     emb = table(spark, d, "embeddings")
     ids = _pooled_ids(spark, d)
     ids = ids.groupBy("doc_id", "vid").agg(F.sum("cnt").alias("cnt"))
     j = ids.join(emb.select(F.col("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v")), "vid")
-    return j.groupBy("doc_id").agg(F.sum("cnt").alias("n_gathered"),
-                                   round4(F.sum(F.col("cnt") * F.col("v")[0])).alias("dim0_sum"))
+    dims = range(vector_dim(emb))
+    s = j.groupBy("doc_id").agg(F.sum("cnt").alias("n_gathered"), *[F.sum(F.col("cnt") * F.col("v")[i]).alias(f"_s{i}") for i in dims])
+    s = s.select("doc_id", "n_gathered", F.posexplode(F.array(*[F.col(f"_s{i}") for i in dims])).alias("dim", "value"))
+    return s.select("doc_id", "n_gathered", F.col("dim").cast("long").alias("dim"), round4("value").alias("value"))
 
 
 GEN_BATCH = 16

@@ -3,6 +3,8 @@ class shaping of the vector table and fixed-weight scoring (lifecycle D, A3, D4,
 J11, A19)."""
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from labelforge.functions.vectors import (argmax, argmax2, as_double, dot, l2_norm, round4, sigmoid,
@@ -13,7 +15,7 @@ from labelforge.operators import split as S
 from labelforge.operators.hot_join import hot_keys
 from labelforge.operators.position import key_position
 from labelforge.plans import views as V
-from labelforge.plans.catalog import MAX_LEN, PROBE_K, register
+from labelforge.plans.catalog import MAX_LEN, register
 from labelforge.plans.oracle_sql import q, r4
 from labelforge.sources.tables import table
 
@@ -180,20 +182,35 @@ def j9_centroid_cosine(spark, d):
     return c.select("vec_id", "label", round4("cosine").alias("cosine"))
 
 
-@register("j9_probe_pairs", q(f"""
-SELECT a.token_id AS id_a, b.token_id AS id_b,
-       {r4('CASE WHEN sqrt(list_sum(list_transform(a.v, lambda x: x * x))) = 0 OR sqrt(list_sum(list_transform(b.v, lambda x: x * x))) = 0 THEN 0.0 '
-           'ELSE list_sum(list_transform(list_zip(a.v, b.v), lambda t: t[1] * t[2])) / (sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * sqrt(list_sum(list_transform(b.v, lambda x: x * x)))) END')} AS cosine
-FROM pr a JOIN pr b ON a.token_id < b.token_id""",
-    f"pr AS (SELECT v.token_id, e.embedding::DOUBLE[] AS v FROM vocab v JOIN embeddings e ON e.vec_id = v.token_id WHERE v.token_id < {PROBE_K})"))
+def _cos_sql(x: str, y: str) -> str:
+    norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
+    return r4(f"CASE WHEN {norm(x)} = 0 OR {norm(y)} = 0 THEN 0.0 ELSE list_sum(list_transform(list_zip({x}, {y}), lambda t: t[1] * t[2])) / ({norm(x)} * {norm(y)}) END")
+
+
+@register("j9_probe_pairs", q(f"SELECT a.token_id AS id_a, b.token_id AS id_b, {_cos_sql('a.v', 'b.v')} AS cosine FROM pr a JOIN pr b ON a.token_id < b.token_id", """
+top AS (SELECT DISTINCT arg_min(token, {'n': -cnt, 't': token}) AS token FROM (SELECT doc_id, token, count(*) AS cnt FROM tokens GROUP BY doc_id, token) GROUP BY doc_id),
+pr AS (SELECT v.token_id, e.embedding::DOUBLE[] AS v FROM top JOIN vocab v USING (token) JOIN embeddings e ON e.vec_id = v.token_id)"""))
 def j9_probe_pairs(spark, d):
-    """Cosine matrix (unique pairs) of the vectors of the ``PROBE_K`` most frequent tokens."""
-    top = V.vocab(spark, d).filter(F.col("token_id") < PROBE_K).select("token_id")
-    probes = top.join(table(spark, d, "embeddings").withColumnRenamed("vec_id", "token_id"), "token_id")
-    p = E.probe_pairs(probes, "token_id", "embedding", max_probes=PROBE_K)
+    """Cosine of the unique pairs of a probe list: every document's most frequent word (of equally
+    frequent ones the first), as far as the word has a vector."""
+    per = V.doc_token_counts(spark, d)
+    top = per.groupBy("doc_id").agg(F.min(F.struct((-F.col("cnt")).alias("n"), "token")).alias("m")).select("m.token").distinct()
+    vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), "embedding")
+    probes = V.vocab(spark, d).select("token", "token_id").join(top, "token", "left_semi").join(vecs, "token_id")
+    p = E.cosine_matrix(probes, pid="token_id")
     return p.select("id_a", "id_b", round4("cosine").alias("cosine"))
 
 
+@register("j9_centroid_matrix", q(f"SELECT c.label, e.vec_id, {_cos_sql('c.v', 'e.embedding::DOUBLE[]')} AS cosine FROM cen c, embeddings e", """
+dims AS (SELECT label, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings),
+cen AS (SELECT label, list(x ORDER BY dim) AS v FROM (SELECT label, dim, avg(x) AS x FROM dims GROUP BY label, dim) GROUP BY label)"""))
+def j9_centroid_matrix(spark, d):
+    """Cosine of every class centroid with every vector."""
+    emb = table(spark, d, "embeddings")
+    p = E.cosine_matrix(E.class_centroids(emb, "label"), emb, pid="label", vid="vec_id")
+    return p.select(F.col("id_a").alias("label"), F.col("id_b").alias("vec_id"), round4("cosine").alias("cosine"))
+
+
 # ---------------------------------------------------------------- class shaping
 @register("a3_class_counts", q("SELECT label, count(*) AS n, max(count(*)) OVER () AS max_n FROM embeddings GROUP BY label"))
 def a3_class_counts(spark, d):
@@ -226,6 +243,26 @@ def d4_upsample_classes(spark, d):
     return S.upsample_classes(emb, "label", "vec_id", seed=42).select("vec_id", "label", "copy", "draw")
 
 
+_KEYS = [int(hashlib.md5(f"42:key:{r}".encode()).hexdigest()[:15], 16) for r in range(S.SHUFFLE_ROUNDS)]
+_SHUFFLE_SQL = _UP_SQL + f""",
+nn AS (SELECT max(cnt) AS m, max(cnt) * count(DISTINCT label) AS n FROM cp),
+cr AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS rank FROM (SELECT DISTINCT label FROM cp)),
+pl AS (SELECT DISTINCT vec_id, label, cpos, cnt FROM cp),
+ix AS (SELECT u.*, cr.rank * nn.m + CASE WHEN u.draw IS NULL THEN (u.copy - 1) * pl.cnt + pl.cpos ELSE (nn.m // pl.cnt) * pl.cnt + u.draw - 1 END AS i, nn.n
+       FROM (SELECT * FROM whole UNION ALL SELECT * FROM drawn) u JOIN pl USING (vec_id, label) JOIN cr USING (label), nn),
+ks AS (SELECT {_KEYS}::BIGINT[] AS k)
+"""
+
+
+@register("d4_upsample_shuffled", q("""SELECT vec_id, label, copy, draw, list_reduce(list_concat([i], range(0, 48)), lambda a, r:
+  CASE WHEN substr(md5('42:' || r || ':' || greatest(a, (((k[r + 1] % n) - a) % n + n) % n)), 1, 1) >= '8' THEN (((k[r + 1] % n) - a) % n + n) % n ELSE a END) AS position
+FROM ix, ks""", _SHUFFLE_SQL))
+def d4_upsample_shuffled(spark, d):
+    """The upsampled set with each row's place in the final seeded shuffle."""
+    emb = table(spark, d, "embeddings").select("vec_id", "label")
+    return S.upsampled_shuffle(emb, "label", "vec_id", seed=42).select("vec_id", "label", "copy", "draw", "position")
+
+
 @register("d4_upsampled_counts", q("SELECT label, count(*) AS n, count(DISTINCT vec_id) AS n_distinct FROM "
                                    "(SELECT * FROM whole UNION ALL SELECT * FROM drawn) GROUP BY label", _UP_SQL))
 def d4_upsampled_counts(spark, d):

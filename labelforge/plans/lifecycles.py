@@ -26,8 +26,9 @@ from labelforge.operators import rules as R
 from labelforge.operators import split as S
 from labelforge.operators import translation as TR
 from labelforge.operators import user_fn as U
-from labelforge.session import scratch_path
+from labelforge.session import scratch_path, written
 from labelforge.sources import files as IO
+from labelforge.sources import records as RD
 from labelforge.streaming import jobs as J
 
 
@@ -78,7 +79,7 @@ def build_dataset(labeled: DataFrame, avoid: DataFrame | None = None, seed=666,
     df = df.withColumn("Query", remove_question_marks("Query"))
     if dedupe_after_clean:
         df = C.dedupe_first(df, ["Query", "Label"], ["source", id_col])
-    df = S.exact_split(df, id_col, seed)
+    df = S.exact_split(written(df, "dataset"), id_col, seed)
     if out:
         IO.write_csv(df.select("Query", "Label", "source", "split"), out, partition_by=["split"])
     return df
@@ -138,12 +139,13 @@ def evaluate_groups(preds: DataFrame, reports: Sequence[tuple[str, str]], grp: s
 
 def export_corpus(groups: DataFrame, order: Sequence[str], out: str, key: str, text: str = "text",
                   grp: str = "grp", y: str = "y") -> DataFrame:
-    """Groups laid end to end in ``order``: JSON lines {id, text} under ``out/corpus`` and the
-    group metadata (order, count, offset, positives) under ``out/meta``; labels stay a column of
-    the corpus (with its group), never a list held in one place."""
+    """Groups laid end to end in ``order``: JSON lines {id, text} under ``out/corpus``, the group metadata
+    (order, count, offset, positives) under ``out/meta``, and under ``out/labels`` one JSON document per
+    group: its metadata and its whole ordered label list, streamed chunk by chunk."""
     c = G.corpus_ids(groups, order, key=key, grp=grp)
     IO.write_jsonl(c.select("id", F.col(text).alias("text"), grp, y), f"{out.rstrip('/')}/corpus")
-    meta = G.group_offsets(groups, order, grp).join(
-        groups.groupBy(grp).agg(F.sum(y).alias("n_pos")), grp, "left").fillna(0, ["n_pos"])
+    meta = G.group_offsets(c, order, grp).join(
+        c.groupBy(grp).agg(F.sum(y).alias("n_pos")), grp, "left").fillna(0, ["n_pos"])
     IO.write_jsonl(meta, f"{out.rstrip('/')}/meta")
+    RD.write_group_documents(meta, G.label_chunks(c, grp, "gpos", y), f"{out.rstrip('/')}/labels", grp)
     return c

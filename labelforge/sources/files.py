@@ -1,4 +1,4 @@
-"""File sources and sinks: CSV (S1, S2, S5, S6), JSON arrays (S3), JSON lines.
+"""File sources and sinks: CSV (S1, S2, S5, S6 sink), JSON lines (S7, S8, S11). ``records`` reads S6 and S3.
 
 Every reader takes an explicit schema (nothing is inferred). Writers go through Spark's commit
 protocol, so a task retried after an executor loss never leaves a half-written file behind.
@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from labelforge.operators.position import batch_id
-
 QUERY_SCHEMA = "Query string"
 LABELED_SCHEMA = "Query string, Label string"
 _CSV_OPTS = {"header": "true", "quote": '"', "escape": '"', "multiLine": "true"}
@@ -68,25 +66,6 @@ def write_unquoted_lines(df: DataFrame, line_col: str, path: str, header: str |
     out.write.mode(mode).text(path)
 
 
-def write_json_arrays(df: DataFrame, col: str, pos: str, path: str, chunk: int = 1000,
-                      mode: str = "overwrite") -> None:
-    """Write a text column as JSON array files of at most ``chunk`` strings each (the avoid-list
-    format), one array per file (a folder per chunk). Chunks come from a dense position, so no
-    task ever holds more than a chunk's strings at once."""
-    arrays = (df.withColumn("_chunk", batch_id(pos, chunk))
-              .groupBy("_chunk")
-              .agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos), F.col(col)))),
-                                         lambda x: x[col])).alias("value")))
-    arrays.write.mode(mode).partitionBy("_chunk").text(path)
-
-
-def read_json_arrays(spark: SparkSession, path: str, name: str = "query") -> DataFrame:
-    """S3: files holding one JSON array of strings each → one row per string. (``read.json``
-    rejects a top-level array of bare strings, so each file is read whole and parsed.)"""
-    return (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-            .select(F.explode(F.from_json("value", "array<string>")).alias(name)))
-
-
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
     """S7/S8/S11 sink: JSON lines; nulls are left out of each record (the optional field)."""
     w = df.write.mode(mode)

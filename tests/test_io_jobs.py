@@ -8,6 +8,7 @@ from labelforge.operators import checks as CK
 from labelforge.operators import translation as TR
 from labelforge.operators import user_fn as U
 from labelforge.sources import files as IO
+from labelforge.sources import records as RD
 from labelforge.streaming import jobs as J
 
 
@@ -34,13 +35,13 @@ def test_s3_pretty_printed_json_array(spark, tmp_dir):
     items = ["write a haiku about foxes", "summarize", 'quote " inside']
     with open(os.path.join(tmp_dir, "avoid.json"), "w") as f:
         json.dump(items, f, indent=2)
-    assert sorted(r.query for r in IO.read_json_arrays(spark, tmp_dir).collect()) == sorted(items)
+    assert sorted(r.query for r in RD.read_json_arrays(spark, tmp_dir).collect()) == sorted(items)
 
 
 def test_json_array_chunks_round_trip(spark, tmp_dir):
     df = spark.range(0, 25).select(F.col("id").alias("pos"), F.concat(F.lit("q"), F.col("id").cast("string")).alias("t"))
-    IO.write_json_arrays(df, "t", "pos", tmp_dir + "/a", chunk=4)
-    assert sorted(r.query for r in IO.read_json_arrays(spark, tmp_dir + "/a").collect()) == sorted(f"q{i}" for i in range(25))
+    RD.write_json_arrays(df, "t", "pos", tmp_dir + "/a", files=4)
+    assert sorted(r.query for r in RD.read_json_arrays(spark, tmp_dir + "/a").collect()) == sorted(f"q{i}" for i in range(25))
 
 
 def test_s6_unquoted_escapes(spark):

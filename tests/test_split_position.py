@@ -142,3 +142,52 @@ def test_undeclared_group_stops_the_job(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, grp string")
     with pytest.raises(Exception, match="not in the declared order"):
         corpus_ids(df, ["a"], "id").collect()
+
+
+def test_the_final_shuffle_is_a_permutation(spark):
+    rows = [(i, "a") for i in range(3)] + [(10 + i, "b") for i in range(50)] + [(100 + i, None) for i in range(17)]
+    df = spark.createDataFrame(rows, "vec_id long, label string")
+    up = S.upsampled_shuffle(df, "label", "vec_id", seed=5)
+    got = up.collect()
+    assert up.columns == ["vec_id", "label", "copy", "draw", "position"] and sorted(r.position for r in got) == list(range(150))
+    plain = S.upsample_classes(df, "label", "vec_id", seed=5).collect()
+    assert sorted(str(tuple(r)) for r in plain) == sorted(str(tuple(r)[:4]) for r in got)
+    again = {(r.vec_id, r.copy, r.draw): r.position for r in S.upsampled_shuffle(df.repartition(5), "label", "vec_id", seed=5).collect()}
+    assert again == {(r.vec_id, r.copy, r.draw): r.position for r in got}
+    other = [r.position for r in S.upsampled_shuffle(df, "label", "vec_id", seed=6).collect()]
+    assert sorted(other) == list(range(150)) and other != [r.position for r in got]
+
+
+def test_permuted_spreads_neighbours(spark):
+    n = 5000
+    at = [r.p for r in spark.range(n).select("id", S.permuted(F.col("id"), F.lit(n), 9).alias("p")).orderBy("id").collect()]
+    assert sorted(at) == list(range(n))
+    # neighbours land about n/3 apart on average, as in a random order, and each tenth fills each tenth alike
+    assert abs(sum(abs(a - b) for a, b in zip(at, at[1:])) / (n - 1) - n / 3) < 0.05 * n
+    cells = [sum(1 for x in at[k * 500:(k + 1) * 500] if x // 500 == j) for k in range(10) for j in range(10)]
+    assert 20 <= min(cells) and max(cells) <= 90
+
+
+def test_split_decides_rows_without_sorting_them(spark):
+    import contextlib
+    import io
+
+    df = spark.range(4000).selectExpr("id", "if(id % 3 = 0, 'hot', concat('g', id % 11)) AS g", "repeat('x', 50) AS text")
+    s = S.exact_split(df, "id", 3, partition_by=["g"])
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        s.explain("formatted")
+    assert "Window" not in buf.getvalue() and "Sort " not in buf.getvalue()
+    p = P.shuffle_position(df.select("id", "g"), "id", 3, ["g"], total="n").collect()
+    want = {}
+    for r in p:
+        t = min(r.n, int(0.8 * r.n) + 1)
+        e = min(r.n - t, int(0.5 * (r.n - t)) + 1)
+        want[r.id] = "train" if r.pos < t else "eval" if r.pos < t + e else "test"
+    assert {r.id: r.split for r in s.collect()} == want
+
+
+def test_rows_of_one_id_share_a_part(spark):
+    df = spark.range(300).selectExpr("if(id % 10 = 0, null, id div 3) AS id", "id AS k")
+    s = S.exact_split(df, "id", 1).collect()
+    assert len(s) == 300 and all(len({r.split for r in s if r.id == i}) == 1 for i in {r.id for r in s})

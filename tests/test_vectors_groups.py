@@ -64,10 +64,25 @@ def test_idf_mean_is_one(spark):
     assert abs(sum(vals) / len(vals) - 1) < 1e-12
 
 
-def test_probe_pairs_all_unique_pairs(spark):
-    probes = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id long, v array<double>")
-    r = E.probe_pairs(probes, "id", "v").collect()
-    assert sorted((x.id_a, x.id_b) for x in r) == [(a, b) for a in range(5) for b in range(a + 1, 5)]
+def test_cosine_matrix_of_a_probe_list_and_of_two_tables(spark, monkeypatch):
+    monkeypatch.setattr(E, "PROBE_BLOCK", 3)
+    monkeypatch.setattr(E, "VECTOR_BLOCK", 5)
+
+    def cos(x, y):
+        n = math.sqrt(sum(a * a for a in x)) * math.sqrt(sum(a * a for a in y))
+        return sum(a * b for a, b in zip(x, y)) / n if n else 0.0
+    vs = {f"p{i:02d}": [float(i % 4), 1.0 * (i % 3), -0.5 * i] for i in range(11)}
+    vs["zero"] = [0.0, 0.0, 0.0]
+    probes = spark.createDataFrame([*vs.items(), ("none", None)], "id string, embedding array<double>").repartition(4)
+    got = {(r.id_a, r.id_b): r.cosine for r in E.cosine_matrix(probes).collect()}
+    names = sorted(vs)
+    assert set(got) == {(a, b) for i, a in enumerate(names) for b in names[i + 1:]}
+    assert all(abs(c - cos(vs[a], vs[b])) < 1e-12 for (a, b), c in got.items())
+    ws = {k: [1.0, float(k), 2.0] for k in range(23)}
+    table = spark.createDataFrame(list(ws.items()), "id long, embedding array<float>")
+    got = E.cosine_matrix(probes, table).collect()
+    assert len(got) == 12 * 23 and all(abs(r.cosine - cos(vs[r.id_a], ws[r.id_b])) < 1e-6 for r in got)
+    assert E.cosine_matrix(probes.limit(0), table).count() == 0 and E.cosine_matrix(probes, table.limit(0)).count() == 0 and E.cosine_matrix(probes.limit(0)).count() == 0
 
 
 def test_centroid_cosine(spark):
