@@ -33,6 +33,7 @@ SIZE = 2048
 END_ID = 1
 CELL_ROWS = 256          # rows of one length that are ranked together, at small sizes
 MAX_CELLS = 1 << 20      # cells in all, at large sizes: they grow in rows, not in number
+SPECIAL = {"<|endoftext|>": 50256}  # fixed value: the added token of the vocabulary's JSON form
 CACHE_CHUNKS = 400_000   # cached word → ids entries of one Python worker; cleared when full
 
 PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary"
@@ -40,7 +41,8 @@ PIECE = "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids bina
 
 # ------------------------------------------------------------------ tokens
 class Encoder:
-    """Ids of a byte-level BPE file as little-endian uint32 bytes, equal to encoding the whole text.
+    """Ids of a byte-level BPE file as little-endian uint32 bytes, equal to encoding the whole text. The
+    strings of SPECIAL are one id each wherever they stand, and the text is cut there first.
     The vocabulary's pattern starts a new word at every single space that stands between two other
     characters, so such a text is the concatenation of its space-separated chunks and each distinct
     chunk is encoded once. A text with two white spaces in a row is encoded whole."""
@@ -54,6 +56,8 @@ class Encoder:
         enc = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.encode, self.cache = enc.encode_ordinary, {}
         self.twice = re.compile(r"\s\s").search
+        self.special = re.compile("(" + "|".join(map(re.escape, SPECIAL)) + ")").split
+        self.marks = {k: np.asarray([v], "<u4").tobytes() for k, v in SPECIAL.items()}
 
     def raw(self, text: str) -> bytes:
         return np.asarray(self.encode(text), "<u4").tobytes()
@@ -61,6 +65,8 @@ class Encoder:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
+        if any(k in text for k in self.marks):
+            return b"".join(self.marks.get(part) or self.ids(part) for part in self.special(text))
         if self.twice(text):
             return self.raw(text)
         head, *rest = text.split(" ")

@@ -139,8 +139,9 @@ def test_packing_round_trip_and_fill(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    t.encode_special_tokens = True
     odd = {**texts, -1: "  two  spaces\n\n\tand tabs ", -2: " lead", -3: "it's I'll 12 ab12 <|endoftext|>  x \U0001F600"}
+    r, parts = random.Random(8), ["<|endoftext|>", " ", "  ", "\n", "a", " b", "it's", "<|end", "oftext|>", "é", "<|EndOfText|>"]
+    odd |= {-10 - i: "".join(r.choice(parts) for _ in range(r.randrange(1, 9))) for i in range(300)}
     enc = packing.encoder(str(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     for x in odd.values():
         assert np.frombuffer(enc.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
