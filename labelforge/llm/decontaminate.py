@@ -141,8 +141,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
              item_id: str = "item_id", item_text: str = "text", min_matches: int = MIN_MATCHES) -> DataFrame:
     """One row per (doc_id, item_id) that share a passage, the one with most equal words: where it
     starts in both (words from 0), its length, the equal words in it and their share."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
-    seeds = materialize(items.where(F.col("item_id").isNotNull()).mapInArrow(_item_rows, "item_id bigint, hash bigint, at int, words binary"), "benchmark-seeds")
+    found = _found(docs, benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull()), doc_id, text, min_matches)
+    best = F.max(F.struct("matches", -F.col("doc_start"), -F.col("item_start"), "overlap")).alias("b")
+    return found.groupBy("doc_id", "item_id").agg(best).select(
+        "doc_id", "item_id", (-F.col("b.col2")).alias("doc_start"), (-F.col("b.col3")).alias("item_start"),
+        F.col("b.overlap").alias("overlap"), F.col("b.matches").alias("matches"),
+        (F.col("b.matches") / F.col("b.overlap")).alias("identity"))
+
+
+def _found(docs: DataFrame, items: DataFrame, doc_id: str, text: str, min_matches: int) -> DataFrame:
+    """All verified overlaps of ``docs`` with ``items`` (item_id, text), one row per line of hits."""
+    seeds = materialize(items.mapInArrow(_item_rows, "item_id bigint, hash bigint, at int, words binary"), "benchmark-seeds")
     words = seeds.where(F.col("hash").isNull()).select("item_id", F.col("words").alias("item_words")).dropDuplicates(["item_id", "item_words"])
     keys = seeds.where(F.col("hash").isNotNull()).select("item_id", "hash", F.col("at").alias("item_at"))
     # the filter: at most MAX_FILTER_BITS bits, whatever the benchmark's size
@@ -161,19 +170,17 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text
     lines = (hits.join(keys, "hash").groupBy("gid", "item_id")
              .agg(F.collect_set(F.col("at") - F.col("item_at")).alias("shifts")))  # at most one per place of a group
     both = lines.join(words, "item_id").join(groups.select("gid", "doc_id", "start", "words").dropDuplicates(["gid"]), "gid")
-    found = both.select("doc_id", "start", "words", "item_id", "item_words", "shifts").mapInArrow(
+    return both.select("doc_id", "start", "words", "item_id", "item_words", "shifts").mapInArrow(
         lambda bs: _verified(bs, min_matches), "doc_id bigint, item_id bigint, doc_start bigint, item_start bigint, overlap bigint, matches bigint")
-    best = F.max(F.struct("matches", -F.col("doc_start"), -F.col("item_start"), "overlap")).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select(
-        "doc_id", "item_id", (-F.col("b.col2")).alias("doc_start"), (-F.col("b.col3")).alias("item_start"),
-        F.col("b.overlap").alias("overlap"), F.col("b.matches").alias("matches"),
-        (F.col("b.matches") / F.col("b.overlap")).alias("identity"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **kw) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                      item_text: str = "text", min_matches: int = MIN_MATCHES) -> DataFrame:
     """The rows that share no passage with the benchmark, all columns untouched. Rows are judged each
-    by its own text: rows without doc_id and different texts under one doc_id too."""
+    by its own text: rows without doc_id and different texts under one doc_id too. Items are told apart by
+    their texts, so those without an id count as well."""
     key, _ = row_keys(docs, doc_id, text)
-    bad = overlaps(docs.select(key.alias("key"), F.col(text).alias("text")), benchmark, "key", "text", **kw)
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.xxhash64(item_text).alias("item_id"), F.col(item_text).alias("text")).distinct()
+    bad = _found(docs.select(key.alias("key"), F.col(text).alias("text")), items, "key", "text", min_matches)
     bad = materialize(bad.select(F.col("doc_id").alias("__bad")).distinct(), "contaminated")
     return docs.withColumn("__key", key).join(bad, F.col("__key") == F.col("__bad"), "left_anti").drop("__key")

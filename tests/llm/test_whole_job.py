@@ -95,3 +95,12 @@ def test_random_keys_are_found(spark, c):
     keys = [k for k in keys if any(x.isdigit() for x in k) and (c.kind != "entropy_base64" or any(x.isupper() for x in k) and any(x.islower() for x in k))]
     rows = secrets.scan(spark.createDataFrame(list(enumerate(keys)), "doc_id bigint, text string")).collect()
     assert sum(bool(x.found) for x in rows) >= 0.97 * len(keys) > 200
+
+
+def test_items_without_an_id_still_clean_the_documents(spark):
+    r = random.Random(12)
+    item, other = (" ".join(f"w{r.randrange(500)}" for _ in range(40)) for _ in range(2))
+    docs = spark.createDataFrame([(1, f"before it {item} behind it"), (2, " ".join(f"v{r.randrange(500)}" for _ in range(60))), (3, f"{other} end")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, item), (None, item), (4, other), (4, None), (None, None)], "item_id bigint, text string")
+    assert [x.doc_id for x in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
+    assert [(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs, bench).collect()] == [(3, 4)]
