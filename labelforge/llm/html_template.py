@@ -1,12 +1,18 @@
 """Main text of web pages by site template removal.
 
-A page is cut into its element tree. Elements that say what they are (navigation, header, footer,
-sidebar, form, script, style, advert, notice, comments, by tag, role, class or id) are left out, and
-so is everything outside <article> (or <main>) where a page has one. What remains may still hold a
-site's template without saying so: the subtrees of the main part are hashed, their hashes counted per
-host in Spark, and a subtree that at least ``MIN_SHARE`` of a host's pages share (and at least
-``MIN_PAGES`` of them) is deleted from its pages. Pages with equal main parts count once, so copies
-of one article don't turn it into template, and a page's whole main part is never deleted.
+A page is cut into its element tree; what no reader sees (scripts, styles, hidden elements) is dropped.
+All block subtrees of the page, menus and footers like everything else, are hashed and their hashes
+counted per host in Spark. A subtree that recurs on many distinct pages of its host is template and is
+deleted from its pages: a container (div, section, list, table, nav ...) from an absolute count on that
+grows slowly with the host (``MIN_PAGES``, or ``GROWTH`` times log2 of its pages), so other sections of a
+host don't change the verdict; a bare text block (p, li, heading, quote ...) only from ``MIN_SHARE`` of the
+host's pages on, as articles quote each other. Pages with equal own text count once, so copies of one
+article don't turn it into template, and a page whose whole text recurs keeps it.
+
+Tags, roles, class names and <article> are hints for what is left. Elements that say what they are
+(navigation, header, footer, sidebar, form, advert, notice, comments) go; a compound name that only
+mentions one ("has-sidebar") is no hint. <article> (or <main>) is the page's text where it holds at least
+half of what is left; a smaller one is a teaser, and all that is left is kept.
 
 Counting moves one slim row per subtree and distinct page, combined before the shuffle. The pages
 that hold a template subtree are found with a join on (host, hash), whose hot keys Spark can split;
@@ -30,8 +36,9 @@ from pyspark.sql import functions as F
 
 from labelforge.llm.store import materialize
 
-MIN_PAGES = 8
-MIN_SHARE = 0.5
+MIN_PAGES = 8    # distinct pages of a host that a template container stands on, at least
+GROWTH = 2.0     # or this many times log2 of the host's distinct pages
+MIN_SHARE = 0.5  # share of a host's distinct pages that a template text block stands on
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -42,8 +49,10 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset",
          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main",
          "menu", "nav", "ol", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
-LEFT_OUT = {"head", "nav", "footer", "aside", "form", "script", "style", "noscript", "template", "svg", "button", "select", "iframe", "object", "canvas",
-            "dialog", "menu", "textarea", "title", "map", "audio", "video"}
+TEXT_BLOCKS = {"address", "blockquote", "caption", "dd", "dt", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "legend", "li", "option", "p", "pre", "summary", "tr"}
+UNSEEN = {"head", "script", "style", "noscript", "template", "svg", "select", "iframe", "object", "canvas", "textarea", "title", "map", "audio", "video"}
+HINTS = {"nav", "footer", "aside", "form", "button", "dialog", "menu"}
+MENTIONS = {"has", "with", "no", "without", "is", "not"}  # a compound name that begins so only mentions the rest
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMES = {"nav", "navbar", "navigation", "menu", "menubar", "sidebar", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "ad", "ads", "advert",
          "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "comment", "comments", "disqus", "respond", "replies",
@@ -53,39 +62,46 @@ IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr
 SCOPES = {"ul", "ol", "table", "dl", "select", "article", "main", "section", "div", "body", "blockquote", "aside", "nav", "form", "footer", "header"}
 
 
-def _left_out(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in LEFT_OUT or (tag in OUTSIDE_ONLY and not in_article):
-        return True
-    if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False
-    if tag in ("html", "body", "main"):
-        return False
+SEEN, HINTED, GONE = 0, 1, 2  # what an element's text is: ordinary, left out by a hint, never shown
+
+
+def _kind(tag: str, attrs: str, in_article: bool) -> int:
+    if tag in UNSEEN:
+        return GONE
+    kind = HINTED if tag in HINTS or (tag in OUTSIDE_ONLY and not in_article) else SEEN
+    if not attrs or "=" not in attrs and "hidden" not in attrs.lower() or tag in ("html", "body", "main"):
+        return kind
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return GONE
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
+            return GONE
+        if name == "role" and value in ROLES:
+            kind = HINTED
         if name in ("class", "id"):
-            words = set(_WORD.findall(value))
-            if words & NAMES or (words & OUTSIDE_ONLY and not in_article):
-                return True
-    return False
+            for token in value.split():
+                words = _WORD.findall(token)
+                if words and words[0] not in MENTIONS and (NAMES.intersection(words) or (not in_article and OUTSIDE_ONLY.intersection(words))):
+                    kind = HINTED
+    return kind
 
 
 class Page:
-    """``blocks``: (text, where) with where 2 in an article, 1 in main, 0 elsewhere; ``trees``: (first
-    block, one past the last, tag) of every closed block element that holds a block."""
+    """``blocks``: (text, where, hinted) with where 2 in an article, 1 in main, 0 elsewhere; ``trees``: (first
+    block, one past the last, tag) of every closed block element that holds a block. ``hints`` off
+    takes every shown element for an ordinary one."""
 
-    def __init__(self, source: str):
-        self.blocks: list[tuple[str, int]] = []
+    def __init__(self, source: str, hints: bool = True):
+        self.hints = hints
+        self.blocks: list[tuple[str, int, bool]] = []
         self.trees: list[tuple[int, int, str]] = []
         self._cur: list[str] = []
-        self._stack: list[tuple[str, int, bool, int]] = []  # tag, first block, left out, where
+        self._stack: list[tuple[str, int, int, int]] = []  # tag, first block, kind, where
         self._read(source)
 
     def _text(self, s: str) -> None:
-        if s and not (self._stack and self._stack[-1][2]):
+        if s and not (self._stack and self._stack[-1][2] == GONE):
             self._cur.append(H.unescape(s) if "&" in s else s)
 
     def _flush(self) -> None:
@@ -93,7 +109,8 @@ class Page:
             t = " ".join("".join(self._cur).split())
             self._cur = []
             if t:
-                self.blocks.append((t, self._stack[-1][3] if self._stack else 0))
+                _, _, kind, where = self._stack[-1] if self._stack else ("", 0, SEEN, 0)
+                self.blocks.append((t, where, kind == HINTED))
 
     def _close(self, depth: int) -> None:
         while len(self._stack) > depth:
@@ -135,14 +152,16 @@ class Page:
                     break
                 if self._stack[d][0] in SCOPES:
                     break
-        if tag in BLOCK:
+        _, _, above, where = self._stack[-1] if self._stack else ("", 0, SEEN, 0)
+        kind = max(above, _kind(tag, attrs, where == 2))
+        if kind == HINTED and not self.hints:
+            kind = above
+        if tag in BLOCK or kind != above:
             self._flush()
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             return
-        _, _, out, where = self._stack[-1] if self._stack else ("", 0, False, 0)
-        out = out or _left_out(tag, attrs, where == 2)
         where = max(where, 2 if tag == "article" else 1 if tag == "main" or "main" == (re.search(r"role\s*=\s*[\"']?(\w+)", attrs) or [0, ""])[1] else 0)
-        self._stack.append((tag, len(self.blocks), out, where))
+        self._stack.append((tag, len(self.blocks), kind, where))
 
     def _end(self, tag: str) -> None:
         for d in range(len(self._stack) - 1, -1, -1):
@@ -152,10 +171,14 @@ class Page:
             if tag not in BLOCK and self._stack[d][0] in BLOCK:
                 return
 
-    def main(self) -> list[int]:
-        """Indexes of the blocks of the main part: the articles', else main's, else all."""
-        most = max((w for _, w in self.blocks), default=0)
-        return [i for i, (_, w) in enumerate(self.blocks) if w == most]
+    def own(self, gone: set[int]) -> list[int]:
+        """Indexes of the page's own blocks, those in ``gone`` left out: without the hinted ones, and of
+        these the articles' (or main's) if they are no mere teaser."""
+        left = [i for i, (_, _, hinted) in enumerate(self.blocks) if not hinted and i not in gone]
+        most = max((self.blocks[i][1] for i in left), default=0)
+        inner = [i for i in left if self.blocks[i][1] == most]
+        size = lambda ids: sum(len(self.blocks[i][0]) for i in ids)
+        return inner if 2 * size(inner) >= size(left) or not self.hints else left
 
 
 def _hash(tag: str, texts: list[str]) -> int:
@@ -163,46 +186,42 @@ def _hash(tag: str, texts: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtrees(page: Page) -> tuple[int, list[tuple[int, int, int]]]:
-    """Hash of the main part, and (hash, first block, one past the last) of the subtrees within it
-    that aren't all of it."""
-    main = page.main()
-    inside, texts = set(main), [t for t, _ in page.blocks]
-    out = []
-    for a, b, tag in page.trees:
-        if b - a < len(main) and a in inside and (b - 1) in inside:
-            out.append((_hash(tag, texts[a:b]), a, b))
-    return _hash("", [texts[i] for i in main]), out
+def subtrees(page: Page) -> tuple[int, list[tuple[int, int, int, bool]]]:
+    """Hash of the page's own text, and (hash, first block, one past the last, container or not) of the
+    block subtrees that aren't the whole page."""
+    texts = [t for t, _, _ in page.blocks]
+    out = [(_hash(tag, texts[a:b]), a, b, tag not in TEXT_BLOCKS) for a, b, tag in page.trees if b - a < len(texts)]
+    return _hash("", [texts[i] for i in page.own(set())]), out
 
 
 def main_text(page: Page, template: set[int]) -> str:
     gone: set[int] = set()
     if template:
-        for h, a, b in subtrees(page)[1]:
+        for h, a, b, _ in subtrees(page)[1]:
             if h in template:
                 gone.update(range(a, b))
-    keep = page.main()
-    if gone.issuperset(keep):
-        gone = set()
-    return "\n".join(page.blocks[i][0] for i in keep if i not in gone)
+    keep = page.own(gone) or page.own(set())
+    return "\n".join(page.blocks[i][0] for i in keep)
 
 
-def _subtree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _subtree_rows(batches: Iterator[pa.RecordBatch], hints: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        key, host, whole, tree = [], [], [], []
+        key, host, whole, tree, wide = [], [], [], [], []
         for k, h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            page, found = subtrees(Page(s.as_py() or ""))
-            hashes = {None, *(x for x, _, _ in found)}  # None: the page itself
+            page, found = subtrees(Page(s.as_py() or "", hints))
+            hashes = {None: False} | {x: w for x, _, _, w in found}  # None: the page itself
             key += [k] * len(hashes)
             host += [h] * len(hashes)
             whole += [page] * len(hashes)
             tree += hashes
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(host, pa.string()), pa.array(whole, pa.int64()), pa.array(tree, pa.int64())], names=["key", "host", "page", "tree"])
+            wide += hashes.values()
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(host, pa.string()), pa.array(whole, pa.int64()), pa.array(tree, pa.int64()), pa.array(wide, pa.bool_())],
+                                         names=["key", "host", "page", "tree", "wide"])
 
 
-def _text_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_rows(batches: Iterator[pa.RecordBatch], hints: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(Page(s.as_py() or ""), set(t.as_py() or ())) for s, t in zip(batch.column(2), batch.column(3))]
+        texts = [main_text(Page(s.as_py() or "", hints), set(t.as_py() or ())) for s, t in zip(batch.column(2), batch.column(3))]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -210,19 +229,28 @@ def _host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
-            min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """page_id, url and the main text of every row."""
+def template_subtrees(rows: DataFrame, min_pages: int = MIN_PAGES, growth: float = GROWTH, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, tree) of the subtrees that recur, from one row per subtree and page (a null tree stands
+    for the page itself)."""
+    seen = (rows.groupBy("host", "tree", "page").agg(F.max("wide").alias("wide"))
+            .groupBy("host", "tree").agg(F.count(F.lit(1)).alias("pages"), F.max("wide").alias("wide")))
+    seen = materialize(seen.where((F.col("pages") >= min_pages) | F.col("tree").isNull()), "subtree-counts")
+    total = seen.where("tree is null").select("host", F.col("pages").alias("total"))
+    many = (F.col("pages") >= F.lit(growth) * F.log2("total")) & (F.col("wide") | (F.col("pages") >= F.col("total") * min_share))
+    return materialize(seen.where("tree is not null").join(total, "host").where(many).select("host", "tree"), "template-subtrees")
+
+
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
+            growth: float = GROWTH, min_share: float = MIN_SHARE, hints: bool = True) -> DataFrame:
+    """page_id, url and the main text of every row. With ``hints`` off, tags and names decide nothing
+    and only the recurring subtrees go."""
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
     key = F.xxhash64("page_id", "url", "html")
-    rows = slim.select(key.alias("key"), _host(F.col("url")).alias("host"), "html").mapInArrow(_subtree_rows, "key bigint, host string, page bigint, tree bigint")
+    rows = slim.select(key.alias("key"), _host(F.col("url")).alias("host"), "html").mapInArrow(
+        lambda bs: _subtree_rows(bs, hints), "key bigint, host string, page bigint, tree bigint, wide boolean")
     rows = materialize(rows, "subtrees")
-    seen = rows.groupBy("host", "tree", "page").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "tree").agg(F.count(F.lit(1)).alias("pages"))
-    seen = materialize(seen.where((F.col("pages") >= min_pages) | F.col("tree").isNull()), "subtree-counts")
-    total = seen.where("tree is null").select("host", F.col("pages").alias("total"))
-    template = seen.where("tree is not null").join(total, "host").where(F.col("pages") >= F.col("total") * min_share).select("host", "tree")
-    template = materialize(template, "template-subtrees")
+    template = template_subtrees(rows, min_pages, growth, min_share)
     listed = materialize(rows.join(template, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("trees")), "template-pages")
     both = slim.withColumn("key", key).join(listed, "key", "left").select("page_id", "url", "html", "trees")
     id_type, url_type = slim.schema["page_id"].dataType.simpleString(), slim.schema["url"].dataType.simpleString()
-    return both.mapInArrow(_text_rows, f"page_id {id_type}, url {url_type}, text string")
+    return both.mapInArrow(lambda bs: _text_rows(bs, hints), f"page_id {id_type}, url {url_type}, text string")
