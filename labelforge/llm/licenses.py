@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -30,19 +31,35 @@ from labelforge.llm import tokens as T
 # The base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-# Short notices as they stand in texts: label → wordings with markup.
-TEMPLATES = {
-    "gpl-notice": ["licensed under [[the terms of]] the gnu [[lesser]] general public license [[as published by the free software foundation]] [[either]] [[version {{2}}]] [[or [[at your option]] any later version]]"],
-    "apache-2.0-notice": ["licensed under the apache license [[version]] 2 [[0]] [[the license]]",
-                          "licensed under apache license [[version]] 2 [[0]]"],
-    "mit-notice": ["released under the mit license", "licensed under the mit license",
-                   "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"],
-    "cc-by-notice": ["licensed under [[a]] cc by [[nc]] [[sa]] [[nd]] {{1}} 0 [[international]] [[license]]",
-                     "licensed under [[a]] creative commons attribution [[noncommercial]] [[sharealike]] [[noderivatives]] {{1}} 0 [[international]] [[license]]"],
-    "bsd-notice": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-                   "licensed under the bsd {{1}} clause license"],
-    "all-rights-reserved": ["all rights reserved"],
-}
+CATALOGUE = Path(__file__).with_name("licenses.txt")  # the wordings; a caller may name files of its own
+MENTION, NOTICE, TEXT = 0.5, 0.8, 1.0  # a bare phrase; a line that names a licence; all of its wording
+KINDS = {"text": TEXT, "notice": NOTICE}
+DENIALS = {"not", "never", "no", "isn", "aren", "wasn", "nor", "without"}  # such a word shortly before a notice denies it
+DENIED_WITHIN = 3
+
+
+@dataclass(frozen=True)
+class Template:
+    """Wording with markup; ``score`` of a text that holds it."""
+    label: str
+    score: float
+    wording: str
+
+
+def catalogue(*paths: str | Path) -> list[Template]:
+    """The templates of catalogue files (format: ``licenses.txt``), read on the driver: a few hundred
+    kilobytes at most, sent to the tasks."""
+    out = []
+    for path in paths or (CATALOGUE,):
+        lines = [x for x in Path(path).read_text("utf-8").splitlines() if not x.startswith("#")]
+        for part in "\n".join(lines).split("== ")[1:]:
+            head, _, wording = part.partition("\n")
+            label, _, kind = head.strip().partition(" ")
+            if kind.strip() not in KINDS:
+                raise ValueError(f"{path}: {head!r} is no label and kind ({', '.join(KINDS)})")
+            out.append(Template(label, KINDS[kind.strip()], wording))
+    return out
+
 
 FREE, ACCEPT = -1, -2
 
@@ -57,6 +74,7 @@ class Automaton:
     arcs: tuple[tuple[tuple[str | int, int], ...], ...]
     empty: tuple[tuple[int, ...], ...]
     mandatory: int
+    score: float = TEXT
 
     def close(self, states: set[int]) -> set[int]:
         todo, out = list(states), set(states)
@@ -81,7 +99,7 @@ class Automaton:
         return best
 
 
-def compile_template(label: str, text: str) -> Automaton:
+def compile_template(label: str, text: str, score: float = TEXT) -> Automaton:
     arcs: list[list] = [[]]
     empty: list[list] = [[]]
 
@@ -91,7 +109,7 @@ def compile_template(label: str, text: str) -> Automaton:
         return len(arcs) - 1
 
     at, opened, mandatory, lead, leading = 0, [], 0, [], True
-    for m in re.finditer(r"\[\[|\]\]|\{\{(\d+)\}\}|[^\s\[\]{}]+", text):
+    for m in re.finditer(r"\[\[|\]\]|\{\{(\d+)\}\}|[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text)):
         tok = m.group()
         if tok == "[[":
             leading = False
@@ -123,7 +141,12 @@ def compile_template(label: str, text: str) -> Automaton:
         raise ValueError(f"{label}: unbalanced markup, or fewer than two mandatory words at the start")
     final = state()
     empty[at].append(final)
-    return Automaton(label, tuple(lead), tuple(map(tuple, arcs)), tuple(map(tuple, empty)), mandatory)
+    return Automaton(label, tuple(lead), tuple(map(tuple, arcs)), tuple(map(tuple, empty)), mandatory, score)
+
+
+def lower(text: str) -> str:
+    """A-Z lower-cased, nothing else."""
+    return text.translate({c: c + 32 for c in range(65, 91)})
 
 
 def _places(h: np.ndarray, owner: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -141,8 +164,8 @@ def _places(h: np.ndarray, owner: np.ndarray, key: np.ndarray) -> np.ndarray:
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first:bigint,last:bigint>>"
 
 
-def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates: dict[str, list[str]]) -> Iterator[pa.RecordBatch]:
-    autos = [compile_template(label, t) for label, ts in templates.items() for t in ts]
+def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates: list[Template]) -> Iterator[pa.RecordBatch]:
+    autos = [compile_template(t.label, t.wording, t.score) for t in templates]
     base = [(p.split(), label, T.hash_of(p.split())) for p, label in phrases.items()]
     leads = [T.hash_of(list(a.lead)) for a in autos]
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()),
@@ -167,14 +190,14 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates:
                     d = int(owner[p])
                     end = auto.accepts(lambda i: w.text(i).decode("utf-8", "replace"), p, int(w.bounds[d + 1]))
                     first = int(w.bounds[d])
-                    if end > p:
+                    if end > p and not (auto.score < TEXT and any(w.text(i).decode("utf-8", "replace") in DENIALS for i in range(max(first, p - DENIED_WITHIN), p))):
                         spans.setdefault(d, []).append((auto.label, p - first, end - first))
+                        scores[d] = max(scores.get(d, 0.0), auto.score)
             rows = []
             for d in range(b - a):
                 found = sorted(set(spans.get(d, [])))
                 st, lb = starts.get(d, []), labels.get(d, set())
-                # a whole notice is certain; a bare phrase may be a mention
-                scores[d] = 1.0 if found else 0.5 if st else 0.0
+                scores.setdefault(d, MENTION if st else 0.0)
                 rows.append((int(w.bounds[d + 1] - w.bounds[d]), len(st), min(st, default=None), max(st, default=None),
                              ",".join(sorted(lb)), ",".join(sorted(lb | {s[0] for s in found})), scores[d],
                              [dict(zip(("label", "first", "last"), s)) for s in found]))
@@ -184,8 +207,12 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: dict[str, str] = PHRASES,
-         templates: dict[str, list[str]] = TEMPLATES) -> DataFrame:
-    """One row per document: word count, base places, labels, score and the templates' word spans.
+         templates: list[Template] | None = None) -> DataFrame:
+    """One row per document: word count, base places, labels, score and the templates' word spans;
+    ``templates``: default the package's ``catalogue()``. The score is that of the most certain find: 1.0
+    where all mandatory wording of a licence stands, 0.8 for a line that names one, 0.5 for a bare phrase, 0
+    for none. A notice with a denial up to three words before it ("not released under ...") is no find.
     No shuffle: each text is read once where it lies."""
+    templates = catalogue() if templates is None else templates
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return slim.mapInArrow(lambda batches: _scan(batches, phrases, templates), SCHEMA)

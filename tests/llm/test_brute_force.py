@@ -198,7 +198,7 @@ def test_license_templates(spark):
     docs = spark.createDataFrame([(1, "Licensed under the Apache License, Version 2.0."), (2, "licensed under the apache licence 2"), (3, "LICENSED under CC BY-NC-SA 4.0"),
                                   (4, "under the GNU General Public License"), (5, "licensed under the GNU General Public License version 3 or any later version")], "doc_id bigint, text string")
     rows = {r.doc_id: r for r in licenses.scan(docs).collect()}
-    assert rows[1].labels == "apache,apache-2.0-notice" and rows[1].first_word == 3 and rows[1].score == 1.0
+    assert rows[1].labels == "apache,apache-2.0-notice" and rows[1].first_word == 3 and rows[1].score == 0.8
     assert rows[2].labels == "" and rows[3].labels == "cc-by,cc-by-notice" and rows[4].labels == "gpl" and rows[4].score == 0.5
     assert (rows[5].spans[0].first, rows[5].spans[0].last) == (0, 13)
     a = licenses.compile_template("x", "one two [[three [[four]]]] {{2}} end")
