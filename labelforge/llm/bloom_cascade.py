@@ -9,7 +9,7 @@ row is judged by looking at a few bits, without a join.
 
 The levels reach the rows as scalar subqueries over a small written table. Their size follows the
 number of listed keys (``BITS_PER_KEY``); ``max_bits`` is the proven bound of what each executor
-gets. Beyond it ``build`` refuses, and ``member_by_join`` gives the same answer with a join.
+gets. Beyond it ``build`` refuses, and ``judge`` takes an exact join (``member_by_join``) instead.
 
 Edge cases: a null key is in no list; repeated listed keys count once; an empty list or universe
 gives an empty cascade, in which nothing is listed.
@@ -61,6 +61,10 @@ def accepts(level: Level, key: Column, bits: Column) -> Column:
     return ok
 
 
+class TooLarge(ValueError):
+    """A level would hold more bits than the bound of what is sent to executors."""
+
+
 class Cascade:
     """``attach`` adds the levels to rows as columns (scalar subqueries: one value per query, kept
     out of lambdas), ``contains`` reads them."""
@@ -95,7 +99,7 @@ def build(listed: DataFrame, universe: DataFrame, name: str = "cascade", max_bit
     n = inside.count()
     while n:
         if len(levels) == MAX_LEVELS or n * BITS_PER_KEY > max_bits:
-            raise ValueError(f"{n} keys at level {len(levels) + 1}: over the bound of what is sent to executors; use member_by_join")
+            raise TooLarge(f"{n} keys at level {len(levels) + 1}: over the bound of what is sent to executors; use member_by_join")
         levels.append(encode(inside, n, len(levels) + 1))
         wrong = materialize(outside.where(accepts(levels[-1], F.col("key"), levels[-1].bits.scalar())), f"cascade-wrong{len(levels)}")
         inside, outside = wrong, inside
@@ -142,26 +146,37 @@ def rule_keys(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(domains(host), lambda d: F.transform(heads, lambda h: F.concat(d, h))))
 
 
-def judge(pages: DataFrame, rules: list[UrlRule], blocked_hosts: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[UrlRule], blocked_hosts: DataFrame, page_id: str = "page_id", url: str = "url",
+          max_bits: int = MAX_BITS) -> DataFrame:
     """page_id, host, path, rule (the longest that fits, else null) and verdict for every row: the
     rule's, else block for a host at or below one of ``blocked_hosts`` (one column), else allow.
     Both lookups ask a cascade: one lists the rules' keys (the few rules that exist are then told
-    apart by their text), the other the blocked hosts; their universes are all keys of the table."""
+    apart by their text), the other the blocked hosts; their universes are all keys of the table.
+    A cascade that would pass ``max_bits`` at any level gives way to an exact lookup of another kind:
+    the rules' few keys are compared as they are, the blocked hosts are joined with the distinct hosts."""
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     lengths = sorted({len(r.path) for r in rules})
     texts = {r.host + r.path: r.verdict for r in rules}
-    rule_universe = rows.select(F.explode(rule_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    rule_list = spark.createDataFrame([(k,) for k in texts], "key string")
-    host_universe = rows.select("host").distinct().select(F.explode(domains(F.col("host"))).alias("key"))
-    by_rule, by_host = build(rule_list, rule_universe, "rules"), build(blocked_hosts, host_universe, "hosts")
-    rows = by_host.attach(by_rule.attach(rows))
-    fits = F.filter(rule_keys(F.col("host"), F.col("path"), lengths), by_rule.contains)
+    try:
+        rule_universe = rows.select(F.explode(rule_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
+        by_rule = build(spark.createDataFrame([(k,) for k in texts], "key string"), rule_universe, "rules", max_bits)
+        rows, is_rule = by_rule.attach(rows), by_rule.contains
+    except TooLarge:
+        is_rule = lambda k: k.isin(*texts)
+    hosts = rows.select("host").distinct()
+    try:
+        by_host = build(blocked_hosts, hosts.select(F.explode(domains(F.col("host"))).alias("key")), "hosts", max_bits)
+        rows = by_host.attach(rows).withColumn("listed", F.exists(domains(F.col("host")), by_host.contains))
+    except TooLarge:
+        each = hosts.select(F.col("host").alias("__host"), F.explode(domains(F.col("host"))).alias("__domain"))
+        listed = member_by_join(each, "__domain", blocked_hosts, "__listed").where("__listed").select("__host").distinct()
+        rows = rows.join(materialize(listed, "blocked-hosts"), F.col("host") == F.col("__host"), "left").withColumn("listed", F.col("__host").isNotNull())
+    fits = F.filter(rule_keys(F.col("host"), F.col("path"), lengths), is_rule)
     longest = F.array_max(F.transform(fits, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
-    rows = rows.withColumns({"rule": longest, "listed": F.exists(domains(F.col("host")), by_host.contains)})
     told = F.create_map(*[x for k, v in texts.items() for x in (F.lit(k), F.lit(v))])
-    return rows.select("page_id", "host", "path", "rule",
-                       F.coalesce(F.element_at(told, F.col("rule")), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+    return rows.withColumn("rule", longest).select(
+        "page_id", "host", "path", "rule", F.coalesce(F.element_at(told, F.col("rule")), F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 def hosts_with_terms(pages: DataFrame, terms: tuple[str, ...], url: str = "url") -> DataFrame:

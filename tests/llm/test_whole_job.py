@@ -104,3 +104,16 @@ def test_items_without_an_id_still_clean_the_documents(spark):
     bench = spark.createDataFrame([(None, item), (None, item), (4, other), (4, None), (None, None)], "item_id bigint, text string")
     assert [x.doc_id for x in decontaminate.drop_contaminated(docs, bench).collect()] == [2]
     assert [(x.doc_id, x.item_id) for x in decontaminate.overlaps(docs, bench).collect()] == [(3, 4)]
+
+
+@pytest.mark.parametrize("max_bits", [64, 400, 2000])
+def test_urls_are_judged_alike_beyond_the_cascades_bound(spark, max_bits):
+    from labelforge.llm import bloom_cascade as B
+    from labelforge.llm.queries import URL_RULES
+    r = random.Random(4)
+    urls = [f"http://{r.choice(['', 'a.', 'b.c.'])}{r.choice(['x', 'bad', 'spam'])}{r.randrange(40)}.{r.choice(['com', 'org', 'net', 'example.org'])}{r.choice(['/', '/fr/1', '/de/2', '/en/17', '/es/', ''])}?q" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate([*urls, None, "no scheme"])), "page_id bigint, url string")
+    blocked = spark.createDataFrame([(f"{w}{k}.{t}",) for w in ("bad", "spam") for k in range(40) for t in ("com", "net")], "host string")
+    want = sorted(map(str, B.judge(pages, URL_RULES, blocked).collect()))
+    assert sorted(map(str, B.judge(pages, URL_RULES, blocked, max_bits=max_bits).collect())) == want
+    assert sum("verdict='block'" in x for x in want) > 50
