@@ -14,9 +14,11 @@ Tags, roles, class names and <article> are hints for what is left. Elements that
 mentions one ("has-sidebar") is no hint. <article> (or <main>) is the page's text where it holds at least
 half of what is left; a smaller one is a teaser, and all that is left is kept.
 
-Counting moves one slim row per subtree and distinct page, combined before the shuffle. The pages
-that hold a template subtree are found with a join on (host, hash), whose hot keys Spark can split;
-they are joined back by a 64-bit key of the row and read again.
+Counting moves one slim row per subtree and distinct page, combined before the shuffle. The pages are then
+read again where they lie, and each looks its subtrees up in the sorted template hashes (64 bits, the host
+among what is hashed), which are sent to the tasks while there are at most ``MAX_SENT`` of them. Beyond
+that the pages that hold a template subtree are found with a join on (host, hash), whose hot keys Spark
+can split, and joined back by a 64-bit key of the row.
 
 Edge cases: null html has the empty text; unclosed, crossed and unknown tags are read as browsers do
 (nearest open element, implied ends of p, li, cells); texts are read whole; a null url is a host of
@@ -29,6 +31,7 @@ import html as H
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -38,6 +41,7 @@ from labelforge.llm.store import materialize
 
 MIN_PAGES = 8    # distinct pages of a host that a template container stands on, at least
 GROWTH = 2.0     # or this many times log2 of the host's distinct pages
+MAX_SENT = 1 << 21  # template hashes sent to every task: 16 MB
 MIN_SHARE = 0.5  # share of a host's distinct pages that a template text block stands on
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)""", re.S)
@@ -186,20 +190,23 @@ def _hash(tag: str, texts: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def subtrees(page: Page) -> tuple[int, list[tuple[int, int, int, bool]]]:
+def subtrees(page: Page, host: str = "") -> tuple[int, list[tuple[int, int, int, bool]]]:
     """Hash of the page's own text, and (hash, first block, one past the last, container or not) of the
     block subtrees that aren't the whole page."""
     texts = [t for t, _, _ in page.blocks]
-    out = [(_hash(tag, texts[a:b]), a, b, tag not in TEXT_BLOCKS) for a, b, tag in page.trees if b - a < len(texts)]
+    out = [(_hash(f"{host}\x1e{tag}", texts[a:b]), a, b, tag not in TEXT_BLOCKS) for a, b, tag in page.trees if b - a < len(texts)]
     return _hash("", [texts[i] for i in page.own(set())]), out
 
 
-def main_text(page: Page, template: set[int]) -> str:
+def main_text(page: Page, host: str, template: np.ndarray) -> str:
+    """The page's own text without the subtrees in ``template`` (sorted hashes)."""
     gone: set[int] = set()
-    if template:
-        for h, a, b, _ in subtrees(page)[1]:
-            if h in template:
-                gone.update(range(a, b))
+    if len(template):
+        found = subtrees(page, host)[1]
+        h = np.array([x[0] for x in found], np.int64)
+        at = np.minimum(np.searchsorted(template, h), len(template) - 1)
+        for k in np.flatnonzero(template[at] == h).tolist():
+            gone.update(range(found[k][1], found[k][2]))
     keep = page.own(gone) or page.own(set())
     return "\n".join(page.blocks[i][0] for i in keep)
 
@@ -208,7 +215,7 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch], hints: bool) -> Iterator[pa
     for batch in batches:
         key, host, whole, tree, wide = [], [], [], [], []
         for k, h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            page, found = subtrees(Page(s.as_py() or "", hints))
+            page, found = subtrees(Page(s.as_py() or "", hints), h)
             hashes = {None: False} | {x: w for x, _, _, w in found}  # None: the page itself
             key += [k] * len(hashes)
             host += [h] * len(hashes)
@@ -219,10 +226,13 @@ def _subtree_rows(batches: Iterator[pa.RecordBatch], hints: bool) -> Iterator[pa
                                          names=["key", "host", "page", "tree", "wide"])
 
 
-def _text_rows(batches: Iterator[pa.RecordBatch], hints: bool) -> Iterator[pa.RecordBatch]:
+def _text_rows(batches: Iterator[pa.RecordBatch], hints: bool, sent: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(Page(s.as_py() or "", hints), set(t.as_py() or ())) for s, t in zip(batch.column(2), batch.column(3))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+        cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        trees = cols["trees"].to_pylist() if sent is None else None
+        texts = [main_text(Page(s.as_py() or "", hints), host, sent if sent is not None else np.sort(np.array(trees[i] or [], np.int64)))
+                 for i, (s, host) in enumerate(zip(cols["html"], cols["host"].to_pylist()))]
+        yield pa.RecordBatch.from_arrays([cols["page_id"], cols["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def _host(url: Column) -> Column:
@@ -241,7 +251,7 @@ def template_subtrees(rows: DataFrame, min_pages: int = MIN_PAGES, growth: float
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", min_pages: int = MIN_PAGES,
-            growth: float = GROWTH, min_share: float = MIN_SHARE, hints: bool = True) -> DataFrame:
+            growth: float = GROWTH, min_share: float = MIN_SHARE, hints: bool = True, max_sent: int = MAX_SENT) -> DataFrame:
     """page_id, url and the main text of every row. With ``hints`` off, tags and names decide nothing
     and only the recurring subtrees go."""
     slim = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"))
@@ -250,7 +260,12 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
         lambda bs: _subtree_rows(bs, hints), "key bigint, host string, page bigint, tree bigint, wide boolean")
     rows = materialize(rows, "subtrees")
     template = template_subtrees(rows, min_pages, growth, min_share)
-    listed = materialize(rows.join(template, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("trees")), "template-pages")
-    both = slim.withColumn("key", key).join(listed, "key", "left").select("page_id", "url", "html", "trees")
-    id_type, url_type = slim.schema["page_id"].dataType.simpleString(), slim.schema["url"].dataType.simpleString()
-    return both.mapInArrow(lambda bs: _text_rows(bs, hints), f"page_id {id_type}, url {url_type}, text string")
+    where, id_type, url_type = _host(F.col("url")).alias("host"), slim.schema["page_id"].dataType.simpleString(), slim.schema["url"].dataType.simpleString()
+    if template.count() <= max_sent:
+        sent = np.sort(np.array([r[0] for r in template.select("tree").toLocalIterator()], np.int64))
+        both = slim.select("page_id", "url", "html", where)
+    else:
+        sent = None
+        listed = materialize(rows.join(template, ["host", "tree"]).groupBy("key").agg(F.collect_set("tree").alias("trees")), "template-pages")
+        both = slim.withColumn("key", key).join(listed, "key", "left").select("page_id", "url", "html", where, "trees")
+    return both.mapInArrow(lambda bs: _text_rows(bs, hints, sent), f"page_id {id_type}, url {url_type}, text string")

@@ -34,6 +34,7 @@ def test_counting_alone_removes_an_unnamed_template(spark):
     docs = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id bigint, url string, html string").repartition(6)
     got = {x.page_id: x.text for x in T.extract(docs, hints=False).collect()}
     assert [got[i] for i in range(len(rows))] == want
+    assert {x.page_id: x.text for x in T.extract(docs, hints=False, max_sent=0).collect()} == got  # by the join
     kept = {x.page_id: x.text for x in T.extract(docs, hints=False, min_pages=31).collect()}
     assert all("Shop all" in kept[i] for i in range(30))  # below the bound it stays
 
@@ -52,7 +53,7 @@ def test_template_subtrees_equal_brute_force_counts(spark):
     pages, trees = collections.defaultdict(set), collections.defaultdict(set)
     for _, url, body in rows:
         host = url.split("/")[2]
-        whole, found = T.subtrees(T.Page(body))
+        whole, found = T.subtrees(T.Page(body), host)
         pages[host].add(whole)
         for h, _, _, wide in found:
             trees[host, h, wide].add(whole)
