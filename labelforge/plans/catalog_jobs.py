@@ -26,7 +26,7 @@ from labelforge.plans import views as V
 from labelforge.plans.catalog import BATCH_SIZE, REQUEST_BATCH, REGISTRY, register
 from labelforge.plans.oracle_sql import f2 as f2_sql
 from labelforge.plans.oracle_sql import py_strip as strip_sql
-from labelforge.plans.oracle_sql import q, r4, weak_label_sql
+from labelforge.plans.oracle_sql import q, r4, weak_label_sql, word_count
 from labelforge.session import scratch_path
 from labelforge.sources import files as IO
 from labelforge.sources import records as RD
@@ -345,7 +345,8 @@ def _stub_labeler(q: str) -> str:
     return "Search" if len((q or "").split()) < 4 else "Chat"
 
 
-@register("m1_label_with", None)
+@register("m1_label_with", q(f"""SELECT row_number() OVER (ORDER BY CASE subset WHEN 'url' THEN 0 WHEN 'chat' THEN 1 WHEN 'short' THEN 2 ELSE 3 END, rid) - 1 AS id,
+  CASE WHEN {word_count("coalesce(query, '')")} < 4 THEN 'Search' ELSE 'Chat' END AS label, NULL::VARCHAR AS error, 1 AS attempts FROM queries"""))
 def m1_label_with(spark, d):
     """M1 with a stand-in labeler (fewer than 4 words → Search) over every query row."""
     qv = G.corpus_ids(V.queries(spark, d), ["url", "chat", "short", "general"], key="rid", grp="subset", name="id")
@@ -357,7 +358,11 @@ def _sentences(prompt: str, n: int) -> list[str]:
     return [p for p in parts if p][: max(n, 0) or None]
 
 
-@register("m3_generate_with", None)
+_SENTENCES = strip_sql("x")
+
+
+@register("m3_generate_with", q(f"""SELECT doc_id AS request_id, (generate_subscripts(s, 1) - 1)::INTEGER AS pos, unnest(s) AS query, NULL::VARCHAR AS error, 1 AS attempts
+FROM (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), '. '), '. '), lambda x: {_SENTENCES}), lambda x: x <> '') AS s FROM documents) WHERE len(s) > 0"""))
 def m3_generate_with(spark, d):
     """M3 with a stand-in generator: each document is a request; its sentences are the
     generated queries (every sentence: n = the sentence count)."""

@@ -52,8 +52,18 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the checkpoint root for files a job writes and reads back."""
-    root = checkpoint_root(spark).rstrip("/")
-    return f"{root}/labelforge/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark).rstrip('/')}/labelforge/{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete all that this application wrote by ``scratch_path`` and ``written``. Results read from
+    there are gone too, so write what is to stay elsewhere first. False if there was nothing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
