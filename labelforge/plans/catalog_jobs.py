@@ -492,3 +492,15 @@ def a22_progress_counts(spark, d):
     w = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (rows.join(new, "round", "left").fillna(0, ["new"])
             .withColumn("collected", F.sum("new").over(w)).select("round", "rows", "new", "collected"))
+
+
+@register("a22_streamed_progress", REGISTRY["a22_progress_counts"][1])
+def a22_streamed_progress(spark, d):
+    """A22 as a stream: the rounds arrive in three lots, each taken in by a run of its own on the same state."""
+    inbox, out, ck = (scratch_path(spark, f"a22-{x}") for x in ("inbox", "state", "ckpt"))
+    docs = table(spark, d, "documents").select("text", F.substring("source", 4, 10).cast("long").alias("round"))
+    for lo, hi in ((0, 7), (7, 14), (14, None)):
+        lot = docs.where((F.col("round") >= lo) & (F.col("round") < hi if hi else F.lit(True)))
+        lot.write.mode("append").parquet(inbox)
+        progress = J.stream_rounds(spark, inbox, docs.schema, "text", "round", out, ck)
+    return progress

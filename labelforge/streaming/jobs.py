@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelforge.operators.translation import consolidate
@@ -106,6 +106,53 @@ def read_results(spark: SparkSession, out: str, result_schema: str, key: str = "
     return consolidate(res, key, (batch,))
 
 
+def stream_rounds(spark: SparkSession, inbox: str, schema, text: str, round_col: str, out: str, checkpoint: str,
+                  files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
+    """A22 over arriving files: every run takes the files that are new under ``inbox`` and returns the
+    progress so far (``round_progress``).
+
+    The state lies on disk, in a folder per micro-batch: the batch folded to (digest, round, rows), read
+    from the input once, and the digests not seen in earlier batches with their first round. A batch replayed
+    after a failure rewrites its own folders and looks at earlier ones only, so nothing counts twice.
+    Rounds arrive in order; a text seen first in one batch belongs to its smallest round there."""
+    def folder(step: str, epoch: int) -> str:
+        return f"{out.rstrip('/')}/{step}/epoch={epoch:08d}"
+
+    def each(df: DataFrame, epoch: int) -> None:
+        digest = F.coalesce(F.sha2(F.col(text), 256), F.lit("null"))  # a missing text is one text
+        df.groupBy(digest.alias("digest"), F.col(round_col).cast("long").alias("round")).agg(F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(folder("arrived", epoch))
+        here = spark.read.parquet(folder("arrived", epoch)).groupBy("digest").agg(F.min("round").alias("round"))
+        earlier = _epochs(spark, f"{out.rstrip('/')}/seen", epoch)
+        if earlier:
+            here = here.join(spark.read.parquet(*earlier).select("digest"), "digest", "left_anti")
+        here.write.mode("overwrite").parquet(folder("seen", epoch))
+
+    q = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(inbox).select(text, round_col)
+         .writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return round_progress(spark, out)
+
+
+def _epochs(spark: SparkSession, root: str, before: int) -> list[str]:
+    """The committed micro-batch folders under ``root`` with a smaller number (a listing, no job)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path(root)):
+        return []
+    found = [st.getPath() for st in fs.listStatus(path(root))]
+    return [p.toString() for p in found if (m := re.fullmatch(r"epoch=(\d+)", p.getName())) and int(m[1]) < before and fs.exists(path(p, "_SUCCESS"))]
+
+
+def round_progress(spark: SparkSession, out: str) -> DataFrame:
+    """(round, rows, new, collected) of what ``stream_rounds`` has taken in so far; one row a round."""
+    arrived = spark.read.schema("digest string, round long, rows long, epoch string").parquet(f"{out.rstrip('/')}/arrived")
+    seen = spark.read.schema("digest string, round long, epoch string").parquet(f"{out.rstrip('/')}/seen")
+    new = seen.groupBy("round").agg(F.count(F.lit(1)).alias("new"))
+    w = Window.orderBy("round").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (arrived.groupBy("round").agg(F.sum("rows").alias("rows")).join(new, "round", "left").fillna(0, ["new"])
+            .withColumn("collected", F.sum("new").over(w)).select("round", "rows", "new", "collected"))
+
+
 def stream_distinct(spark: SparkSession, source_dir: str, schema, text: str, avoid: DataFrame,
                     sink: str, checkpoint: str, avoid_col: str = "query", glob: str | None = None) -> DataFrame:
     """Distinct texts over all files that have arrived in ``source_dir``, minus the avoid

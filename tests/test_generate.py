@@ -75,3 +75,26 @@ def test_failed_requests_are_kept_and_add_nothing(spark, tmp_dir):
     assert G.generate_until(spark, G.asking(refuses, max_retries=2), "p", 1, tmp_dir, workers=2, max_rounds=2).count() == 0
     assert sorted((r["round"], r.request_id, r.error, r.attempts) for r in G.failed_requests(spark, tmp_dir).collect()) == [
         (r, 2 * r + k, "refused", 2) for r in range(2) for k in range(2)]
+
+
+def test_streamed_rounds_equal_the_batch_over_three_arrivals(spark, tmp_dir):
+    import os
+    import shutil
+
+    from labelforge.streaming import jobs as J
+    lots = [[("a", 0), ("b", 0), ("a", 0), (None, 0), ("c", 1), ("a", 1)], [("d", 2), ("c", 2), (None, 2)], [("e", 3), ("a", 3), ("e", 4), ("f", 4)]]
+    schema = "q string, r long"
+    runs = []
+    for k, lot in enumerate(lots):
+        spark.createDataFrame(lot, schema).coalesce(1).write.mode("append").parquet(f"{tmp_dir}/inbox")
+        if k == 1:  # a run that dies after its state was written and before the batch was committed
+            J.stream_rounds(spark, f"{tmp_dir}/inbox", schema, "q", "r", f"{tmp_dir}/out", f"{tmp_dir}/ck")
+            last = max(os.listdir(f"{tmp_dir}/ck/commits"), key=lambda n: (n.isdigit(), n))
+            for n in (last, f".{last}.crc"):
+                if os.path.exists(f"{tmp_dir}/ck/commits/{n}"):
+                    shutil.move(f"{tmp_dir}/ck/commits/{n}", f"{tmp_dir}/{n}.moved")
+        got = J.stream_rounds(spark, f"{tmp_dir}/inbox", schema, "q", "r", f"{tmp_dir}/out", f"{tmp_dir}/ck")
+        runs.append([tuple(x) for x in got.orderBy("round").collect()])
+    assert runs[0] == [(0, 4, 3, 3), (1, 2, 1, 4)]
+    assert runs[1] == [*runs[0], (2, 3, 1, 5)]
+    assert runs[2] == [*runs[1], (3, 2, 1, 6), (4, 2, 1, 7)]
