@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from labelforge.operators.translation import consolidate
 from labelforge.session import scratch_path
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"  # state on disk, not on the heap
 WAVE_BATCHES = 1024     # batches that one job processes and commits together
 FILES_PER_TRIGGER = 64  # arrived files that one micro-batch takes
 
@@ -165,7 +167,13 @@ def stream_distinct(spark: SparkSession, source_dir: str, schema, text: str, avo
     # the state holds a digest per text, not the text
     out = (stream.join(a, "query", "left_anti").withColumn("_digest", F.sha2("query", 256))
            .dropDuplicates(["_digest"]).drop("_digest"))
-    q = (out.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink))
-    q.awaitTermination()
+    # a query keeps the provider it started with; the session's own setting comes back afterwards
+    old = spark.conf.get(STATE_PROVIDER, None)
+    spark.conf.set(STATE_PROVIDER, ROCKSDB)
+    try:
+        q = (out.writeStream.format("parquet").outputMode("append")
+             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(sink))
+        q.awaitTermination()
+    finally:
+        spark.conf.unset(STATE_PROVIDER) if old is None else spark.conf.set(STATE_PROVIDER, old)
     return spark.read.parquet(sink)
