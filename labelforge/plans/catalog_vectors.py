@@ -77,8 +77,11 @@ dids AS (SELECT d.doc_id, coalesce(ti.ids, []::BIGINT[]) AS ids FROM documents d
 """
 
 
-def _doc_ids(spark, d):
+def _doc_ids(spark, d, first: int | None = None):
+    """(doc_id, ids in text order), of all tokens or of the ``first`` ones. Only the ends of a split text
+    can be blank, so the first n tokens stand at places 0..n."""
     toks = V.doc_tokens(spark, d)
+    toks = toks if first is None else toks.where(F.col("pos") <= first)
     j = E.attach_token_ids(toks, V.vocab(spark, d))
     per = j.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token_id"))).alias("_l"))
     per = per.select("doc_id", F.transform("_l", lambda x: x["token_id"]).alias("ids"))
@@ -100,7 +103,7 @@ def f7_token_ids(spark, d):
 def f8_pad_and_mask(spark, d):
     """F8 + F9: model input of ``MAX_LEN`` ids (the model's fixed input size), and its mask."""
     ids, mask = E.pad_ids("ids", MAX_LEN)
-    t = _doc_ids(spark, d).select("doc_id", ids.alias("p"), mask.alias("m"))
+    t = _doc_ids(spark, d, MAX_LEN).select("doc_id", ids.alias("p"), mask.alias("m"))
     return t.select("doc_id", F.concat_ws(" ", "p").alias("ids"),
                     F.concat_ws("", E.attention_mask("m")).alias("attention"))
 
