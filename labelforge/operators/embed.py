@@ -60,14 +60,16 @@ def frequent_tokens(vocab: DataFrame) -> DataFrame:
 
 
 def attach_token_ids(df: DataFrame, vocab: DataFrame, n_vectors: Column | int | None = None,
-                     unk_id: int = 0, hot: DataFrame | None = None) -> DataFrame:
+                     unk_id: int = 0, hot: DataFrame | None = None, folded: bool = False) -> DataFrame:
     """Token → (token_id, logp); unknown tokens get ``unk_id``; ids beyond the vector table
     (``n_vectors``) fall back to ``unk_id`` too. ``hot`` lists tokens that hold many rows of ``df``
     (default: the vocabulary's frequent ones; ``hot_join.hot_keys`` finds those of another corpus):
-    their rows are spread over many tasks by a hash of the row."""
+    their rows are spread over many tasks by a hash of the row. ``folded``: ``df`` has one row per text
+    and token, so that no token holds a large share of it, and a plain join will do."""
     spread = F.xxhash64(*[c for c in df.columns if c != "token"])
-    j = salted_join(df, vocab.select("token", "token_id", "logp"), "token",
-                    frequent_tokens(vocab) if hot is None else hot, spread, "left")
+    ids = vocab.select("token", "token_id", "logp")
+    j = df.join(ids, "token", "left") if folded else salted_join(
+        df, ids, "token", frequent_tokens(vocab) if hot is None else hot, spread, "left")
     tid = F.coalesce(F.col("token_id"), F.lit(unk_id))
     if n_vectors is not None:
         nv = F.lit(n_vectors) if isinstance(n_vectors, int) else n_vectors

@@ -18,7 +18,7 @@ def _first_part(n: Column, ratio: float) -> Column:
     return F.least(n, F.floor(F.lit(ratio) * n).cast("long") + F.lit(1))
 
 
-STEPS = (3, 6, 32)  # leading hash characters that the steps of a selection look at
+STEPS = (4, 32)  # leading hash characters that the steps of a selection look at
 
 
 def hash_cuts(df: DataFrame, id_col: str, seed, ranks: Sequence, partition_by: Sequence[str] = ()) -> tuple[Column, DataFrame]:
@@ -26,7 +26,7 @@ def hash_cuts(df: DataFrame, id_col: str, seed, ranks: Sequence, partition_by: S
     (functions of the row count n) the hash of the row at that place, per group.
 
     Counts by the first hash characters tell in which bucket a rank lies; only that bucket's rows are
-    counted by the next characters, and the last step counts the few hashes of one bucket (rows / 16^6).
+    counted by all characters (about rows / 16^4 hashes a cut).
     Returns the hash as an expression on ``df`` and the table of cuts: group columns, _n, _cut0, _cut1 ...
     (null: no row at that place). The keys of ``df`` are written once; rows that share an id share a
     hash, and a null id's hash sorts first."""
@@ -47,7 +47,8 @@ def hash_cuts(df: DataFrame, id_col: str, seed, ranks: Sequence, partition_by: S
                   .agg(F.count(F.lit(1)).alias("_m")))
         w = Window.partitionBy(*names, "cut").orderBy("_next").rowsBetween(Window.unboundedPreceding, -1)
         found = counts.withColumn("_before", F.coalesce(F.sum("_m").over(w), F.lit(0))).where("_before <= rank and rank < _before + _m")
-        open_ = written(found.select(*names, "cut", (F.col("rank") - F.col("_before")).alias("rank"), F.col("_next").alias("_p"), F.lit(0).alias("_n")), "split-ranks")
+        open_ = found.select(*names, "cut", (F.col("rank") - F.col("_before")).alias("rank"), F.col("_next").alias("_p"), F.lit(0).alias("_n"))
+        open_ = open_ if chars == STEPS[-1] else written(open_, "split-ranks")
         at = chars
     cuts = [F.max(F.when(F.col("cut") == i, F.col("_p"))).alias(f"_cut{i}") for i in range(len(ranks))]
     return h, written(open_.groupBy(*names).agg(*cuts), "split-cuts")

@@ -142,7 +142,7 @@ def _pooled_ids(spark, d):
     and vector id (rank below the vector-table size, else 0)."""
     size = table(spark, d, "embeddings").agg(F.count(F.lit(1))).scalar()
     counts = V.doc_token_counts(spark, d)
-    return E.attach_token_ids(counts, V.vocab(spark, d), size)
+    return E.attach_token_ids(counts, V.vocab(spark, d), size, folded=True)
 
 
 def _pooled(spark, d, sif: bool, l2: bool):
