@@ -158,11 +158,11 @@ def round_progress(spark: SparkSession, out: str) -> DataFrame:
 def stream_distinct(spark: SparkSession, source_dir: str, schema, text: str, avoid: DataFrame,
                     sink: str, checkpoint: str, avoid_col: str = "query", glob: str | None = None) -> DataFrame:
     """Distinct texts over all files that have arrived in ``source_dir``, minus the avoid
-    list; runs to completion (availableNow) and returns the sink as a static table."""
-    reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    stream = reader.parquet(source_dir).select(F.col(text).alias("query"))
+    list; runs to completion (availableNow) and returns the sink as a static table. ``glob`` names the
+    entries of the folder that are read: files, or folders of part files."""
+    if glob:  # a pattern in any case: a stream takes a plain path for a folder
+        source_dir = f"{source_dir.rstrip('/')}/{glob if re.search(r'[*?{[]', glob) else f'[{glob[0]}]{glob[1:]}'}"
+    stream = spark.readStream.schema(schema).parquet(source_dir).select(F.col(text).alias("query"))
     a = avoid.select(F.col(avoid_col).alias("query")).distinct()
     # the state holds a digest per text, not the text
     out = (stream.join(a, "query", "left_anti").withColumn("_digest", F.sha2("query", 256))
@@ -176,4 +176,11 @@ def stream_distinct(spark: SparkSession, source_dir: str, schema, text: str, avo
         q.awaitTermination()
     finally:
         spark.conf.unset(STATE_PROVIDER) if old is None else spark.conf.set(STATE_PROVIDER, old)
-    return spark.read.parquet(sink)
+    if not _exists(spark, sink):  # nothing has arrived
+        return spark.createDataFrame([], out.schema)
+    return spark.read.schema(out.schema).parquet(sink)  # the schema is stated: the sink may hold no file
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
