@@ -24,9 +24,10 @@ def l2_norm(v) -> Column:
 
 
 def normalize(v) -> Column:
-    """Divide by the L2 norm; a zero vector is left as is."""
+    """Divide by the L2 norm; a zero vector is left as is. The norm stands outside of the function of
+    an element, where it would be computed again for every element."""
     n = l2_norm(v)
-    return F.when(n > 0, F.transform(_c(v), lambda x: x / n)).otherwise(_c(v))
+    return F.when(n > 0, F.zip_with(_c(v), F.array_repeat(n, F.size(_c(v))), lambda x, y: x / y)).otherwise(_c(v))
 
 
 def cosine(a, b) -> Column:

@@ -5,9 +5,19 @@ occurrences are pre-aggregated to (doc, token) counts before any join, so a hot
 every document becomes one row per document, and the vector gather is an equi-join on token id.
 Pooling is one ``groupBy(doc)`` with a sum per dimension: no per-row Python and no arrays
 collected.
+
+Where all texts of a table are pooled, they are folded in blocks of bounded size (``token_blocks``):
+a block names each of its tokens once, and its documents list (place of the token, count). Vocabulary,
+ids and vectors are then joined per token of a block, not per token of a document, and what meets
+again by block are short integer lists and one vector per id.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +47,77 @@ def token_counts(tokens: DataFrame, id_col) -> DataFrame:
     return tokens.groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
+BLOCK_TOKENS = 1 << 22   # words of a block, unless one text has more
+GATHER_ROWS = 1 << 15    # (document, token) entries multiplied at a time
+
+
+def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        names, (ids, words) = batch.schema.names, (batch.column(0), batch.column(1))
+        length = words.value_lengths().fill_null(0).to_numpy()
+        ends = np.cumsum(length, dtype=np.int64)
+        at = 0
+        while at < len(ids):
+            before = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_TOKENS, "right")))
+            coded = words.slice(at, to - at).flatten().dictionary_encode()
+            tokens, order = coded.dictionary, pc.sort_indices(coded.dictionary).to_numpy()
+            rank = np.empty(len(order), np.int64)  # places follow the order of the tokens
+            rank[order] = np.arange(len(order))
+            doc = np.repeat(np.arange(to - at), length[at:to])
+            key, count = np.unique(doc * max(1, len(order)) + rank[coded.indices.to_numpy()], return_counts=True)
+            doc, place = np.divmod(key, max(1, len(order)))
+            tokens = tokens.take(pa.array(order))
+            if len(tokens) and tokens[0].as_py() == "":  # only the ends of a split text can be blank
+                doc, place, count, tokens = doc[place > 0], place[place > 0] - 1, count[place > 0], tokens.slice(1)
+            has, first = np.unique(doc, return_index=True)
+            cut = pa.array(np.r_[first, len(doc)], pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int32())) for x in (place, count)]
+            n, whole = len(has), pa.array([0, len(tokens)], pa.int32())
+            total = np.bincount(place, count, len(tokens)).astype(np.int64)
+            rows = [pa.array(np.full(n, number), pa.int64()), ids.take(pa.array(has + at)), *lists, pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))]
+            listed = [pa.array([number], pa.int64()), pa.nulls(1, ids.type), *[pa.nulls(1, pa.list_(pa.int32()))] * 2,
+                      pa.ListArray.from_arrays(whole, tokens.cast(pa.string())), pa.ListArray.from_arrays(whole, pa.array(total))]
+            if n:
+                for x in (rows, listed):
+                    yield pa.RecordBatch.from_arrays(x, names=["block", names[0], "places", "counts", "tokens", "totals"])
+            at, number = to, number + 1
+
+
+def token_blocks(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The words of every row of ``df`` (``tokenize``), counted per row and in blocks of rows: a row (block, id,
+    places, counts) per text with words, and a row (block, tokens, totals) per block with its distinct
+    tokens in order, which the places refer to. Written once; rows that share an id stay apart."""
+    kind = df.schema[id_col].dataType.simpleString()
+    split = df.select(F.col(id_col), F.split(F.lower(F.col(text)), WORD_SPLIT).alias("_w"))
+    return written(split.mapInArrow(_fold_blocks, f"block long, `{id_col}` {kind}, places array<int>, counts array<int>, tokens array<string>, totals array<long>"), "token-blocks")
+
+
+def block_tokens(blocks: DataFrame) -> DataFrame:
+    """(block, place, token, cnt): every distinct token of every block, with its count there."""
+    z = blocks.where("tokens IS NOT NULL").select("block", F.posexplode(F.arrays_zip("tokens", "totals")).alias("place", "_t"))
+    return z.select("block", "place", F.col("_t.tokens").alias("token"), F.col("_t.totals").alias("cnt"))
+
+
+def top_tokens(blocks: DataFrame, id_col: str) -> DataFrame:
+    """(token): every document's most frequent token, of equally frequent ones the first; distinct. A document
+    in one row has its place at hand; those in several rows are counted over all of them."""
+    docs = blocks.where("tokens IS NULL").select("block", F.col(id_col).alias("_id"), "places", "counts")
+    again = written(docs.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("_id").alias("_again")), "repeated-ids")
+    same = F.col("_id").eqNullSafe(F.col("_again"))
+    best = F.array_position("counts", F.array_max("counts")).cast("int")  # the first one: places ascend
+    named = block_tokens(blocks).select("block", "place", "token")
+    once = docs.join(again, same, "left_anti").select("block", F.element_at("places", best).alias("place")).distinct().join(named, ["block", "place"]).select("token")
+    rows = docs.join(again, same, "left_semi").select("block", "_id", F.explode(F.arrays_zip("places", "counts")).alias("_e"))
+    rows = rows.select("block", "_id", F.col("_e.places").alias("place"), F.col("_e.counts").alias("cnt")).join(named, ["block", "place"])
+    rows = rows.groupBy("_id", "token").agg(F.sum("cnt").alias("cnt"))
+    more = rows.groupBy("_id").agg(F.min(F.struct((-F.col("cnt")).alias("n"), "token")).alias("_m")).select("_m.token")
+    return once.unionByName(more).distinct()
+
+
 def build_vocab(tokens: DataFrame) -> DataFrame:
     """A16 + L3: token, n, p = n/Σn, logp = ln p, token_id = rank by (n desc, token) from 0.
 
@@ -89,20 +170,95 @@ def vector_dim(vectors: DataFrame, vec: str = "embedding") -> int:
     return int(row[0]) if row else 0
 
 
+def gather(blocks: DataFrame, tokens: DataFrame, vectors: DataFrame, id_col: str, dim: int,
+           weight: Column | None = None, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(id, n, _ws, _s0 ...): per document the number of gathered vectors, Σ w·cnt and Σ w·cnt·v.
+
+    ``blocks`` are the documents (``token_blocks``), ``tokens`` their ``block_tokens`` with the vector id
+    ``vid``. Each block gets one row per vector id, with the places that have it and their weights; it is
+    joined with the vectors, and meets its documents by block. A block is bounded, whatever the tables' size."""
+    float_type = vectors.schema[vec].dataType.simpleString() == "array<float>"
+    v = F.col(vec) if float_type else F.col(vec).cast("array<double>")
+    v = F.array(*[v[i] for i in range(dim)]).cast("array<float>" if float_type else "array<double>")
+    w = (weight if weight is not None else F.lit(1.0)).cast("double")
+    places = tokens.groupBy("block", "vid").agg(F.collect_list(F.struct("place", w.alias("w"))).alias("_p"))
+    places = places.join(vectors.select(F.col(vec_id).alias("vid"), v.alias("v")), "vid").select("block", "vid", F.col("_p.place").alias("places"), F.col("_p.w").alias("ws"), "v")
+    names = [id_col, "n", "_ws", "_s"]
+
+    def block_sums(docs: pa.Table, found: pa.Table) -> pa.Table:
+        kinds = [docs.schema.field(id_col).type, pa.int64(), pa.float64(), pa.list_(pa.float64())]
+        if not len(found) or not len(docs):
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        at, count = (docs[c].combine_chunks() for c in ("places", "counts"))
+        doc = np.repeat(np.arange(len(docs)), at.value_lengths().to_numpy())
+        at, count = at.flatten().to_numpy(), count.flatten().to_numpy()
+        # a vector id in several rows counts with each of them
+        vid, row = np.unique(found["vid"].to_numpy(), return_inverse=True)
+        times = np.bincount(row).astype(np.int64)
+        flat = found["v"].combine_chunks().flatten()
+        gaps = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(row), dim) if flat.null_count else None
+        value, there = np.zeros((len(vid), dim)), None
+        np.add.at(value, row, flat.fill_null(0).to_numpy().astype(float).reshape(len(row), dim))
+        if gaps is not None:
+            there = np.zeros((len(vid), dim), np.int64)
+            np.add.at(there, row, ~gaps)
+        listed = found["places"].combine_chunks()
+        place, owner = listed.flatten().to_numpy(), np.repeat(row, listed.value_lengths().to_numpy())
+        of, weigh = np.full(int(max(at.max(), place.max())) + 1, -1), np.zeros(int(max(at.max(), place.max())) + 1)
+        of[place], weigh[place] = owner, found["ws"].combine_chunks().flatten().to_numpy()
+        keep = of[at] >= 0
+        doc, at, count = doc[keep], at[keep], count[keep].astype(np.int64)
+        has, first = np.unique(doc, return_index=True)
+        if not len(has):
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        r, ww = of[at], weigh[at] * count
+        n, ws = np.add.reduceat(count * times[r], first), np.add.reduceat(ww * times[r], first)
+        sums, some = np.zeros((len(has), dim)), np.ones((len(has), dim), bool)
+        end = np.r_[first[1:], len(r)]
+        lo = 0
+        while lo < len(has):  # a bounded number of entries at a time; a long text alone, piece by piece
+            hi = max(lo + 1, int(np.searchsorted(end, first[lo] + GATHER_ROWS, "right")))
+            if hi == lo + 1:
+                for a in range(first[lo], end[lo], GATHER_ROWS):
+                    b = min(a + GATHER_ROWS, end[lo])
+                    sums[lo] += ww[a:b] @ value[r[a:b]]
+            else:
+                a, b = first[lo], end[hi - 1]
+                sums[lo:hi] = np.add.reduceat(value[r[a:b]] * ww[a:b, None], first[lo:hi] - a, axis=0)
+            if there is not None:
+                some[lo:hi] = np.add.reduceat(there[r[first[lo]:end[hi - 1]]], first[lo:hi] - first[lo], axis=0) > 0
+            lo = hi
+        flat = pa.array(sums.reshape(-1), mask=None if there is None else ~some.reshape(-1))
+        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * dim, pa.int32()), flat)
+        return pa.table([docs[id_col].combine_chunks().take(pa.array(has)), pa.array(n), pa.array(ws), listed], names=names)
+
+    docs = blocks.where("tokens IS NULL").select(F.col("block").alias("_block"), id_col, "places", "counts")
+    kind = docs.schema[id_col].dataType.simpleString()
+    part = docs.groupBy("_block").cogroup(places.groupBy("block")).applyInArrow(block_sums, f"`{id_col}` {kind}, n long, _ws double, _s array<double>")
+    # rows that share an id are one document
+    return part.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum("_ws").alias("_ws"), *[F.sum(F.col("_s")[i]).alias(f"_s{i}") for i in range(dim)])
+
+
 def pool(doc_tokens: DataFrame, vectors: DataFrame, id_col: str, dim: int,
          weight: Column | None = None, vec_id: str = "vec_id", vec: str = "embedding",
-         l2: bool = True) -> DataFrame:
+         l2: bool = True, blocks: DataFrame | None = None) -> DataFrame:
     """A14 (weight = SIF) / A15 (weight = 1): Σ w·cnt·v / Σ w·cnt per document, optionally
-    L2-normalised. ``doc_tokens`` holds (id, vid, cnt[, logp]).
+    L2-normalised. ``doc_tokens`` holds (id, vid, cnt[, logp]), or with ``blocks`` the tokens of these
+    blocks (block, place, vid[, logp]), which moves far less (``gather``).
 
-    The vector table is joined on its id without a hint: when its measured size is under the
-    broadcast threshold it is broadcast, otherwise a shuffle join with AQE skew splitting."""
+    Without blocks the vector table is joined on its id without a hint: when its measured size is under
+    the broadcast threshold it is broadcast, otherwise a shuffle join with AQE skew splitting."""
+    if blocks is not None:
+        return _mean(gather(blocks, doc_tokens, vectors, id_col, dim, weight, vec_id, vec), id_col, dim, l2)
     w = (weight if weight is not None else F.lit(1.0)) * F.col("cnt")
     vt = vectors.select(F.col(vec_id).alias("vid"), F.col(vec).cast("array<double>").alias("_v"))
     # the many tokens without a vector share id 0: folded to one row per document before the join
     j = doc_tokens.groupBy(id_col, "vid").agg(F.sum(w).alias("_w")).join(vt, "vid")
     sums = [F.sum(F.col("_w") * F.col("_v")[i]).alias(f"_s{i}") for i in range(dim)]
-    agg = j.groupBy(id_col).agg(F.sum("_w").alias("_ws"), *sums)
+    return _mean(j.groupBy(id_col).agg(F.sum("_w").alias("_ws"), *sums), id_col, dim, l2)
+
+
+def _mean(agg: DataFrame, id_col: str, dim: int, l2: bool) -> DataFrame:
     v = F.array(*[F.when(F.col("_ws") > 0, F.col(f"_s{i}") / F.col("_ws")).otherwise(F.col(f"_s{i}"))
                   for i in range(dim)])
     out = agg.select(id_col, v.alias("vector"))
@@ -153,9 +309,6 @@ def cosine_matrix(probes: DataFrame, vectors: DataFrame | None = None, pid: str
     A blocked matrix product: probes and vectors become blocks of bounded size, every pair of blocks is
     one row, joined on (probe block, vector block), so the product of any size is spread evenly over
     the tasks, and a task holds two blocks at a time. The probe list may be any table."""
-    import numpy as np
-    import pyarrow as pa
-
     own = vectors is None
     a = _blocks(probes, pid, vec, PROBE_BLOCK, "a")
     b = _blocks(probes, pid, vec, PROBE_BLOCK, "b") if own else _blocks(vectors, vid, vec, VECTOR_BLOCK, "b")
@@ -205,6 +358,6 @@ def attention_mask(pad_mask) -> Column:
     return F.transform(c, lambda m: F.when(m, F.lit(0)).otherwise(F.lit(1)))
 
 
-__all__ = ["tokenize", "token_counts", "build_vocab", "attach_token_ids", "sif_weight", "pool",
+__all__ = ["tokenize", "token_counts", "token_blocks", "block_tokens", "top_tokens", "build_vocab", "attach_token_ids", "sif_weight", "gather", "pool",
            "idf_weights", "weight_summary", "centroid_cosine", "cosine_matrix", "class_centroids", "pad_ids",
            "attention_mask", "vector_dim"]

@@ -375,7 +375,8 @@ def m3_generate_with(spark, d):
 def _pooled_groups(spark, d):
     from labelforge.plans.catalog_vectors import _pooled_ids
     emb = table(spark, d, "embeddings")
-    pooled = E.pool(_pooled_ids(spark, d), emb, "doc_id", E.vector_dim(emb), weight=E.sif_weight("logp"))
+    blocks, ids = _pooled_ids(spark, d)
+    pooled = E.pool(ids, emb, "doc_id", E.vector_dim(emb), weight=E.sif_weight("logp"), blocks=blocks)
     # Model fitting passes over its input many times: cut the lineage once with a reliable
     # checkpoint in the shared checkpoint folder (survives executor loss, unlike a local one).
     return V.groups(spark, d).select("doc_id", "grp", "y").join(pooled, "doc_id").checkpoint(eager=True)
@@ -425,14 +426,11 @@ dv AS (SELECT dt.doc_id, dt.cnt, CASE WHEN v.token_id < (SELECT count(*) FROM em
 def j7_token_vectors(spark, d):
     """Every token occurrence gathers its vector (by token id; ids past the table → 0); the sum of
     the gathered vectors per document, all dimensions."""
-    from labelforge.operators.embed import vector_dim
     from labelforge.plans.catalog_vectors import _pooled_ids
     emb = table(spark, d, "embeddings")
-    ids = _pooled_ids(spark, d)
-    ids = ids.groupBy("doc_id", "vid").agg(F.sum("cnt").alias("cnt"))
-    j = ids.join(emb.select(F.col("vec_id").alias("vid"), F.col("embedding").cast("array<double>").alias("v")), "vid")
-    dims = range(vector_dim(emb))
-    s = j.groupBy("doc_id").agg(F.sum("cnt").alias("n_gathered"), *[F.sum(F.col("cnt") * F.col("v")[i]).alias(f"_s{i}") for i in dims])
+    blocks, ids = _pooled_ids(spark, d)
+    dims = range(E.vector_dim(emb))
+    s = E.gather(blocks, ids, emb, "doc_id", len(dims)).withColumnRenamed("n", "n_gathered")
     s = s.select("doc_id", "n_gathered", F.posexplode(F.array(*[F.col(f"_s{i}") for i in dims])).alias("dim", "value"))
     return s.select("doc_id", "n_gathered", F.col("dim").cast("long").alias("dim"), round4("value").alias("value"))
 

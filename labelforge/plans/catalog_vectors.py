@@ -17,6 +17,7 @@ from labelforge.operators.position import key_position
 from labelforge.plans import views as V
 from labelforge.plans.catalog import MAX_LEN, register
 from labelforge.plans.oracle_sql import q, r4
+from labelforge.session import written
 from labelforge.sources.tables import table
 
 # Fixed-weight scorer of the registered scoring queries: w_i = ((i mod 3) - 1) / 2, b = 0.1.
@@ -138,18 +139,19 @@ nrm AS (SELECT doc_id, sqrt(sum(m * m)) AS nr FROM s GROUP BY doc_id)""")
 
 
 def _pooled_ids(spark, d):
-    """(doc_id, token, cnt, logp, vid): per-document token counts with their log-probability
-    and vector id (rank below the vector-table size, else 0)."""
+    """The documents as token blocks, and (block, place, token, cnt, logp, vid): the tokens of each block
+    with their log-probability and vector id (rank below the vector-table size, else 0)."""
     size = table(spark, d, "embeddings").agg(F.count(F.lit(1))).scalar()
-    counts = V.doc_token_counts(spark, d)
-    return E.attach_token_ids(counts, V.vocab(spark, d), size, folded=True)
+    blocks = V.doc_blocks(spark, d)
+    tokens = E.block_tokens(blocks)
+    return blocks, E.attach_token_ids(tokens, E.build_vocab(tokens), size, folded=True)
 
 
 def _pooled(spark, d, sif: bool, l2: bool):
     emb = table(spark, d, "embeddings")
-    ids = _pooled_ids(spark, d)
+    blocks, ids = _pooled_ids(spark, d)
     w = E.sif_weight("logp") if sif else None
-    p = E.pool(ids, emb, "doc_id", _dim(spark, d), weight=w, l2=l2)
+    p = E.pool(ids, emb, "doc_id", _dim(spark, d), weight=w, l2=l2, blocks=blocks)
     return p.select("doc_id", F.posexplode("vector").alias("dim", "value")).select(
         "doc_id", F.col("dim").cast("long").alias("dim"), round4("value").alias("value"))
 
@@ -196,10 +198,10 @@ pr AS (SELECT v.token_id, e.embedding::DOUBLE[] AS v FROM top JOIN vocab v USING
 def j9_probe_pairs(spark, d):
     """Cosine of the unique pairs of a probe list: every document's most frequent word (of equally
     frequent ones the first), as far as the word has a vector."""
-    per = V.doc_token_counts(spark, d)
-    top = per.groupBy("doc_id").agg(F.min(F.struct((-F.col("cnt")).alias("n"), "token")).alias("m")).select("m.token").distinct()
+    blocks = V.doc_blocks(spark, d)
     vecs = table(spark, d, "embeddings").select(F.col("vec_id").alias("token_id"), "embedding")
-    probes = V.vocab(spark, d).select("token", "token_id").join(top, "token", "left_semi").join(vecs, "token_id")
+    vocab = E.build_vocab(E.block_tokens(blocks)).select("token", "token_id")
+    probes = written(vocab.join(E.top_tokens(blocks, "doc_id"), "token", "left_semi").join(vecs, "token_id"), "probes")
     p = E.cosine_matrix(probes, pid="token_id")
     return p.select("id_a", "id_b", round4("cosine").alias("cosine"))
 

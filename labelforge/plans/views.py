@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelforge.operators.embed import build_vocab, token_counts, tokenize
+from labelforge.operators.embed import build_vocab, token_blocks, token_counts, tokenize
 from labelforge.operators.split import exact_split
 from labelforge.sources.tables import table
 
@@ -72,6 +72,11 @@ def doc_token_counts(spark: SparkSession, d: str) -> DataFrame:
     return token_counts(doc_tokens(spark, d), "doc_id")
 
 
+def doc_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as token blocks: counted per document and per block in one pass over the texts."""
+    return token_blocks(table(spark, d, "documents"), "doc_id", "text")
+
+
 def vocab(spark: SparkSession, d: str) -> DataFrame:
     """Counted straight from the occurrences: the map-side partial count folds a hot token
     before the shuffle (cheaper than going through the wider (doc, token) pre-aggregate)."""
