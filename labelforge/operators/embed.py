@@ -111,6 +111,8 @@ def top_tokens(blocks: DataFrame, id_col: str) -> DataFrame:
     best = F.array_position("counts", F.array_max("counts")).cast("int")  # the first one: places ascend
     named = block_tokens(blocks).select("block", "place", "token")
     once = docs.join(again, same, "left_anti").select("block", F.element_at("places", best).alias("place")).distinct().join(named, ["block", "place"]).select("token")
+    if not again.limit(1).count():
+        return once.distinct()
     rows = docs.join(again, same, "left_semi").select("block", "_id", F.explode(F.arrays_zip("places", "counts")).alias("_e"))
     rows = rows.select("block", "_id", F.col("_e.places").alias("place"), F.col("_e.counts").alias("cnt")).join(named, ["block", "place"])
     rows = rows.groupBy("_id", "token").agg(F.sum("cnt").alias("cnt"))
