@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20  # text handled at once inside a task: bounds numpy's temporaries
+CHUNK_BYTES = 1 << 19  # text handled at once inside a task: bounds numpy's temporaries
 
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
