@@ -47,59 +47,94 @@ def token_counts(tokens: DataFrame, id_col) -> DataFrame:
     return tokens.groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("cnt"))
 
 
-BLOCK_TOKENS = 1 << 22   # words of a block, unless one text has more
+BLOCK_TOKENS = 1 << 24   # words of a block, unless one text has more
+BLOCK_DOCS = 1 << 15     # texts of a block
+BLOCK_NAMES = 1 << 21    # distinct words of a block, counted per piece, unless one piece has more
+PIECE_TOKENS = 1 << 21   # words folded at a time, unless one text has more
+NAMES_ROW = 1 << 16      # distinct words in a row of the result
+GATHER_DOCS = 1 << 11    # documents of a block summed at a time
 GATHER_ROWS = 1 << 15    # (document, token) entries multiplied at a time
 
 
-def _fold_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        names, (ids, words) = batch.schema.names, (batch.column(0), batch.column(1))
-        length = words.value_lengths().fill_null(0).to_numpy()
-        ends = np.cumsum(length, dtype=np.int64)
-        at = 0
-        while at < len(ids):
-            before = int(ends[at - 1]) if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_TOKENS, "right")))
-            coded = words.slice(at, to - at).flatten().dictionary_encode()
-            tokens, order = coded.dictionary, pc.sort_indices(coded.dictionary).to_numpy()
-            rank = np.empty(len(order), np.int64)  # places follow the order of the tokens
-            rank[order] = np.arange(len(order))
-            doc = np.repeat(np.arange(to - at), length[at:to])
-            key, count = np.unique(doc * max(1, len(order)) + rank[coded.indices.to_numpy()], return_counts=True)
-            doc, place = np.divmod(key, max(1, len(order)))
-            tokens = tokens.take(pa.array(order))
-            if len(tokens) and tokens[0].as_py() == "":  # only the ends of a split text can be blank
-                doc, place, count, tokens = doc[place > 0], place[place > 0] - 1, count[place > 0], tokens.slice(1)
-            has, first = np.unique(doc, return_index=True)
-            cut = pa.array(np.r_[first, len(doc)], pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array(x, pa.int32())) for x in (place, count)]
-            n, whole = len(has), pa.array([0, len(tokens)], pa.int32())
-            total = np.bincount(place, count, len(tokens)).astype(np.int64)
-            rows = [pa.array(np.full(n, number), pa.int64()), ids.take(pa.array(has + at)), *lists, pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))]
-            listed = [pa.array([number], pa.int64()), pa.nulls(1, ids.type), *[pa.nulls(1, pa.list_(pa.int32()))] * 2,
-                      pa.ListArray.from_arrays(whole, tokens.cast(pa.string())), pa.ListArray.from_arrays(whole, pa.array(total))]
-            if n:
-                for x in (rows, listed):
-                    yield pa.RecordBatch.from_arrays(x, names=["block", names[0], "places", "counts", "tokens", "totals"])
-            at, number = to, number + 1
-
-
-def token_blocks(df: DataFrame, id_col: str, text: str) -> DataFrame:
+def _fold_piece(ids: pa.Array, words: pa.ListArray) -> tuple:
+    """(ids of the texts with words, where their entries begin and end, places, counts, distinct tokens in order, totals)"""
+    length = words.value_lengths().fill_null(0).to_numpy()
+    coded = words.flatten().dictionary_encode()
+    tokens, order = coded.dictionary, pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)  # places follow the order of the tokens
+    rank[order] = np.arange(len(order))
+    doc = np.repeat(np.arange(len(ids)), length)
+    key, count = np.unique(doc * max(1, len(order)) + rank[coded.indices.to_numpy()], return_counts=True)
+    doc, place = np.divmod(key, max(1, len(order)))
+    tokens = tokens.take(pa.array(order)).cast(pa.string())
+    if len(tokens) and tokens[0].as_py() == "":  # only the ends of a split text can be blank
+        doc, place, count, tokens = doc[place > 0], place[place > 0] - 1, count[place > 0], tokens.slice(1)
+    has, first = np.unique(doc, return_index=True)
+    total = np.bincount(place, count, len(tokens)).astype(np.int64)
+    return ids.take(pa.array(has)), np.r_[first, len(doc)].astype(np.int32), place.astype(np.int32), count.astype(np.int32), tokens, total
+
+
+def _block_rows(number: int, pieces: list[tuple], names: list[str]) -> Iterator[pa.RecordBatch]:
+    coded = pa.concat_arrays([x[4] for x in pieces]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.arange(len(order))
+    tokens, at, code = coded.dictionary.take(pa.array(order)), 0, coded.indices.to_numpy()
+    total = np.zeros(len(order), np.int64)
+    for ids, cut, place, count, own, own_total in pieces:
+        mine = rank[code[at:at + len(own)]]  # ascends, as the piece's own places do
+        at += len(own)
+        total[mine] += own_total
+        n, cut = len(ids), pa.array(cut)
+        lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (mine[place], count)]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), ids, *lists, pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+    for lo in range(0, len(tokens), NAMES_ROW):
+        part, sums = tokens.slice(lo, NAMES_ROW), pa.array(total[lo:lo + NAMES_ROW])
+        whole = pa.array([0, len(part)], pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pieces[0][0].type), *[pa.nulls(1, pa.list_(pa.int32()))] * 2, pa.array([lo], pa.int32()),
+                                          pa.ListArray.from_arrays(whole, part), pa.ListArray.from_arrays(whole, sums)], names=names)
+
+
+def token_blocks(df: DataFrame, id_col: str, text: str, words: int = BLOCK_TOKENS, texts: int = BLOCK_DOCS) -> DataFrame:
     """The words of every row of ``df`` (``tokenize``), counted per row and in blocks of rows: a row (block, id,
-    places, counts) per text with words, and a row (block, tokens, totals) per block with its distinct
-    tokens in order, which the places refer to. Written once; rows that share an id stay apart."""
+    places, counts) per text with words, and rows (block, start, tokens, totals) per block with its distinct
+    tokens in order, from place ``start`` on, which the places refer to. A block goes on from one Arrow batch
+    to the next, up to ``words`` words or ``texts`` texts: the larger it is, the fewer times a token is named.
+    Written once; rows that share an id stay apart."""
     kind = df.schema[id_col].dataType.simpleString()
     split = df.select(F.col(id_col), F.split(F.lower(F.col(text)), WORD_SPLIT).alias("_w"))
-    return written(split.mapInArrow(_fold_blocks, f"block long, `{id_col}` {kind}, places array<int>, counts array<int>, tokens array<string>, totals array<long>"), "token-blocks")
+    names = ["block", id_col, "places", "counts", "start", "tokens", "totals"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, pieces, held, rows, named = TaskContext.get().partitionId() << 32, [], 0, 0, 0
+        for batch in batches:
+            ids, split = batch.column(0), batch.column(1)
+            ends = np.cumsum(split.value_lengths().fill_null(0).to_numpy(), dtype=np.int64)
+            at = 0
+            while at < len(ids):
+                before = int(ends[at - 1]) if at else 0
+                to = int(np.searchsorted(ends, before + min(words - held, PIECE_TOKENS), "right"))
+                to = max(at + (not pieces), min(to, at + texts - rows))
+                if to > at:
+                    pieces.append(_fold_piece(ids.slice(at, to - at), split.slice(at, to - at)))
+                    held, rows, named = held + int(ends[to - 1]) - before, rows + to - at, named + len(pieces[-1][4])
+                if to == at or held >= words or rows >= texts or named >= BLOCK_NAMES:
+                    yield from _block_rows(number, pieces, names)
+                    number, pieces, held, rows, named = number + 1, [], 0, 0, 0
+                at = to
+        if pieces:
+            yield from _block_rows(number, pieces, names)
+
+    return written(split.mapInArrow(fold, f"block long, `{id_col}` {kind}, places array<int>, counts array<int>, start int, tokens array<string>, totals array<long>"), "token-blocks")
 
 
 def block_tokens(blocks: DataFrame) -> DataFrame:
     """(block, place, token, cnt): every distinct token of every block, with its count there."""
-    z = blocks.where("tokens IS NOT NULL").select("block", F.posexplode(F.arrays_zip("tokens", "totals")).alias("place", "_t"))
-    return z.select("block", "place", F.col("_t.tokens").alias("token"), F.col("_t.totals").alias("cnt"))
+    z = blocks.where("tokens IS NOT NULL").select("block", "start", F.posexplode(F.arrays_zip("tokens", "totals")).alias("_at", "_t"))
+    return z.select("block", (F.col("start") + F.col("_at")).alias("place"), F.col("_t.tokens").alias("token"), F.col("_t.totals").alias("cnt"))
 
 
 def top_tokens(blocks: DataFrame, id_col: str) -> DataFrame:
@@ -189,50 +224,59 @@ def gather(blocks: DataFrame, tokens: DataFrame, vectors: DataFrame, id_col: str
 
     def block_sums(docs: pa.Table, found: pa.Table) -> pa.Table:
         kinds = [docs.schema.field(id_col).type, pa.int64(), pa.float64(), pa.list_(pa.float64())]
+        none = pa.table([pa.array([], k) for k in kinds], names=names)
         if not len(found) or not len(docs):
-            return pa.table([pa.array([], k) for k in kinds], names=names)
-        at, count = (docs[c].combine_chunks() for c in ("places", "counts"))
-        doc = np.repeat(np.arange(len(docs)), at.value_lengths().to_numpy())
-        at, count = at.flatten().to_numpy(), count.flatten().to_numpy()
-        # a vector id in several rows counts with each of them
+            return none
         vid, row = np.unique(found["vid"].to_numpy(), return_inverse=True)
         times = np.bincount(row).astype(np.int64)
         flat = found["v"].combine_chunks().flatten()
         gaps = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(row), dim) if flat.null_count else None
-        value, there = np.zeros((len(vid), dim)), None
-        np.add.at(value, row, flat.fill_null(0).to_numpy().astype(float).reshape(len(row), dim))
-        if gaps is not None:
-            there = np.zeros((len(vid), dim), np.int64)
-            np.add.at(there, row, ~gaps)
+        value, there = flat.fill_null(0).to_numpy().reshape(len(row), dim), None if gaps is None else (~gaps).astype(np.int64)
+        if len(vid) == len(row):
+            row = np.arange(len(row))  # the vectors as they stand
+        else:  # a vector id in several rows counts with each of them
+            every, value = value, np.zeros((len(vid), dim))
+            np.add.at(value, row, every)
+            if gaps is not None:
+                every, there = there, np.zeros((len(vid), dim), np.int64)
+                np.add.at(there, row, every)
         listed = found["places"].combine_chunks()
         place, owner = listed.flatten().to_numpy(), np.repeat(row, listed.value_lengths().to_numpy())
-        of, weigh = np.full(int(max(at.max(), place.max())) + 1, -1), np.zeros(int(max(at.max(), place.max())) + 1)
+        of, weigh = np.full(int(place.max()) + 1, -1), np.zeros(int(place.max()) + 1)
         of[place], weigh[place] = owner, found["ws"].combine_chunks().flatten().to_numpy()
-        keep = of[at] >= 0
-        doc, at, count = doc[keep], at[keep], count[keep].astype(np.int64)
-        has, first = np.unique(doc, return_index=True)
-        if not len(has):
-            return pa.table([pa.array([], k) for k in kinds], names=names)
-        r, ww = of[at], weigh[at] * count
-        n, ws = np.add.reduceat(count * times[r], first), np.add.reduceat(ww * times[r], first)
-        sums, some = np.zeros((len(has), dim)), np.ones((len(has), dim), bool)
-        end = np.r_[first[1:], len(r)]
-        lo = 0
-        while lo < len(has):  # a bounded number of entries at a time; a long text alone, piece by piece
-            hi = max(lo + 1, int(np.searchsorted(end, first[lo] + GATHER_ROWS, "right")))
-            if hi == lo + 1:
-                for a in range(first[lo], end[lo], GATHER_ROWS):
-                    b = min(a + GATHER_ROWS, end[lo])
-                    sums[lo] += ww[a:b] @ value[r[a:b]]
-            else:
-                a, b = first[lo], end[hi - 1]
-                sums[lo:hi] = np.add.reduceat(value[r[a:b]] * ww[a:b, None], first[lo:hi] - a, axis=0)
-            if there is not None:
-                some[lo:hi] = np.add.reduceat(there[r[first[lo]:end[hi - 1]]], first[lo:hi] - first[lo], axis=0) > 0
-            lo = hi
-        flat = pa.array(sums.reshape(-1), mask=None if there is None else ~some.reshape(-1))
-        listed = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * dim, pa.int32()), flat)
-        return pa.table([docs[id_col].combine_chunks().take(pa.array(has)), pa.array(n), pa.array(ws), listed], names=names)
+
+        def sums_of(docs: pa.RecordBatch) -> pa.Table:
+            at, count = docs["places"], docs["counts"]
+            doc = np.repeat(np.arange(len(docs)), at.value_lengths().to_numpy())
+            at, count = at.flatten().to_numpy(), count.flatten().to_numpy()
+            keep = of.take(at, mode="clip") >= 0
+            keep &= at < len(of)
+            doc, at, count = doc[keep], at[keep], count[keep].astype(np.int64)
+            has, first = np.unique(doc, return_index=True)
+            if not len(has):
+                return none
+            r, ww = of[at], weigh[at] * count
+            n, ws = np.add.reduceat(count * times[r], first), np.add.reduceat(ww * times[r], first)
+            sums, some = np.zeros((len(has), dim)), np.ones((len(has), dim), bool)
+            end = np.r_[first[1:], len(r)]
+            lo = 0
+            while lo < len(has):  # a bounded number of entries at a time; a long text alone, piece by piece
+                hi = max(lo + 1, int(np.searchsorted(end, first[lo] + GATHER_ROWS, "right")))
+                if hi == lo + 1:
+                    for a in range(first[lo], end[lo], GATHER_ROWS):
+                        b = min(a + GATHER_ROWS, end[lo])
+                        sums[lo] += ww[a:b] @ value[r[a:b]]
+                else:
+                    a, b = first[lo], end[hi - 1]
+                    sums[lo:hi] = np.add.reduceat(value[r[a:b]] * ww[a:b, None], first[lo:hi] - a, axis=0)
+                if there is not None:
+                    some[lo:hi] = np.add.reduceat(there[r[first[lo]:end[hi - 1]]], first[lo:hi] - first[lo], axis=0) > 0
+                lo = hi
+            flat = pa.array(sums.reshape(-1), mask=None if there is None else ~some.reshape(-1))
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * dim, pa.int32()), flat)
+            return pa.table([docs[id_col].take(pa.array(has)), pa.array(n), pa.array(ws), listed], names=names)
+
+        return pa.concat_tables([none, *(sums_of(x) for x in docs.to_batches(max_chunksize=GATHER_DOCS))])
 
     docs = blocks.where("tokens IS NULL").select(F.col("block").alias("_block"), id_col, "places", "counts")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -65,3 +65,33 @@ def test_the_norm_is_not_computed_for_every_element(spark):
     assert [r.v for r in df.collect()] == [[0.6, 0.8]]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "transform(" not in plan and "array_repeat(" in plan
+
+
+@pytest.mark.parametrize("words, texts", [(1 << 24, 1 << 15), (6, 100), (100, 3), (1, 1)])
+def test_blocks_go_on_from_batch_to_batch(spark, docs, words, texts):
+    """A block's size depends on its words and texts, not on the Arrow batches: fewer blocks name a token again."""
+    blocks = E.token_blocks(docs, "doc_id", "text", words, texts)
+    per = blocks.where("tokens IS NULL").groupBy("block").agg(F.count("*").alias("n"), F.sum(F.aggregate("counts", F.lit(0), lambda a, x: a + x)).alias("w")).collect()
+    assert all(r.n <= texts and (r.w <= words or r.n == 1) for r in per)
+    if words > 100:
+        assert len(per) == 1  # one for every two rows before, with batches of two
+        assert E.block_tokens(blocks).count() == E.tokenize(docs, "doc_id", "text").select("token").distinct().count()
+    z = blocks.where("tokens IS NULL").select("block", "doc_id", F.explode(F.arrays_zip("places", "counts")).alias("z"))
+    z = z.select("block", "doc_id", F.col("z.places").alias("place"), F.col("z.counts").alias("n"))
+    got = z.join(E.block_tokens(blocks), ["block", "place"]).groupBy("doc_id", "token").agg(F.sum("n").alias("n"))
+    want = E.token_counts(E.tokenize(docs, "doc_id", "text"), "doc_id")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    vec = spark.createDataFrame(VECTORS, "vec_id bigint, embedding array<float>")
+    held = E.attach_token_ids(E.block_tokens(blocks), E.build_vocab(E.block_tokens(blocks)), 7, folded=True)
+    tokens = E.tokenize(docs, "doc_id", "text")
+    plain = E.attach_token_ids(want, E.build_vocab(tokens), 7, folded=True)
+    assert rows(E.pool(held, vec, "doc_id", 2, blocks=blocks)) == rows(E.pool(plain, vec, "doc_id", 2))
+
+
+def test_the_tokens_of_a_large_block_come_in_rows_of_bounded_size(spark):
+    n = E.NAMES_ROW + 100
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))))
+    blocks = E.token_blocks(spark.range(0, 2, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")), "doc_id", "text")
+    assert blocks.agg(F.max(F.size("tokens"))).first()[0] <= E.NAMES_ROW
+    t = E.block_tokens(blocks)
+    assert t.agg(F.count("*"), F.countDistinct("place"), F.max("place"), F.min("cnt"), F.max("cnt")).first() == (n, n, n - 1, 2, 2)
