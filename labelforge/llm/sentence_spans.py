@@ -133,14 +133,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["key", "doc_id", "n_sentences", "n_removed", "removed", "text", "first_doc_ids"])
 
 
-ID_STEP = 10**19  # doc_id * ID_STEP + key orders rows by (doc_id, key); 38 digits hold both
+ID_STEP = 10**19  # doc_id * ID_STEP + key / 2 orders rows by (doc_id, key); 38 digits hold both. Whole keys span 2 ** 64, more than a step
 
 
 def _order(doc_id: Column, key: Column) -> Column:
     """A row's place among all rows, as one fixed-size number: by doc_id, null last, then key."""
     wide = "decimal(38,0)"
     ident = F.coalesce(doc_id.cast("decimal(19,0)"), F.lit(Decimal(93 * 10**17)))
-    return ((ident * F.lit(Decimal(ID_STEP))).cast(wide) + key.cast("decimal(19,0)")).cast(wide)
+    return ((ident * F.lit(Decimal(ID_STEP))).cast(wide) + F.shiftright(key, 1).cast("decimal(19,0)")).cast(wide)
 
 
 def _repeats(docs: DataFrame, doc_id: str, text: str, min_sentences: int, min_words: int) -> tuple[Column, DataFrame]:
