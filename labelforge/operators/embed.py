@@ -54,6 +54,9 @@ PIECE_TOKENS = 1 << 21   # words folded at a time, unless one text has more
 NAMES_ROW = 1 << 16      # distinct words in a row of the result
 GATHER_DOCS = 1 << 11    # documents of a block summed at a time
 GATHER_ROWS = 1 << 15    # (document, token) entries multiplied at a time
+GATHER_WAVES = 2         # runs of blocks a core, each summed by one task
+HELD_VECTORS = 1 << 20   # vectors that such a task holds, unless one block needs more
+PACK_ROWS = 1 << 17      # (place, vector id) entries packed at a time
 
 
 def _fold_piece(ids: pa.Array, words: pa.ListArray) -> tuple:
@@ -207,80 +210,158 @@ def vector_dim(vectors: DataFrame, vec: str = "embedding") -> int:
     return int(row[0]) if row else 0
 
 
+def _block_runs(blocks: DataFrame, vectors: DataFrame) -> tuple[int, Column]:
+    """(number of runs, run of a block): blocks of neighbouring tasks are gathered together, a run gets each of its
+    vectors once. At most GATHER_WAVES runs a core, so the vectors sent grow with the vector table only and not with
+    the blocks too; where the table is larger than HELD_VECTORS, every block is a run, which bounds what it holds."""
+    task, number = F.shiftright("block", 32), F.col("block").bitwiseAND(F.lit((1 << 32) - 1))
+    last = blocks.agg(F.max(task), F.max(number)).first()
+    tasks, most = [1 + (x or 0) for x in last]
+    cores, large = blocks.sparkSession.sparkContext.defaultParallelism, vectors.count() > HELD_VECTORS
+    apart = most if large or tasks < cores else 1  # blocks of a task that may go to different runs
+    units = tasks * apart
+    runs = units if large else min(units, GATHER_WAVES * cores)
+    unit = task * F.lit(apart) + F.least(number, F.lit(apart - 1))
+    return runs, F.floor(unit * F.lit(runs) / F.lit(units)).cast("int")
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (block, place, vid, w) as rows (block, places, vids, ws), up to PACK_ROWS rows at a time."""
+    held = []
+
+    def rows() -> pa.RecordBatch:
+        block, *others = (pa.concat_arrays([x.column(i) for x in held]) for i in range(4))
+        block = block.to_numpy()
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        cut, order = pa.array(np.r_[first, len(block)], pa.int32()), pa.array(order)
+        return pa.RecordBatch.from_arrays([pa.array(block[first]), *[pa.ListArray.from_arrays(cut, x.take(order)) for x in others]], names=["block", "places", "vids", "ws"])
+
+    for batch in batches:
+        if len(batch):
+            held.append(batch)
+        if sum(map(len, held)) >= PACK_ROWS:
+            yield rows()
+            held = []
+    if held:
+        yield rows()
+
+
+def _held(found: list[pa.RecordBatch], dim: int) -> tuple:
+    """The vectors of a run: (ids in order, their values, which of these are not null, how often an id comes). Ids are ranks
+    by frequency, so the vectors of the commonest words lie together."""
+    vid, row = np.unique(np.concatenate([x["vids"].flatten().to_numpy() for x in found]), return_inverse=True)
+    flat = pa.concat_arrays([x["v"].flatten() for x in found])
+    gaps = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(row), dim) if flat.null_count else None
+    value, there = flat.fill_null(0).to_numpy().reshape(len(row), dim), None if gaps is None else (~gaps).astype(np.int64)
+    if len(vid) == len(row):  # the vectors as they stand
+        order = np.argsort(row)
+        return vid, value[order], there if there is None else there[order], np.ones(len(vid), np.int64)
+    every, value = value, np.zeros((len(vid), dim))  # a vector id in several rows counts with each of them
+    np.add.at(value, row, every)
+    if gaps is not None:
+        every, there = there, np.zeros((len(vid), dim), np.int64)
+        np.add.at(there, row, every)
+    return vid, value, there, np.bincount(row).astype(np.int64)
+
+
+def _places(found: list[pa.RecordBatch], vid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the vector ids, -1 for none; weight) by the places of a block."""
+    place, want, w = (np.concatenate([x[c].flatten().to_numpy() for x in found]) for c in ("places", "vids", "ws"))
+    at = np.minimum(np.searchsorted(vid, want), len(vid) - 1)
+    of, weigh = np.full(int(place.max()) + 1, -1), np.zeros(int(place.max()) + 1)
+    of[place], weigh[place] = np.where(vid[at] == want, at, -1), w
+    return of, weigh
+
+
+def _doc_sums(docs: pa.RecordBatch, id_col: str, dim: int, held: tuple, of: np.ndarray, weigh: np.ndarray) -> pa.RecordBatch | None:
+    """(id, n, _ws, _s) of documents of a block, whose words have these vectors and weights."""
+    _, value, there, times = held
+    at, count = docs["places"], docs["counts"]
+    doc = np.repeat(np.arange(len(docs)), at.value_lengths().to_numpy())
+    at, count = at.flatten().to_numpy(), count.flatten().to_numpy()
+    keep = of.take(at, mode="clip") >= 0
+    keep &= at < len(of)
+    doc, at, count = doc[keep], at[keep], count[keep].astype(np.int64)
+    has, first = np.unique(doc, return_index=True)
+    if not len(has):
+        return None
+    r, ww = of[at], weigh[at] * count
+    n, ws = np.add.reduceat(count * times[r], first), np.add.reduceat(ww * times[r], first)
+    sums, some = np.zeros((len(has), dim)), np.ones((len(has), dim), bool)
+    end = np.r_[first[1:], len(r)]
+    lo = 0
+    while lo < len(has):  # a bounded number of entries at a time; a long text alone, piece by piece
+        hi = max(lo + 1, int(np.searchsorted(end, first[lo] + GATHER_ROWS, "right")))
+        if hi == lo + 1:
+            for a in range(first[lo], end[lo], GATHER_ROWS):
+                b = min(a + GATHER_ROWS, end[lo])
+                sums[lo] += ww[a:b] @ value[r[a:b]]
+        else:
+            a, b = first[lo], end[hi - 1]
+            sums[lo:hi] = np.add.reduceat(value[r[a:b]] * ww[a:b, None], first[lo:hi] - a, axis=0)
+        if there is not None:
+            some[lo:hi] = np.add.reduceat(there[r[first[lo]:end[hi - 1]]], first[lo:hi] - first[lo], axis=0) > 0
+        lo = hi
+    flat = pa.array(sums.reshape(-1), mask=None if there is None else ~some.reshape(-1))
+    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * dim, pa.int32()), flat)
+    return pa.RecordBatch.from_arrays([docs[id_col].take(pa.array(has)), pa.array(n), pa.array(ws), listed], names=[id_col, "n", "_ws", "_s"])
+
+
 def gather(blocks: DataFrame, tokens: DataFrame, vectors: DataFrame, id_col: str, dim: int,
            weight: Column | None = None, vec_id: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(id, n, _ws, _s0 ...): per document the number of gathered vectors, Σ w·cnt and Σ w·cnt·v.
 
     ``blocks`` are the documents (``token_blocks``), ``tokens`` their ``block_tokens`` with the vector id
-    ``vid``. Each block gets one row per vector id, with the places that have it and their weights; it is
-    joined with the vectors, and meets its documents by block. A block is bounded, whatever the tables' size."""
+    ``vid``. A run of blocks (``_block_runs``) meets in one task, in this order: the vectors that its tokens have,
+    then per block the vector ids and weights of its places and its documents. The task holds the vectors of
+    the run and the places of one block; documents pass by."""
     float_type = vectors.schema[vec].dataType.simpleString() == "array<float>"
+    kind = "array<float>" if float_type else "array<double>"
     v = F.col(vec) if float_type else F.col(vec).cast("array<double>")
-    v = F.array(*[v[i] for i in range(dim)]).cast("array<float>" if float_type else "array<double>")
+    v = F.array(*[v[i] for i in range(dim)]).cast(kind)
     w = (weight if weight is not None else F.lit(1.0)).cast("double")
-    places = tokens.groupBy("block", "vid").agg(F.collect_list(F.struct("place", w.alias("w"))).alias("_p"))
-    places = places.join(vectors.select(F.col(vec_id).alias("vid"), v.alias("v")), "vid").select("block", "vid", F.col("_p.place").alias("places"), F.col("_p.w").alias("ws"), "v")
-    names = [id_col, "n", "_ws", "_s"]
-
-    def block_sums(docs: pa.Table, found: pa.Table) -> pa.Table:
-        kinds = [docs.schema.field(id_col).type, pa.int64(), pa.float64(), pa.list_(pa.float64())]
-        none = pa.table([pa.array([], k) for k in kinds], names=names)
-        if not len(found) or not len(docs):
-            return none
-        vid, row = np.unique(found["vid"].to_numpy(), return_inverse=True)
-        times = np.bincount(row).astype(np.int64)
-        flat = found["v"].combine_chunks().flatten()
-        gaps = flat.is_null().to_numpy(zero_copy_only=False).reshape(len(row), dim) if flat.null_count else None
-        value, there = flat.fill_null(0).to_numpy().reshape(len(row), dim), None if gaps is None else (~gaps).astype(np.int64)
-        if len(vid) == len(row):
-            row = np.arange(len(row))  # the vectors as they stand
-        else:  # a vector id in several rows counts with each of them
-            every, value = value, np.zeros((len(vid), dim))
-            np.add.at(value, row, every)
-            if gaps is not None:
-                every, there = there, np.zeros((len(vid), dim), np.int64)
-                np.add.at(there, row, every)
-        listed = found["places"].combine_chunks()
-        place, owner = listed.flatten().to_numpy(), np.repeat(row, listed.value_lengths().to_numpy())
-        of, weigh = np.full(int(place.max()) + 1, -1), np.zeros(int(place.max()) + 1)
-        of[place], weigh[place] = owner, found["ws"].combine_chunks().flatten().to_numpy()
-
-        def sums_of(docs: pa.RecordBatch) -> pa.Table:
-            at, count = docs["places"], docs["counts"]
-            doc = np.repeat(np.arange(len(docs)), at.value_lengths().to_numpy())
-            at, count = at.flatten().to_numpy(), count.flatten().to_numpy()
-            keep = of.take(at, mode="clip") >= 0
-            keep &= at < len(of)
-            doc, at, count = doc[keep], at[keep], count[keep].astype(np.int64)
-            has, first = np.unique(doc, return_index=True)
-            if not len(has):
-                return none
-            r, ww = of[at], weigh[at] * count
-            n, ws = np.add.reduceat(count * times[r], first), np.add.reduceat(ww * times[r], first)
-            sums, some = np.zeros((len(has), dim)), np.ones((len(has), dim), bool)
-            end = np.r_[first[1:], len(r)]
-            lo = 0
-            while lo < len(has):  # a bounded number of entries at a time; a long text alone, piece by piece
-                hi = max(lo + 1, int(np.searchsorted(end, first[lo] + GATHER_ROWS, "right")))
-                if hi == lo + 1:
-                    for a in range(first[lo], end[lo], GATHER_ROWS):
-                        b = min(a + GATHER_ROWS, end[lo])
-                        sums[lo] += ww[a:b] @ value[r[a:b]]
-                else:
-                    a, b = first[lo], end[hi - 1]
-                    sums[lo:hi] = np.add.reduceat(value[r[a:b]] * ww[a:b, None], first[lo:hi] - a, axis=0)
-                if there is not None:
-                    some[lo:hi] = np.add.reduceat(there[r[first[lo]:end[hi - 1]]], first[lo:hi] - first[lo], axis=0) > 0
-                lo = hi
-            flat = pa.array(sums.reshape(-1), mask=None if there is None else ~some.reshape(-1))
-            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1) * dim, pa.int32()), flat)
-            return pa.table([docs[id_col].take(pa.array(has)), pa.array(n), pa.array(ws), listed], names=names)
-
-        return pa.concat_tables([none, *(sums_of(x) for x in docs.to_batches(max_chunksize=GATHER_DOCS))])
-
-    docs = blocks.where("tokens IS NULL").select(F.col("block").alias("_block"), id_col, "places", "counts")
-    kind = docs.schema[id_col].dataType.simpleString()
-    part = docs.groupBy("_block").cogroup(places.groupBy("block")).applyInArrow(block_sums, f"`{id_col}` {kind}, n long, _ws double, _s array<double>")
+    runs, run = _block_runs(blocks, vectors)
+    parts = min(runs, max(GATHER_WAVES * blocks.sparkSession.sparkContext.defaultParallelism, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    places = written(tokens.select("block", "place", F.col("vid").cast("long").alias("vid"), w.alias("w"))
+                     .mapInArrow(_packed, "block long, places array<int>, vids array<long>, ws array<double>"), "block-vids")
+    needed = places.select(run.alias("run"), F.explode(F.array_distinct("vids")).alias("vid")).distinct()
+    needed = needed.join(vectors.select(F.col(vec_id).alias("vid"), v.alias("v")), "vid")
+
+    rest = {id_col: blocks.schema[id_col].dataType.simpleString(), "places": "array<int>", "counts": "array<int>", "vids": "array<long>", "ws": "array<double>", "v": kind}
+
+    def side(df: DataFrame, run: Column, block: Column, step: int, **have: Column) -> DataFrame:
+        none = {c: F.lit(None).cast(t).alias(c) for c, t in rest.items()}
+        return df.select(run.alias("run"), block.alias("block"), F.lit(step).alias("step"), *[have[c].alias(c) if c in have else none[c] for c in rest])
+
+    rows = (side(needed, F.col("run"), F.lit(-1).cast("long"), 0, vids=F.array("vid"), v=F.col("v"))
+            .unionByName(side(places, run, F.col("block"), 1, **{c: F.col(c) for c in ("places", "vids", "ws")}))
+            .unionByName(side(blocks.where("tokens IS NULL"), run, F.col("block"), 2, **{c: F.col(c) for c in (id_col, "places", "counts")})))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, listed, at = {}, None, {}, None  # the vectors of the run, the places of the block
+        for batch in batches:
+            key = np.stack([batch[c].to_numpy() for c in ("run", "block", "step")], 1)
+            cut = np.r_[0, 1 + np.flatnonzero((key[1:] != key[:-1]).any(1)), len(key)] if len(key) else [0]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                (r, block, step), rows = key[lo].tolist(), batch.slice(lo, hi - lo)
+                if step == 0:
+                    found, held, listed, at = {r: [*found.get(r, []), rows.select(["vids", "v"])]}, None, {}, None
+                elif r in found and step == 1:
+                    listed, at = {block: [*listed.get(block, []), rows.select(["places", "vids", "ws"])]}, None
+                elif r in found and block in listed:
+                    held = held or _held(found[r], dim)
+                    found[r] = []
+                    at = at or _places(listed[block], held[0])
+                    listed[block] = []
+                    for x in range(0, len(rows), GATHER_DOCS):
+                        some = _doc_sums(rows.slice(x, GATHER_DOCS), id_col, dim, held, *at)
+                        if some is not None:
+                            yield some
+
+    placed = rows.repartitionById(parts, F.floor(F.col("run") * F.lit(parts) / F.lit(runs)).cast("int")).sortWithinPartitions("run", "block", "step")
+    part = placed.mapInArrow(sums, f"`{id_col}` {rest[id_col]}, n long, _ws double, _s array<double>")
     # rows that share an id are one document
     return part.groupBy(id_col).agg(F.sum("n").alias("n"), F.sum("_ws").alias("_ws"), *[F.sum(F.col("_s")[i]).alias(f"_s{i}") for i in range(dim)])
 

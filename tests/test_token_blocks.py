@@ -95,3 +95,25 @@ def test_the_tokens_of_a_large_block_come_in_rows_of_bounded_size(spark):
     assert blocks.agg(F.max(F.size("tokens"))).first()[0] <= E.NAMES_ROW
     t = E.block_tokens(blocks)
     assert t.agg(F.count("*"), F.countDistinct("place"), F.max("place"), F.min("cnt"), F.max("cnt")).first() == (n, n, n - 1, 2, 2)
+
+
+@pytest.mark.parametrize("large", [False, True])
+def test_a_vector_goes_to_runs_of_blocks_and_not_to_every_block(spark, monkeypatch, large):
+    """Blocks grow with the documents and vectors with the table: rows of (block, vector) would grow with their product."""
+    if large:
+        monkeypatch.setattr(E, "HELD_VECTORS", 3)  # more vectors than a run may hold: every block is one
+    n = 100
+    docs = spark.range(0, n, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"))
+    blocks = E.token_blocks(docs, "doc_id", "text", texts=1)
+    tokens = E.block_tokens(blocks)
+    held = E.attach_token_ids(tokens, E.build_vocab(tokens), 7, folded=True)
+    vec = spark.createDataFrame([(i, [1.0 + i, -2.0 * i]) for i in range(7)], "vec_id bigint, embedding array<float>")
+    got = E.gather(blocks, held, vec, "doc_id", 2)
+    assert got.count() == n and got.agg(F.min("n"), F.max("n")).first() == (4, 4)
+    runs, run = E._block_runs(blocks, vec)
+    sent = blocks.select(run.alias("run")).distinct().count()
+    assert sent == runs == (n if large else min(n, E.GATHER_WAVES * spark.sparkContext.defaultParallelism))
+    words = E.tokenize(docs, "doc_id", "text")
+    plain = E.attach_token_ids(E.token_counts(words, "doc_id"), E.build_vocab(words), 7, folded=True)
+    for weight in (None, E.sif_weight("logp")):
+        assert rows(E.pool(held, vec, "doc_id", 2, weight=weight, blocks=blocks)) == rows(E.pool(plain, vec, "doc_id", 2, weight=weight))
