@@ -9,7 +9,7 @@ collected.
 Where all texts of a table are pooled, they are folded in blocks of bounded size (``token_blocks``):
 a block names each of its tokens once, and its documents list (place of the token, count). Vocabulary,
 ids and vectors are then joined per token of a block, not per token of a document, and what meets
-again by block are short integer lists and one vector per id.
+again are short integer lists by block, and one vector per id by run of blocks.
 """
 from __future__ import annotations
 
